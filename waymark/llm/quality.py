@@ -29,6 +29,8 @@ _UPPER = bytes(range(0x41, 0x5B))
 _LOWER = bytes(range(0x61, 0x7B))
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_lower", "n_shouts")
 BAD, ABSTAIN, GOOD = -1, 0, 1
+#: How often a rule may vote *bad* on good texts.
+FALSE_ALARM = 0.01
 
 
 def measure(text: bytes) -> tuple[int, ...]:
@@ -76,19 +78,21 @@ def rules(prefix: str = "") -> dict[str, Column]:
     c = lambda name: F.col(prefix + name).cast("double")
     per = lambda a, b: a / F.greatest(b, F.lit(1.0))
     letters = c("n_upper") + c("n_lower")
-    vote = lambda bad, good: F.when(bad, BAD).when(good, GOOD).otherwise(ABSTAIN)
+    bad = lambda when: F.when(when, BAD).otherwise(ABSTAIN)
     symbols, shouts = per(c("n_symbols"), c("n_words")), per(c("n_shouts"), c("n_words"))
     repeats, copies = per(c("n_repeat_words"), c("n_words")), per(c("n_dup_lines"), c("n_lines"))
     length, variety = per(c("word_chars"), c("n_words")), per(c("n_distinct"), F.least(c("n_words"), F.lit(200.0)))
+    prose = (symbols < 0.02) & (shouts < 0.02) & (c("n_upper") < 0.2 * letters) & length.between(3, 11)
     return {
-        "symbols": vote(symbols > 0.3, symbols < 0.05),
-        "shouting": vote(shouts > 0.2, shouts < 0.02),
-        "capitals": vote(c("n_upper") > 0.5 * letters, c("n_upper") < 0.2 * letters),
-        "repeats": vote(repeats > 0.3, repeats < 0.1),
-        "copied_lines": vote(copies > 0.3, copies == 0),
-        "word_length": vote((length < 2.5) | (length > 14), (length > 3.5) & (length < 10)),
-        "variety": vote(variety < 0.2, variety > 0.5),
-        "length": vote(c("n_words") < 20, c("n_words") > 100),
+        "symbols": bad(symbols > 0.1),
+        "shouting": bad(shouts > 0.2),
+        "capitals": bad(c("n_upper") > 0.5 * letters),
+        "repeats": bad(repeats > 0.3),
+        "copied_lines": bad(copies > 0.5),
+        "word_length": bad((length < 2.5) | (length > 14)),
+        "variety": bad(variety < 0.2),
+        "prose": F.when(prose, GOOD).otherwise(ABSTAIN),
+        "fresh": F.when((repeats < 0.05) & (copies < 0.2), GOOD).otherwise(ABSTAIN),
     }
 
 
@@ -110,7 +114,9 @@ class VoteModel:
 def estimate(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: int = 200) -> VoteModel:
     """EM over counted vote patterns for two classes.
 
-    Starts from rules that vote rightly more often than not.  A class keeps at
+    Rules are held to be better than chance, which also tells the classes
+    apart: a good text gets a *bad* vote from a rule in at most ``FALSE_ALARM``
+    of cases, and a vote never speaks for the other class.  A class keeps at
     least a thousandth of the texts and a vote keeps a smoothed count of one,
     so no table (empty, or all alike) leads to infinite weights.
     """
@@ -121,13 +127,17 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], names: list[str], roun
     np.put_along_axis(hot, votes[:, :, None], 1.0, axis=2)
     prior = 0.85
     chance = np.empty((2, m, 3))  # class (bad, good), rule, vote
-    chance[0], chance[1] = (0.4, 0.2, 0.4), (0.02, 0.18, 0.8)
+    chance[0], chance[1] = (0.3, 0.4, 0.3), (0.01, 0.19, 0.8)
     for _ in range(rounds if len(votes) else 0):
         log = np.einsum("pmv,cmv->pc", hot, np.log(chance)) + np.log([1 - prior, prior])
         good = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -500, 500)))
         for k, share in ((0, 1 - good), (1, good)):
             weight = np.einsum("p,pmv->mv", counts * share, hot) + 1.0 * chance[k]
             chance[k] = np.clip(weight / weight.sum(axis=1, keepdims=True), 1e-4, 1)
+        chance[1, :, 0] = np.minimum(chance[1, :, 0], FALSE_ALARM)
+        chance[0, :, 0] = np.maximum(chance[0, :, 0], chance[1, :, 0])
+        chance[0, :, 2] = np.minimum(chance[0, :, 2], chance[1, :, 2])
+        chance[:, :, 1] = np.clip(1 - chance[:, :, 0] - chance[:, :, 2], 1e-4, 1)
         after = float(np.clip((counts * good).sum() / counts.sum(), 1e-3, 1 - 1e-3))
         if abs(after - prior) < 1e-9:
             break
