@@ -58,7 +58,10 @@ def postings(tests: DataFrame, item_col: str = "item_id", text_col: str = "text"
 
 def _hits(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, inline: int) -> DataFrame:
     """``id, pos, hash, mask``: places of documents whose hash is that of some test item."""
-    rows = docs.select(F.col(id_col).alias("id"), hashed_tokens(text_col).alias("h"))
+    # a column that Spark takes for non-deterministic is computed once per row; else filters on what follows would be
+    # pushed below it and repeat the split at every array access
+    once = F.when(F.monotonically_increasing_id() >= 0, hashed_tokens(text_col))
+    rows = docs.select(F.col(id_col).alias("id"), once.alias("h"))
     each = known.select("mask", "hash").distinct()
     if each.limit(inline + 1).count() <= inline:
         by_mask: dict[int, list[int]] = {m: [] for m in range(len(MASKS))}
