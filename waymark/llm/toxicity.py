@@ -45,17 +45,18 @@ _ADDRESS = frozenset("you your youre u ur tu eres usted vous toi du dich ihr sie
 class Matcher:
     """The lexicon's trie intersected with a one-edit Levenshtein automaton, determinised lazily.
 
-    A state is a set of (trie node, edits so far).  Whole terms of five letters
-    or more may be missed by one edit (a swap of two neighbours counts as one);
-    stems have to be met exactly and may be followed by anything.
+    Terms are ``(letters, stem, fuzzy)``.  A state is a set of (trie node, edits
+    so far).  Fuzzy whole terms may be missed by one edit (a swap of two
+    neighbours counts as one); stems have to be met exactly and may be followed
+    by anything.
     """
 
-    def __init__(self, terms: list[tuple[str, bool]]):
+    def __init__(self, terms: list[tuple[str, bool, bool]]):
         self.child: list[dict[str, int]] = [{}]
         self.whole: dict[int, int] = {}
         self.stem: dict[int, int] = {}
         self.fuzzy = [False]
-        for number, (term, stem) in enumerate(terms):
+        for number, (term, stem, fuzzy) in enumerate(terms):
             node, path = 0, [0]
             for c in term:
                 following = self.child[node].get(c)
@@ -67,7 +68,7 @@ class Matcher:
                 node = following
                 path.append(node)
             (self.stem if stem else self.whole)[node] = number
-            if not stem and len(term) >= 5:
+            if fuzzy and not stem:
                 for n in path:
                     self.fuzzy[n] = True
         self.ids: dict[frozenset, int] = {}
@@ -139,7 +140,9 @@ class Matcher:
 
 
 #: What a text's hits come to; see ``describe``.
-INPUTS = ("exact", "misspelled", "kinds", "share", "quoted", "addressed")
+INPUTS = ("hits", "kinds", "share", "quoted", "addressed", "misspelled")
+#: What a misspelled hit counts against an exact one.
+MISSPELLED = 0.7
 
 
 def describe(text: str, matcher: Matcher, strength: list[float]) -> tuple[float, ...]:
@@ -163,20 +166,20 @@ def describe(text: str, matcher: Matcher, strength: list[float]) -> tuple[float,
             addressed += weight
     share = len(hits) / len(words) if words else 0.0
     kinds = len({t for _, (t, _) in hits})
-    return (float(np.log1p(exact)), float(np.log1p(misspelled)), float(np.log1p(kinds)), float(np.sqrt(share)), float(np.log1p(quoted)), float(np.log1p(addressed)))
+    return (float(np.log1p(exact + MISSPELLED * misspelled)), float(np.log1p(kinds)), float(np.sqrt(share)), float(np.log1p(quoted)), float(np.log1p(addressed)), float(np.log1p(misspelled)))
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    terms: tuple[tuple[str, bool], ...] = ()
+    terms: tuple[tuple[str, bool, bool], ...] = ()
     strength: tuple[float, ...] = ()
-    weights: tuple[float, ...] = (0.0,) * len(INPUTS)
+    weights: tuple[float, ...] = (0.0,) * (len(INPUTS) - 1)  # misspelled hits are part of hits
     bias: float = 0.0
     constant: float | None = field(default=None)
 
 
 @lru_cache(maxsize=2)
-def _matcher(terms: tuple[tuple[str, bool], ...]) -> Matcher:
+def _matcher(terms: tuple[tuple[str, bool, bool], ...]) -> Matcher:
     return Matcher(list(terms))
 
 
@@ -218,9 +221,18 @@ def _mined(labelled: DataFrame, text_col: str, label_col: str) -> DataFrame:
 
 
 def choose_terms(mined: list[tuple[str, bool, int, int]], n_hot: float, n_cold: float, limit: int = TERMS) -> tuple[list[tuple[str, bool]], list[float]]:
-    """Terms by how much likelier they are under label 1, without those that a chosen stem covers as well."""
-    scored = []
+    """Terms by how much likelier they are under label 1.
+
+    A stem is taken only where no single word makes up most of it, and a term
+    that a chosen stem covers is left out.
+    """
+    scored, words = [], {}
+    for term, stem, hot, _ in mined:
+        for k in range(4, len(term)) if not stem else ():
+            words[term[:k]] = max(words.get(term[:k], 0), hot)
     for term, stem, hot, cold in mined:
+        if stem and words.get(term, 0) >= 0.6 * hot:
+            continue
         odds = float(np.log((hot + 0.1) / n_hot) - np.log((cold + 0.5) / n_cold))
         scored.append((odds * np.log1p(hot), odds, term, stem))
     scored.sort(key=lambda s: (-s[0], s[2], s[3]))
@@ -237,6 +249,23 @@ def choose_terms(mined: list[tuple[str, bool, int, int]], n_hot: float, n_cold:
     return terms, strength
 
 
+def _near_misses(labelled: DataFrame, terms: tuple, text_col: str) -> DataFrame:
+    """``term int, n``: in how many texts each term is met misspelled but not as it is spelled."""
+
+    def run(batches):
+        matcher = _matcher(terms)
+        for batch in batches:
+            counts: dict[int, int] = {}
+            for text in batch.column(0).to_pylist():
+                found = {h for w in set(text.lower().split()) if (h := matcher.token(w))}
+                for term in {t for t, e in found if e} - {t for t, e in found if not e}:
+                    counts[term] = counts.get(term, 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+
+    rows = labelled.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    return rows.mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Weighted ridge logistic regression by Newton steps; the last coefficient is the bias."""
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -270,9 +299,12 @@ def fit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     mined = _mined(rows, "__text", "__y").where(F.col("hot") >= min_hot).withColumn("odds", odds).where(F.col("odds") >= min_odds)
     top = mined.orderBy((F.col("odds") * F.log1p("hot")).desc(), "term", "stem").limit(4 * TERMS).collect()
     terms, strength = choose_terms([(r["term"], r["stem"], r["hot"], r["cold"]) for r in top], seen[1], seen[0])
-    model = ToxicityModel(tuple(terms), tuple(strength))
+    # a term is looked up with an edit unless that turns up words of ordinary texts
+    trial = tuple((t, stem, not stem and len(t) >= 4) for t, stem in terms)
+    common = {r["term"] for r in _near_misses(rows.where("__y = 0"), trial, "__text").where(F.col("n") > 0.002 * seen[0]).collect()}
+    model = ToxicityModel(tuple((t, stem, fuzzy and i not in common) for i, (t, stem, fuzzy) in enumerate(trial)), tuple(strength))
     got = _described(rows, model, "__text", ("__y",)).collect()
-    x = np.array([[r[f"__{n}"] for n in INPUTS] for r in got])
+    x = np.array([[r[f"__{n}"] for n in INPUTS[:-1]] for r in got])
     y = np.array([r["__y"] for r in got], "f8")
     weight = np.where(y == 1, total[1] / seen[1], total[0] / seen[0])
     weight *= len(y) / weight.sum()
@@ -281,11 +313,11 @@ def fit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
 
 
 def score(df: DataFrame, model: ToxicityModel, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``*keep, score`` (0 to 1, higher: likelier toxic) and the weighed hits ``exact, misspelled, quoted, addressed``."""
+    """``*keep, score`` (0 to 1, higher: likelier toxic) and the weighed ``hits``, of which ``misspelled``, ``quoted`` (left out of hits) and ``addressed``."""
     if model.constant is not None:
-        return df.select(*keep, F.lit(float(model.constant)).alias("score"), *(F.lit(0.0).alias(n) for n in ("exact", "misspelled", "quoted", "addressed")))
+        return df.select(*keep, F.lit(float(model.constant)).alias("score"), *(F.lit(0.0).alias(n) for n in ("hits", "misspelled", "quoted", "addressed")))
     total = F.lit(model.bias)
     for name, weight in zip(INPUTS, model.weights):
         total = total + F.lit(weight) * F.col(f"__{name}")
     rows = _described(df, model, text_col, keep)
-    return rows.select(*keep, (F.lit(1.0) / (F.lit(1.0) + F.exp(-total))).alias("score"), *(F.expm1(f"__{n}").alias(n) for n in ("exact", "misspelled", "quoted", "addressed")))
+    return rows.select(*keep, (F.lit(1.0) / (F.lit(1.0) + F.exp(-total))).alias("score"), *(F.expm1(f"__{n}").alias(n) for n in ("hits", "misspelled", "quoted", "addressed")))
