@@ -65,23 +65,31 @@ def scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templ
     sets = [(name, sorted(bigrams_of(text))) for name, text in templates]
     spans = [bounds(len(s), threshold) for _, s in sets]
     low, high = min(a for a, _ in spans), max(b for _, b in spans)
-    text = F.col(text_col)
-    units = F.array_distinct(F.concat(F.split(text, "\n"), F.when(text.contains("\n\n"), F.split(text, r"\n\s*\n")).otherwise(F.array().cast("array<string>")), F.array(text)))
-    rows = df.where(text.isNotNull()).select(F.col(id_col).alias("__id"), F.explode(units).alias("__unit"))
-    # a unit of n bigrams has n + 1 words, repeats aside: at least 2n + 1 characters; distinct bigrams can be fewer, so only the lower bound prunes here
-    rows = rows.where(F.length("__unit") >= 2 * low + 1)
-    words = F.split(F.trim(F.regexp_replace(F.lower("__unit"), "[^a-z0-9]+", " ")), " ")
-    rows = rows.select("__id", words.alias("__words")).where(F.size("__words") >= low + 1)
+    # a column that Spark takes for non-deterministic is computed once per row; else filters on it are pushed below it and repeat it
+    once = lambda c: F.when(F.monotonically_increasing_id() >= 0, c)
+    text = F.regexp_replace(F.lower(F.col(text_col)), "[^a-z0-9\n]+", " ")
+    rows = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), once(text).alias("__text"))
+    parts = F.when(F.col("__text").rlike(r"\n ?\n"), F.split("__text", r"\n(?: ?\n)+")).otherwise(F.array().cast("array<string>"))
+    units = F.array_distinct(F.transform(F.concat(F.split("__text", "\n"), parts, F.array("__text")), lambda u: F.trim(F.replace(u, F.lit("\n"), F.lit(" ")))))
+    rows = rows.select("__id", F.explode(once(units)).alias("__unit"))
+    # n bigrams take n + 1 words and so 2n + 1 characters at least; n is at least the number of distinct words less one
+    rows = rows.where(F.length("__unit") >= 2 * low + 1).select("__id", once(F.split("__unit", " +")).alias("__words"))
+    # a unit of n bigrams reaches the threshold only with t / (2 - t) * n bigrams of a template, and so as many of its words
+    listed = ", ".join(f"'{w}'" for w in sorted({w for _, pairs in sets for pair in pairs for w in pair.split(" ")}))
+    known = F.expr(f"size(filter(__words, w -> w in ({listed})))")
+    rows = rows.select("__id", "__words", once(known).alias("__known")).where(F.col("__known") >= 1 + low)
+    share = threshold / (2 - threshold)
+    distinct = F.size(F.array_distinct("__words"))
+    rows = rows.select("__id", "__words", "__known", once(distinct).alias("__distinct")).where((F.col("__distinct") <= high + 1) & (F.col("__known") >= share * (F.col("__distinct") - 1)))
     pairs = F.expr("array_distinct(zip_with(slice(__words, 1, size(__words) - 1), slice(__words, 2, size(__words) - 1), (a, b) -> concat(a, ' ', b)))")
-    # what every bigram of a candidate must reach: words in common with some template, counted before bigrams are made
-    rows = rows.where(F.size("__words") <= F.lit(50) * high).select("__id", pairs.alias("__pairs")).where(F.size("__pairs").between(low, high))
+    rows = rows.select("__id", once(pairs).alias("__pairs")).where(F.size("__pairs").between(low, high))
     best = F.lit(None).cast("struct<dice:double,at:int>")
     for at, ((_, wanted), (least, most)) in enumerate(zip(sets, spans)):
         common = F.size(F.array_intersect("__pairs", F.array(*map(F.lit, wanted))))
         dice = 2.0 * common / (F.size("__pairs") + len(wanted))
         mark = F.when(F.size("__pairs").between(least, most), F.struct(dice.alias("dice"), F.lit(-at).alias("at")))
         best = mark if at == 0 else F.greatest(best, mark)
-    found = rows.select("__id", best.alias("__best")).where(F.col("__best.dice") >= threshold)
+    found = rows.select("__id", once(best).alias("__best")).where(F.col("__best.dice") >= threshold)
     found = found.groupBy("__id").agg(F.max("__best").alias("__best"), F.count(F.lit(1)).alias("__n"))
     name = F.element_at(F.array(*(F.lit(n) for n, _ in sets)), 1 - F.col("__best.at"))
     found = found.select("__id", name.alias("license"), F.round("__best.dice", 6).alias("dice"), F.col("__n").alias("n_units"))
