@@ -1,5 +1,52 @@
 """DuckDB SQL for those contract queries that SQL can express."""
 
+from __future__ import annotations
+
+from waymark.llm import decontamination, licenses
+
+_WARC = """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), d AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+ f AS (SELECT payload_digest AS g, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NOT NULL AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
+FROM d LEFT JOIN f ON g = payload_digest"""
+
+
+def _decontamination() -> str:
+    """The same overlaps by equality of the counted words themselves, without hashes."""
+    words = lambda t: f"list_filter(string_split_regex(lower(coalesce({t}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+    span = decontamination.SPAN
+
+    def places(source: str, key: str, name: str) -> str:
+        parts = []
+        for mask, offsets in enumerate(decontamination.MASKS):
+            counted = " || ' ' || ".join(f"w[i + {o}]" for o in offsets)
+            parts.append(f"SELECT {key}, n, {mask} AS mask, i, {counted} AS g FROM (SELECT {key}, w, len(w) AS n, unnest(range(1, len(w) - {span - 2})) AS i FROM {source})")
+        return f"{name} AS ({' UNION ALL '.join(parts)})"
+
+    offsets = "CASE mask " + " ".join(f"WHEN {m} THEN {list(o)}" for m, o in enumerate(decontamination.MASKS)) + " END"
+    return f"""WITH dw AS (SELECT doc_id, {words("text")} AS w FROM documents), iw AS (SELECT item_id, {words("text")} AS w FROM benchmark),
+ {places("dw", "doc_id", "dp")}, {places("iw", "item_id", "ip")},
+ m AS (SELECT DISTINCT doc_id, item_id, ip.n, dp.i - ip.i AS diagonal, dp.i AS pos, mask FROM dp JOIN ip USING (mask, g)),
+ c AS (SELECT DISTINCT doc_id, item_id, n, diagonal, pos + unnest({offsets}) AS pos FROM m),
+ l AS (SELECT doc_id, item_id, n, diagonal, count(*) AS n_matched, min(pos) AS start, max(pos) - min(pos) + 1 AS length FROM c GROUP BY ALL),
+ g AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_matched DESC, start, length DESC) AS k FROM l WHERE n_matched >= greatest({span}, ceil({decontamination.SHARE} * n)) AND n_matched >= {decontamination.DENSITY} * length)
+SELECT g.doc_id, item_id, n_matched, CAST(n AS BIGINT) AS n_item, CAST(start - 1 + CAST(regexp_matches(text, '^[^\\p{{L}}\\p{{N}}]') AS INTEGER) AS BIGINT) AS start, CAST(length AS BIGINT) AS length FROM g JOIN documents d ON d.doc_id = g.doc_id WHERE k = 1"""
+
+
+def _licenses() -> str:
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    rows = []
+    for at, (name, text) in enumerate(licenses.TEMPLATES):
+        rows.append(f"({at}, {quote(name)}, [{', '.join(quote(b) for b in sorted(licenses.bigrams_of(text)))}])")
+    return f"""WITH t(k, name, b) AS (VALUES {", ".join(rows)}),
+ s AS (SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9\\n]+', ' ', 'g') AS x FROM documents WHERE text IS NOT NULL),
+ u AS (SELECT doc_id, unnest(list_distinct(list_transform(list_concat(string_split(x, chr(10)), CASE WHEN regexp_matches(x, '\\n ?\\n') THEN string_split_regex(x, '\\n(?: ?\\n)+') ELSE [] END, [x]), lambda v: trim(replace(v, chr(10), ' '))))) AS v FROM s),
+ w AS (SELECT doc_id, string_split_regex(v, ' +') AS w FROM u WHERE v <> ''),
+ p AS (SELECT doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS p FROM w WHERE len(w) > 1),
+ d AS (SELECT doc_id, name, k, 2.0::DOUBLE * len(list_intersect(p, b)) / (len(p) + len(b)) AS dice, row_number() OVER () AS r, p FROM p, t WHERE len(p) BETWEEN {licenses.THRESHOLD} / (2 - {licenses.THRESHOLD}) * len(b) AND (2 - {licenses.THRESHOLD}) / {licenses.THRESHOLD} * len(b)),
+ h AS (SELECT doc_id, p, arg_min(name, k - dice * 1000000) AS name, max(dice) AS dice, min(k - dice * 1000000) AS o FROM d WHERE dice >= {licenses.THRESHOLD} GROUP BY doc_id, p),
+ f AS (SELECT doc_id, arg_min(name, o) AS license, max(dice) AS dice, count(*) AS n_units FROM h GROUP BY doc_id)
+SELECT a.doc_id, license, round(dice, 6) AS dice, coalesce(n_units, 0) AS n_units FROM documents a LEFT JOIN f ON f.doc_id = a.doc_id"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_decontamination": _decontamination(), "op6_license_scan": _licenses(), "op10_warc": _WARC}
