@@ -92,7 +92,8 @@ def _preview(code: str, start: int, most: int, fences: list[tuple[int, int]]) ->
 def markdown_tags(code: str, most: int = 80) -> list[dict]:
     """A tag for each header outside of fenced blocks, under the nearest header of a lower level."""
     fences = [m.span() for m in _FENCE.finditer(code)]
-    out, open_: list = [], []
+    out: list[dict] = []
+    open_: list[tuple] = []
     for m in _HEADER.finditer(code):
         if any(a <= m.start() < b for a, b in fences):
             continue
