@@ -56,6 +56,7 @@ class Matcher:
         self.whole: dict[int, int] = {}
         self.stem: dict[int, int] = {}
         self.fuzzy = [False]
+        self.near = {i for i, (_, stem, fuzzy) in enumerate(terms) if fuzzy and not stem}
         for number, (term, stem, fuzzy) in enumerate(terms):
             node, path = 0, [0]
             for c in term:
@@ -121,10 +122,10 @@ class Matcher:
                 if not e and not swap and n in self.stem:
                     stem = self.stem[n]
         else:
-            ends = sorted((e, self.whole[n]) for n, e, swap in self.sets[state] if not swap and n in self.whole)
+            ends = sorted((e, self.whole[n]) for n, e, swap in self.sets[state] if not swap and n in self.whole and (not e or self.whole[n] in self.near))
             if ends and not ends[0][0]:
                 return ends[0][1], 0
-            if stem is None and ends and word[:1] != "":
+            if stem is None and ends:
                 return ends[0][1], 1
         return None if stem is None else (stem, 0)
 
