@@ -127,7 +127,10 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], names: list[str], roun
     np.put_along_axis(hot, votes[:, :, None], 1.0, axis=2)
     prior = 0.85
     chance = np.empty((2, m, 3))  # class (bad, good), rule, vote
-    chance[0], chance[1] = (0.3, 0.4, 0.3), (0.01, 0.19, 0.8)
+    for k, (bad, good) in enumerate(((0.3, 0.15), (FALSE_ALARM, 0.6))):
+        chance[k, :, 0] = np.where(hot[:, :, 0].any(axis=0), bad, 1e-4)  # a vote that a rule never casts tells nothing
+        chance[k, :, 2] = np.where(hot[:, :, 2].any(axis=0), good, 1e-4)
+    chance[:, :, 1] = 1 - chance[:, :, 0] - chance[:, :, 2]
     for _ in range(rounds if len(votes) else 0):
         log = np.einsum("pmv,cmv->pc", hot, np.log(chance)) + np.log([1 - prior, prior])
         good = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -500, 500)))
