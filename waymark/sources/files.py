@@ -12,7 +12,11 @@ from waymark.functions import paths, text
 
 
 def tree(spark: SparkSession, *roots: str, pattern: str | None = None) -> DataFrame:
-    """``path, modified, length, content`` of all files below the roots."""
+    """``path, modified, length, content`` of the files below the roots.
+
+    Spark's listing leaves out files of no bytes and names that start with a dot
+    or an underscore.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
