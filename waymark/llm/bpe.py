@@ -2,9 +2,9 @@
 
 Encoding runs the ``tokenizers`` library over Arrow batches.  Its byte-level
 model works on characters that stand for bytes; merges are rebuilt from a rank
-file.  A text is cut before every space that follows a non-space: no match of
-the splitting pattern crosses such a place and none looks behind it, so the
-pieces can be encoded apart.  Each worker keeps the ids of pieces it has seen
+file.  A text is cut before every space that follows a non-space, and around
+every line feed between non-spaces: no match of the splitting pattern crosses
+such a place and none looks behind it, so the pieces can be encoded apart.  Each worker keeps the ids of pieces it has seen
 in a bounded cache, so the library encodes a repeated piece once.
 
 Null text: no ids.  Empty text: no ids.  Texts of any length are encoded whole.
@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces whose ids a worker keeps; the cache is emptied when it is full.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 500_000
 _CUT = re.compile(r"(?<=\S)(?= )")
-_SPACES = re.compile(r"\s ")
+_SPACES = re.compile(r"\s[ \n]|\n\s")
 
 
 def byte_alphabet() -> list[str]:
@@ -84,35 +84,61 @@ class PieceEncoder:
 
     def __init__(self, path: str, pattern: str, limit: int = CACHE_PIECES):
         self.library, self.limit = tokenizer(path, pattern), limit
+        self.sizes = np.array([len(t) for t in byte_table(path)], "i8")
         self.spaced: dict[str, bytes] = {}  # by the piece without its leading space
         self.plain: dict[str, bytes] = {}
 
     def _learn(self, cache: dict[str, bytes], pieces: set[str], lead: str) -> None:
-        new = [p for p in pieces if p not in cache]
-        for start in range(0, len(new), 20_000):
-            part = new[start : start + 20_000]
+        """Encode pieces that are new.
+
+        Pieces with a leading space that end in no space can be put one after
+        another: each starts a match of its own.  So the library encodes many at
+        once, and the ids are told apart by the bytes they stand for.
+        """
+        new = pieces.difference(cache)
+        alone = [p for p in new if not lead or not p or p[-1].isspace()]
+        joined = list(new.difference(alone)) if alone else list(new)
+        for start in range(0, len(alone), 20_000):
+            part = alone[start : start + 20_000]
             for piece, got in zip(part, self.library.encode_batch_fast([lead + p for p in part], add_special_tokens=False)):
                 cache[piece] = np.array(got.ids, dtype="<i4").tobytes()
+        runs = [joined[at : at + 100] for at in range(0, len(joined), 100)]
+        for run, got in zip(runs, self.library.encode_batch_fast([lead + lead.join(r) for r in runs], add_special_tokens=False)):
+            ids = np.array(got.ids, dtype="<i4")
+            cuts = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(p.encode()) + 1 for p in run])) + 1
+            before = 0
+            for piece, cut in zip(run, cuts.tolist()):
+                cache[piece] = ids[before:cut].tobytes()
+                before = cut
 
     def encode(self, texts: list[str]) -> list[bytes]:
         for cache in (self.spaced, self.plain):
             if len(cache) > self.limit:
                 cache.clear()
-        cut, spaced, plain = [], set(), set()
+        cut, spaced, plain = [], set(), {"\n"}
         for text in texts:
             if "  " in text or _SPACES.search(text):
                 pieces = _CUT.split(text)
                 plain.update(pieces)
-                cut.append((None, pieces))
+                cut.append((pieces, None))
             else:
-                first, *rest = text.split(" ")
-                plain.add(first)
-                spaced.update(rest)
-                cut.append((first, rest))
+                lines = [line.split(" ") for line in text.split("\n")]
+                plain.update([line[0] for line in lines])
+                for line in lines:
+                    del line[0]
+                    spaced.update(line)
+                cut.append((text, lines))
         self._learn(self.spaced, spaced, " ")
         self._learn(self.plain, plain, "")
         of, alone = self.spaced.__getitem__, self.plain.__getitem__
-        return [b"".join(map(alone, rest)) if first is None else alone(first) + b"".join(map(of, rest)) for first, rest in cut]
+        out, feed = [], self.plain["\n"]
+        for text, lines in cut:
+            if lines is None:
+                out.append(b"".join(map(alone, text)))
+            else:
+                firsts = [line.partition(" ")[0] for line in text.split("\n")]
+                out.append(feed.join([alone(first) + b"".join(map(of, line)) for first, line in zip(firsts, lines)]))
+        return out
 
 
 @lru_cache(maxsize=2)
