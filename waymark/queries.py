@@ -428,7 +428,7 @@ def _paths(spark, d):
     return table(spark, d, "pages", "page_id", "url").select("page_id", F.regexp_extract("url", r"^[^:]+://[^/]+/([^?#]*)", 1).alias("path"))
 
 
-@query(f"WITH p AS (SELECT page_id, {_URL_PATH} AS path FROM pages), s AS (SELECT page_id, path, length(path) - length(replace(path, '/', '')) AS depth FROM p) SELECT page_id, CAST(depth AS INTEGER) AS depth, CASE WHEN depth <= 2 THEN 1.0 WHEN depth <= 4 THEN 0.5 ELSE 0.1 END AS weight, CASE WHEN path LIKE '%/%' THEN regexp_replace(path, '/[^/]+$', '') ELSE 'root' END AS folder, lower(regexp_extract(path, '\\.[^./]+$', 0)) AS extension, regexp_extract(path, '[^/]*$', 0) AS base FROM s")
+@query(f"WITH p AS (SELECT page_id, {_URL_PATH} AS path FROM pages), s AS (SELECT page_id, path, length(path) - length(replace(path, '/', '')) AS depth FROM p) SELECT page_id, CAST(depth AS INTEGER) AS depth, CASE WHEN depth <= 2 THEN 1.0 WHEN depth <= 4 THEN 0.5 ELSE 0.1 END::DOUBLE AS weight, CASE WHEN path LIKE '%/%' THEN regexp_replace(path, '/[^/]+$', '') ELSE 'root' END AS folder, lower(regexp_extract(path, '\\.[^./]+$', 0)) AS extension, regexp_extract(path, '[^/]*$', 0) AS base FROM s")
 def f06_paths(spark, d):
     p = F.col("path")
     return _paths(spark, d).select("page_id", paths.depth(p).alias("depth"), paths.depth_weight(p).alias("weight"), paths.parent_dir(p).alias("folder"), paths.extension(p).alias("extension"), text.basename(p).alias("base"))
@@ -438,7 +438,7 @@ _EXAMPLES = ("src/a.py", "vendors_list.py", "a/node_modules/x.js", "a/b/c/d/e.md
 _VALUES = "(VALUES " + ", ".join(f"('{p}')" for p in _EXAMPLES) + ") v(path)"
 
 
-@query(f"SELECT path, regexp_matches(path, 'node_modules|vendor|third_party|torchhub|__pycache__|site-packages') AS vendor, regexp_matches(lower(path), '\\.(md|markdown|mdown|mkd)$') AS markdown, CASE WHEN starts_with(path, '/root/repo/') THEN substr(path, 12) ELSE path END AS relative, CASE WHEN regexp_matches(path, 'node_modules|vendor') THEN 0.01 WHEN length(path) - length(replace(path, '/', '')) <= 2 THEN 1.0 WHEN length(path) - length(replace(path, '/', '')) <= 4 THEN 0.5 ELSE 0.1 END AS weight FROM {_VALUES}")
+@query(f"SELECT path, regexp_matches(path, 'node_modules|vendor|third_party|torchhub|__pycache__|site-packages') AS vendor, regexp_matches(lower(path), '\\.(md|markdown|mdown|mkd)$') AS markdown, CASE WHEN starts_with(path, '/root/repo/') THEN substr(path, 12) ELSE path END AS relative, CASE WHEN regexp_matches(path, 'node_modules|vendor') THEN 0.01 WHEN length(path) - length(replace(path, '/', '')) <= 2 THEN 1.0 WHEN length(path) - length(replace(path, '/', '')) <= 4 THEN 0.5 ELSE 0.1 END::DOUBLE AS weight FROM {_VALUES}")
 def f05_path_predicates(spark, d):
     p = F.col("path")
     return spark.createDataFrame([(x,) for x in _EXAMPLES], "path string").select("path", paths.is_vendor(p).alias("vendor"), paths.is_markdown(p).alias("markdown"), paths.relative(p, "/root/repo").alias("relative"), paths.depth_weight(p).alias("weight"))
@@ -479,7 +479,7 @@ _ANY = "(VALUES " + ", ".join(f"('{r}')" for r in _REQUESTS) + ") v(t)"
 _SCORES = ", ".join("(" + " + ".join(f"CAST(regexp_matches(t, '{p}') AS INTEGER)" for p in groups) + f") AS s_{name}" for name, groups in scoring.INTENTS)
 
 
-@query(f"WITH s AS (SELECT t, {_SCORES} FROM {_ANY}), b AS (SELECT *, greatest(s_debug, s_extend, s_refactor, s_explore) AS m FROM s), i AS (SELECT t, CASE WHEN m = 0 THEN 'explore' WHEN s_debug = m THEN 'debug' WHEN s_extend = m THEN 'extend' WHEN s_refactor = m THEN 'refactor' ELSE 'explore' END AS intent FROM b) SELECT t AS text, intent, CASE intent WHEN 'debug' THEN 1.5 WHEN 'extend' THEN 1.2 WHEN 'refactor' THEN 0.8 ELSE 1.0 END AS recency, CASE intent WHEN 'debug' THEN 0.8 WHEN 'extend' THEN 0.5 WHEN 'refactor' THEN 2.0 ELSE 1.0 END AS churn, CASE intent WHEN 'debug' THEN 2.0 WHEN 'extend' THEN 0.7 ELSE 1.0 END AS reverse FROM i")
+@query(f"WITH s AS (SELECT t, {_SCORES} FROM {_ANY}), b AS (SELECT *, greatest(s_debug, s_extend, s_refactor, s_explore) AS m FROM s), i AS (SELECT t, CASE WHEN m = 0 THEN 'explore' WHEN s_debug = m THEN 'debug' WHEN s_extend = m THEN 'extend' WHEN s_refactor = m THEN 'refactor' ELSE 'explore' END AS intent FROM b) SELECT t AS text, intent, CASE intent WHEN 'debug' THEN 1.5 WHEN 'extend' THEN 1.2 WHEN 'refactor' THEN 0.8 ELSE 1.0 END::DOUBLE AS recency, CASE intent WHEN 'debug' THEN 0.8 WHEN 'extend' THEN 0.5 WHEN 'refactor' THEN 2.0 ELSE 1.0 END::DOUBLE AS churn, CASE intent WHEN 'debug' THEN 2.0 WHEN 'extend' THEN 0.7 ELSE 1.0 END::DOUBLE AS reverse FROM i")
 def x18_intents(spark, d):
     rows = spark.createDataFrame([(r,) for r in _REQUESTS], "text string").withColumn("intent", scoring.intent(F.col("text")))
     return rows.withColumn("r", scoring.recipe(F.col("intent"))).select("text", "intent", "r.recency", "r.churn", "r.reverse")
