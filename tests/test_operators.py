@@ -22,13 +22,14 @@ def even(spark, ids):
     return spark.createDataFrame([(i, 1.0) for i in ids], "id string, weight double")
 
 
-def test_pagerank_closed_forms(spark):
-    both = {r.id: r["rank"] for r in graph.pagerank(even(spark, "ab"), edges(spark, ("a", "b"), ("b", "a"))).collect()}
+@pytest.mark.parametrize("held", [1000, 0])
+def test_pagerank_closed_forms(spark, held):
+    both = {r.id: r["rank"] for r in graph.pagerank(even(spark, "ab"), edges(spark, ("a", "b"), ("b", "a")), held=held).collect()}
     assert both == pytest.approx({"a": 0.5, "b": 0.5})
-    one = {r.id: r["rank"] for r in graph.pagerank(even(spark, "ab"), edges(spark, ("a", "b"))).collect()}
+    one = {r.id: r["rank"] for r in graph.pagerank(even(spark, "ab"), edges(spark, ("a", "b")), held=held).collect()}
     assert sum(one.values()) == pytest.approx(1, abs=1e-5)
     assert one["b"] / one["a"] == pytest.approx(1.85, abs=1e-3)
-    assert graph.pagerank(even(spark, "ab").where("false"), edges(spark, ("a", "b"))).count() == 0
+    assert graph.pagerank(even(spark, "ab").where("false"), edges(spark, ("a", "b")).where("false"), held=held).count() == 0
 
 
 def between(spark, pairs, **options):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from waymark.session import durable
 
 #: Edges that betweenness may hold in one worker; more run as joins over frontiers.
 HELD_EDGES = 500_000
+#: Edges, and vertices, that PageRank may hold on the driver; larger graphs iterate as joins.
+HELD_RANK_EDGES = 200_000
 
 
 def definitions(tags: DataFrame) -> DataFrame:
@@ -88,14 +91,20 @@ def personalization(nodes: DataFrame, path: Column, focus: list[str] | None = No
     return nodes.select("id", weight.alias("weight"))
 
 
-def pagerank(weights: DataFrame, edges: DataFrame, *, iterations: int | None = None, config: Config = DEFAULT, cut: int = 5) -> DataFrame:
+def pagerank(weights: DataFrame, edges: DataFrame, *, iterations: int | None = None, config: Config = DEFAULT, cut: int = 5, held: int = HELD_RANK_EDGES) -> DataFrame:
     """``id, rank`` of personalised PageRank.
 
     ``weights(id, weight)`` names all vertices; ``edges(src, dst, weight)``.
     Ranks start even, dangling mass goes out by the personalisation, and the
     loop ends when ranks change by less than ``N * tolerance`` in all (tested
     every ``cut`` rounds, where lineage is cut, too) or after ``iterations``.
+
+    Sizes are counted first: up to ``held`` edges and vertices fit the driver,
+    where a round takes no job.
     """
+    edges, weights = durable(edges.select("src", "dst", "weight")), durable(weights.select("id", "weight"))
+    if edges.limit(held + 1).count() <= held and weights.limit(held + 1).count() <= held:
+        return _held_pagerank(weights, edges, iterations, config)
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     steps = durable(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")))
     total = weights.agg(F.sum("weight").alias("s"), F.count(F.lit(1)).alias("n")).first()
@@ -127,6 +136,27 @@ def pagerank(weights: DataFrame, edges: DataFrame, *, iterations: int | None = N
     return ranks.select("id", "rank")
 
 
+def _held_pagerank(weights: DataFrame, edges: DataFrame, iterations: int | None, config: Config) -> DataFrame:
+    """The same iteration over arrays."""
+    nodes, links = weights.collect(), edges.collect()
+    n, place = len(nodes), {r["id"]: i for i, r in enumerate(nodes)}
+    schema = f"id {weights.schema['id'].dataType.simpleString()}, rank double"
+    if not n:
+        return weights.sparkSession.createDataFrame([], schema)
+    src, dst = (np.array([place[r[k]] for r in links], "i8") for k in ("src", "dst"))
+    w = np.array([float(r["weight"]) for r in links], "f8")
+    q = np.array([float(r["weight"]) for r in nodes], "f8")
+    q /= q.sum()
+    out = np.bincount(src, w, n)
+    p, stuck, rank, a = w / out[src], out == 0, np.full(n, 1.0 / n), config.alpha
+    for _ in range(iterations or config.max_iterations):
+        last = rank
+        rank = a * (np.bincount(dst, rank[src] * p, n) + rank[stuck].sum() * q) + (1 - a) * q
+        if iterations is None and np.abs(rank - last).sum() < n * config.tolerance:
+            break
+    return weights.sparkSession.createDataFrame([(r["id"], float(x)) for r, x in zip(nodes, rank)], schema)
+
+
 def symbol_pagerank(edges: DataFrame, *, iterations: int | None = None, config: Config = DEFAULT) -> DataFrame:
     """``file, symbol, rank`` over symbol edges."""
     key = lambda f, s: F.to_json(F.struct(F.col(f).alias("f"), F.col(s).alias("s")))
