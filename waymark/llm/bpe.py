@@ -123,20 +123,18 @@ class PieceEncoder:
                 cut.append((pieces, None))
             else:
                 lines = [line.split(" ") for line in text.split("\n")]
-                plain.update([line[0] for line in lines])
-                for line in lines:
-                    del line[0]
-                    spaced.update(line)
-                cut.append((text, lines))
+                firsts = [line.pop(0) for line in lines]
+                plain.update(firsts)
+                spaced.update(*lines)
+                cut.append((firsts, lines))
         self._learn(self.spaced, spaced, " ")
         self._learn(self.plain, plain, "")
         of, alone = self.spaced.__getitem__, self.plain.__getitem__
         out, feed = [], self.plain["\n"]
-        for text, lines in cut:
+        for firsts, lines in cut:
             if lines is None:
-                out.append(b"".join(map(alone, text)))
+                out.append(b"".join(map(alone, firsts)))
             else:
-                firsts = [line.partition(" ")[0] for line in text.split("\n")]
                 out.append(feed.join([alone(first) + b"".join(map(of, line)) for first, line in zip(firsts, lines)]))
         return out
 
