@@ -6,7 +6,7 @@ become ASCII, zero-width characters go, spelled digits become digits, and
 ``at`` / ``dot`` disguises become ``@`` and ``.``.  The transducer keeps, for
 each character it writes, the source span it stands for, so that what is found
 in the normal form maps back to the source.  A span of the normal form counts
-only if it overlaps no plain span and some character of it was rewritten.
+only if no plain span covers it wholly and some character of it was rewritten.
 
 Null and empty texts have no spans.  Texts are scanned whole.  Repeated rows
 give repeated results.
@@ -107,15 +107,18 @@ def _table() -> dict[str, str]:
 _CHARS = _table()
 _ODD = re.compile("[" + "".join(map(re.escape, _CHARS)) + "]")
 _NUMBER = "|".join(sorted(_SPELLED, key=len, reverse=True))
-#: Five or more digits in a row of which one at least is spelled; ``plus`` and spelled dots may stand between.
-_SPELLED_RUN = re.compile(rf"(?i)(?<!\w)(?:\+|plus[ ])?(?:(?:{_NUMBER}|[0-9]+)(?:[ ,._-]{{1,3}}|[ ]?(?:dot|point)[ ]?)?){{4,}}(?!\w)")
+#: Two or more numbers in a row of which one at least is spelled; ``plus`` and spelled dots may stand between.
+_SPELLED_RUN = re.compile(rf"(?i)(?<!\w)(?:\+|plus[ ])?(?:(?:{_NUMBER}|[0-9]++)(?:[ ,._-]{{1,3}}|[ ]?(?:dot|point)[ ]?)?){{2,}}(?!\w)")
 _SPELLED_PART = re.compile(rf"(?i)(?P<word>{_NUMBER})(?![^\W\d_])|(?P<plus>plus)[ ]|(?P<dot>[ ]?(?:dot|point)[ ]?)|(?P<gap>(?<=[a-zéü])[ ,._-]{{1,3}}|[ ,._-]{{1,3}}(?=(?:{_NUMBER})(?![^\W\d_])))")
-_AT_MARK = re.compile(r"(?i)\s*(?:\[\s*(?:at|@)\s*\]|\(\s*(?:at|@)\s*\)|\{\s*(?:at|@)\s*\}|<\s*at\s*>|_at_|\s(?:at|@)\s|@)\s*")
+_AT_SIGN = r"\[\s*(?:at|@)\s*\]|\(\s*(?:at|@)\s*\)|\{\s*(?:at|@)\s*\}|<\s*at\s*>|_at_"
+_AT_MARK = re.compile(rf"(?i)\s*(?:{_AT_SIGN}|\s(?:at|@)\s|@)\s*")
 _DOT_MARK = re.compile(r"(?i)\s*(?:\[\s*(?:dot|\.)\s*\]|\(\s*(?:dot|\.)\s*\)|\{\s*(?:dot|\.)\s*\}|<\s*dot\s*>|_dot_|\sdot\s)\s*")
 _DISGUISED = re.compile(
     rf"(?P<user>[A-Za-z0-9._%+-]+(?:{_DOT_MARK.pattern[4:]}[A-Za-z0-9_%+-]+)*)(?P<at>{_AT_MARK.pattern[4:]})(?P<host>[A-Za-z0-9-]+(?:(?:\.|{_DOT_MARK.pattern[4:]})[A-Za-z0-9-]+)+)", re.I
 )
 _BRACKET_DOT = re.compile(r"(?i)(?<=[0-9])\s*(?:\[\s*(?:dot|\.)\s*\]|\(\s*(?:dot|\.)\s*\)|\{\s*(?:dot|\.)\s*\}|\sdot\s)\s*(?=[0-9])")
+#: What a text holds one of if it has marks to rewrite: a bare ``at`` or ``@`` counts only beside a dot mark.
+_MARKED = re.compile(rf"(?i){_AT_SIGN}|{_DOT_MARK.pattern[7:-3]}")
 
 
 class Tape:
@@ -149,17 +152,24 @@ class Tape:
         self.starts, self.ends, self.new = starts + self.starts[at:], ends + self.ends[at:], new + self.new[at:]
 
 
+def _digit(word: str) -> str:
+    """The digit of a spelled one; letters that only case folding takes for ASCII ones are no keys."""
+    return _SPELLED.get(word.lower()) or next(d for w, d in _SPELLED.items() if re.fullmatch(w, word, re.I))
+
+
 def _digit_edits(text: str) -> list[tuple[int, int, str]]:
     out = []
     for run in _SPELLED_RUN.finditer(text):
         parts = [m for m in _SPELLED_PART.finditer(text, run.start(), run.end())]
         spelled = sum(m.lastgroup == "word" for m in parts)
-        if spelled < 4:
+        if not spelled:
             continue
+        # few spelled digits stand in prose, too, where a dot and a space end a sentence
+        dot = lambda gap: "." if gap.strip() == "." and (spelled >= 4 or gap == ".") else gap if "." in gap and spelled < 4 else ""
         for m in parts:
             if m.end() >= run.end() and m.lastgroup in ("gap", "dot"):
                 continue
-            put = {"word": lambda m: _SPELLED[m["word"].lower()], "plus": lambda m: "+", "dot": lambda m: ".", "gap": lambda m: "." if m[0].strip() == "." else ""}[m.lastgroup](m)
+            put = {"word": lambda m: _digit(m["word"]), "plus": lambda m: "+", "dot": lambda m: ".", "gap": lambda m: dot(m[0])}[m.lastgroup](m)
             out.append((m.start(), m.end(), put))
     return out
 
@@ -189,22 +199,20 @@ def _mark_edits(text: str) -> list[tuple[int, int, str]]:
 def disguised(text: str, plain: list[Span]) -> list[Span]:
     """Identifiers that only the normal form shows, as source spans."""
     odd = None if text.isascii() else _ODD.search(text)
-    lower = text.lower()
-    marks = "dot" in lower or "[" in text or "(" in text and ("(at" in lower or "( at" in lower or "(.)" in text or "(@" in text) or "{" in text or "point" in lower
-    spelled = _SPELLED_RUN.search(text) if sum(w in lower for w in ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "eins", "zwei", "cero", "dos", "deux", "trois", "plus")) >= 2 else None
-    if not (odd or marks or spelled):
+    digits = None if odd else _digit_edits(text)
+    if not (odd or digits or _MARKED.search(text)):
         return []
     tape = Tape(text)
     if odd:
         tape.rewrite([(m.start(), m.end(), _CHARS[m[0]]) for m in _ODD.finditer(tape.text)])
-    if spelled or odd:
-        tape.rewrite(_digit_edits(tape.text))
+        digits = _digit_edits(tape.text)
+    tape.rewrite(digits)
     tape.rewrite(_mark_edits(tape.text))
     found = []
     for start, end, kind in detect(tape.text):
         if any(tape.new[start:end]):
             left, right = tape.starts[start], tape.ends[end - 1]
-            if not any(left < e and s < right for s, e, _ in plain):
+            if not any(s <= left and right <= e for s, e, _ in plain):
                 found.append((left, right, kind))
     return found
 
