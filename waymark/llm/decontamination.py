@@ -8,6 +8,11 @@ Hits on one diagonal (document place minus item place) are evidence for one
 overlap.  It is verified by the tokens that hits certify as equal: they have to
 make up ``share`` of the item and ``density`` of the stretch they span.
 
+Where no diagonal of a document and item does, passages are looked for: runs of
+certified tokens without a wide gap, over neighbouring diagonals, so that words
+put in or left out do not part them.  A passage needs ``passage`` tokens that
+are certified (or ``share`` of a short item) and the same density.
+
 Lookup happens inside each document's row, against the set of test hashes as a
 constant, so documents are neither exploded nor shuffled; only hits leave a
 row.  That holds for up to ``INLINE`` test hashes, which are counted first.
@@ -21,7 +26,7 @@ rows with a null id are reported under null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Counted positions of each mask.
@@ -30,6 +35,11 @@ SPAN = 8
 #: Test hashes that may go into the plan as a constant.
 INLINE = 120_000
 SHARE, DENSITY = 0.5, 0.6
+#: Certified tokens that make a passage, however long its item is.
+PASSAGE = 16
+# The widest gaps within a passage that are tried, and how many diagonals are read together.
+# Bands of diagonals overlap by half, so any two that differ by BAND // 2 at most meet in one.
+GAPS, BAND = (SPAN, 2 * SPAN), 16
 
 
 def hashed_tokens(text: str) -> Column:
@@ -85,7 +95,7 @@ def _hits(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, inline:
     return out
 
 
-def overlaps(docs: DataFrame, tests: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", share: float = SHARE, density: float = DENSITY, inline: int = INLINE) -> DataFrame:
+def overlaps(docs: DataFrame, tests: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", share: float = SHARE, density: float = DENSITY, passage: int = PASSAGE, inline: int = INLINE) -> DataFrame:
     """``id_col, item_col, n_matched, n_item, start, length``: one row for each document and item with a verified overlap.
 
     ``n_matched`` counts certified tokens, ``start`` and ``length`` are in tokens of the document.
@@ -95,10 +105,20 @@ def overlaps(docs: DataFrame, tests: DataFrame, *, id_col: str = "doc_id", text_
     met = hits.join(known, ["hash", "mask"]).select("id", "item", "n", (F.col("pos") - F.col("at")).alias("diagonal"), "pos", "mask").distinct()
     offsets = F.element_at(F.array(*(F.array(*map(F.lit, m)) for m in MASKS)), F.col("mask") + 1)
     certain = met.select("id", "item", "n", "diagonal", F.explode(F.transform(offsets, lambda o: F.col("pos") + o)).alias("pos")).distinct()
-    lines = certain.groupBy("id", "item", "n", "diagonal").agg(F.count(F.lit(1)).alias("n_matched"), F.min("pos").alias("start"), F.max("pos").alias("stop"))
-    lines = lines.withColumn("length", F.col("stop") - F.col("start") + 1)
-    good = lines.where((F.col("n_matched") >= F.greatest(F.lit(SPAN), F.ceil(F.lit(share) * F.col("n")))) & (F.col("n_matched") >= F.lit(density) * F.col("length")))
-    best = good.groupBy("id", "item").agg(F.max(F.struct("n_matched", (-F.col("start")).alias("back"), "length", "n")).alias("b"))
+    # each diagonal as a whole (gap null), and each band of diagonals cut at gaps; one pass, so that documents are read once
+    ways = [F.struct(F.lit(None).cast("int").alias("gap"), F.lit(0).alias("half"), F.col("diagonal").cast("bigint").alias("band"))]
+    ways += [F.struct(F.lit(g).alias("gap"), F.lit(h).alias("half"), F.floor((F.col("diagonal") + h * BAND // 2) / BAND).alias("band")) for g in GAPS for h in (0, 1)]
+    ways = certain.select("id", "item", "n", "diagonal", "pos", F.explode(F.array(*ways)).alias("w")).select("*", "w.*").drop("w")
+    by = Window.partitionBy("id", "item", "n", "gap", "half", "band").orderBy("pos", "diagonal")
+    ways = ways.withColumn("cut", F.when(F.col("pos") - F.lag("pos").over(by) - 1 > F.col("gap"), 1).otherwise(0)).withColumn("run", F.sum("cut").over(by))
+    lines = ways.groupBy("id", "item", "n", "gap", "half", "band", "run").agg(
+        F.least(F.size(F.collect_set("pos")), F.size(F.collect_set(F.col("pos") - F.col("diagonal")))).alias("n_matched"), F.min("pos").alias("start"), F.max("pos").alias("stop")
+    )
+    lines = lines.withColumn("length", F.col("stop") - F.col("start") + 1).withColumn("whole", F.col("gap").isNull())
+    part = F.ceil(F.lit(share) * F.col("n"))
+    least = F.greatest(F.lit(SPAN), F.when(F.col("whole"), part).otherwise(F.least(part, F.lit(passage))))
+    good = lines.where((F.col("n_matched") >= least) & (F.col("n_matched") >= F.lit(density) * F.col("length")))
+    best = good.groupBy("id", "item").agg(F.max(F.struct("whole", "n_matched", (-F.col("start")).alias("back"), "length", "n")).alias("b"))
     return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("b.n_matched").cast("bigint").alias("n_matched"), F.col("b.n").cast("bigint").alias("n_item"), (-F.col("b.back")).cast("bigint").alias("start"), F.col("b.length").cast("bigint").alias("length"))
 
 
