@@ -9,8 +9,11 @@ multi-member gzip file in any store that Spark can write.
 Reading.  Files come through Spark's ``binaryFile`` reader.  A member or record
 that fails a check (inflation, version line, header, length, digest) is left
 out; reading goes on at the next valid gzip member or version line, and the
-bytes in between are logged as a gap.  Files are bounded by ``per_file``
-records, so one file fits one task.
+bytes in between are logged as a gap.  Within a member, and within what a broken
+one did inflate, reading goes on at the next version line; the gap is then that
+member's place in the file.  Records of a damaged member that have no digest to
+check come as ``unverified``.  Digests of unknown algorithms are not checked.
+Files are bounded by ``per_file`` records, so one file fits one task.
 
 Null html is an empty payload.  Null urls become an empty target.  A null id
 stays null.  Rows that repeat the smallest id of a group are responses, too.
@@ -18,6 +21,7 @@ stays null.  Rows that repeat the smallest id of a group are responses, too.
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import re
@@ -32,6 +36,8 @@ _EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 _PREFIX = "urn:waymark:page:"
 _MAGIC, _VERSION = b"\x1f\x8b\x08", re.compile(rb"WARC/1\.[01]\r\n")
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+#: Archives take the digest of such a body with or without its chunk marks, so it is not checked.
+_CHUNKED = re.compile(rb"(?im)^Transfer-Encoding:[^\r\n]*chunked")
 _HTTP_LENGTH = re.compile(rb"(?im)^Content-Length:[ ]*([0-9]+)\r?$")
 
 
@@ -48,6 +54,16 @@ def build_record(page_id: int | None, url: str | None, payload: bytes, digest: s
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def digest_fits(named: str, data: bytes) -> bool | None:
+    """Whether a digest header (``algorithm:value`` in hex, base 32 or base 64) fits; null if it can't be checked."""
+    algorithm, _, value = named.strip().partition(":")
+    algorithm = algorithm.lower().replace("-", "")
+    if algorithm not in ("md5", "sha1", "sha256", "sha384", "sha512") or not value:
+        return None
+    raw, value = hashlib.new(algorithm, data).digest(), value.rstrip("=")
+    return value.lower() == raw.hex() or value.upper() == base64.b32encode(raw).decode().rstrip("=") or value == base64.b64encode(raw).decode().rstrip("=")
+
+
 def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     """Headers, block and end of the record at ``at``; ValueError names the check that failed."""
     if not _VERSION.match(data, at):
@@ -68,54 +84,75 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     if data[end : end + 4] != b"\r\n\r\n":
         raise ValueError("record end")
     block = data[start:end]
-    algorithm, _, digest = headers.get("warc-block-digest", "").partition(":")
-    if algorithm == "sha256" and hashlib.sha256(block).hexdigest() != digest:
+    if digest_fits(headers.get("warc-block-digest", ""), block) is False:
         raise ValueError("block digest")
     return headers, block, end + 4
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
-    """The gzip member at ``at`` and its end."""
-    worker, out, place = zlib.decompressobj(31), [], at
-    try:
-        while not worker.eof:
-            if place >= len(data):
-                raise ValueError("member cut short")
-            part = data[place : place + 65536]
+def _inflate(data: bytes, at: int) -> tuple[bytes, int | None, str]:
+    """What the gzip member at ``at`` inflates to, its end (null: broken) and why it is broken."""
+    worker, out, place, step, last = zlib.decompressobj(31), [], at, 65536, len(data)
+    while not worker.eof:
+        if place >= last:
+            return b"".join(out), None, "member cut short"
+        part = data[place : min(place + step, last)]
+        try:
             out.append(worker.decompress(part))
-            place += len(part)
-    except zlib.error as error:
-        raise ValueError(f"member: {error}") from None
-    return b"".join(out), place - len(worker.unused_data)
+        except zlib.error as error:
+            if step == 1:
+                return b"".join(out), None, f"member: {error}"
+            # what the failing part inflates to before the error comes only byte by byte
+            worker, out, step, last = zlib.decompressobj(31), [], 1, place + len(part)
+            if place > at:
+                out.append(worker.decompress(data[at:place]))
+            continue
+        place += len(part)
+    return b"".join(out), place - len(worker.unused_data), ""
+
+
+def _records(data: bytes) -> tuple[list[tuple[dict[str, str], bytes]], str]:
+    """The records of inflated bytes that pass, and why the first of the others failed."""
+    got, why, place = [], "", 0
+    while place < len(data):
+        try:
+            headers, block, place = parse_record(data, place)
+            got.append((headers, block))
+        except ValueError as error:
+            why = why or str(error)
+            following = _VERSION.search(data, place + 1)
+            place = following.start() if following else len(data)
+    return got, why
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict[str, str], bytes]]:
-    """``(state, offset, length, headers, block)``: state ``ok``, or the reason why these bytes are quarantined."""
+    """``(state, offset, length, headers, block)``: state ``ok``, ``unverified``, or the reason why these bytes are quarantined."""
     at, bad, why = 0, None, ""
     while at < len(data):
-        got, end = [], at
-        try:
-            if data.startswith(_MAGIC, at):
-                inner, end = _inflate(data, at)
-                place = 0
-                while place < len(inner):
-                    headers, block, place = parse_record(inner, place)
-                    got.append((headers, block))
-            else:
+        got, end, failed, torn = [], None, "", False
+        if data.startswith(_MAGIC, at):
+            inner, end, failed = _inflate(data, at)
+            torn = failed.startswith("member:")  # what precedes a mere cut is whole
+            got, inner_failed = _records(inner)
+            failed = failed or inner_failed
+        else:
+            try:
                 headers, block, end = parse_record(data, at)
                 got.append((headers, block))
-        except ValueError as error:
-            if bad is None:
-                bad, why = at, str(error)
-            following = _START.search(data, at + 1)
-            at = following.start() if following else len(data)
-            continue
-        if bad is not None:
+            except ValueError as error:
+                failed = str(error)
+        following = end
+        if following is None:
+            found = _START.search(data, at + 1)
+            following = found.start() if found else len(data)
+        if bad is not None and (got or not failed):
             yield why, bad, at - bad, {}, b""
             bad = None
         for headers, block in got:
-            yield "ok", at, end - at, headers, block
-        at = end
+            proven = not torn or digest_fits(headers.get("warc-block-digest", ""), block)
+            yield "ok" if proven else "unverified", at, following - at, headers, block
+        if failed and bad is None:
+            bad, why = at, failed
+        at = following
     if bad is not None:
         yield why, bad, len(data) - bad, {}, b""
 
@@ -161,12 +198,12 @@ def read(spark: SparkSession, path: str, *, payloads: bool = True) -> DataFrame:
     def rows_of(file: str, data: bytes):
         for state, offset, length, headers, block in salvage(data):
             kind = headers.get("warc-type")
-            cut = block.find(b"\r\n\r\n")
+            cut = block.find(b"\r\n\r\n") if headers.get("content-type", "").lower().startswith("application/http") else -1
             head, payload = (block[:cut], block[cut + 4 :]) if cut >= 0 else (b"", block)
             digest, size = headers.get("warc-payload-digest", "").partition(":")[2], len(payload)
             if state == "ok" and kind == "revisit":
                 size = int(m[1]) if (m := _HTTP_LENGTH.search(head)) else None
-            elif state == "ok" and hashlib.sha256(payload).hexdigest() != digest:
+            elif state == "ok" and digest_fits(headers.get("warc-payload-digest", ""), payload) is False and not _CHUNKED.search(head):
                 state = "payload digest"
             yield file, state, offset, length, page(headers.get("warc-record-id")), headers.get("warc-target-uri"), kind, size if state == "ok" else None, digest or None, page(headers.get("warc-refers-to")), payload if payloads and kind != "revisit" else None
 
