@@ -8,13 +8,15 @@ each character it writes, the source span it stands for, so that what is found
 in the normal form maps back to the source.  A span of the normal form counts
 only if no plain span covers it wholly and some character of it was rewritten.
 
-Null and empty texts have no spans.  Texts are scanned whole.  Repeated rows
-give repeated results.
+Null and empty texts have no spans.  Texts are scanned whole, in time that grows
+with their length whatever they hold.  Repeated rows give repeated results.
+Columns that are not named in ``keep`` are left out; ``redact`` keeps all.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,12 +24,13 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+_HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
+#: Matches end where a run of digits ends, so none starts within a run.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
-_AROUND = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@")
+_USER = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 
 Span = tuple[int, int, str]
 
@@ -46,26 +49,35 @@ def _only_digits(text: str) -> str:
     return "".join(_DIGITS.findall(text))
 
 
-def _emails(text: str) -> list[Span]:
-    """Matches lie within runs of address characters that hold an ``@``; only those are scanned."""
-    out, at, floor = [], text.find("@"), 0
+def _emails(text: str, counts: Callable[[int, int, int], bool] | None = None) -> list[Span]:
+    """Addresses, leftmost and not overlapping; each ``@`` is looked at once, with what stands around it.
+
+    Of an address for which ``counts(start, at, end)`` is false nothing is taken.
+    """
+    out, floor, at = [], 0, text.find("@")
     while at >= 0:
-        left, right = at, at + 1
-        while left > floor and text[left - 1] in _AROUND:
-            left -= 1
-        while right < len(text) and text[right] in _AROUND:
-            right += 1
-        out += [(m.start(), m.end(), "email") for m in _EMAIL.finditer(text, left, right)]
-        floor, at = right, text.find("@", right)
+        start = floor + len(text[floor:at].rstrip(_USER))
+        if start < at and (host := _HOST.match(text, at + 1)) and (counts is None or counts(start, at, host.end())):
+            out.append((start, host.end(), "email"))
+            floor = host.end()
+        else:
+            floor = at + 1
+        at = text.find("@", floor)
     return out
 
 
-def detect(text: str) -> list[Span]:
+def _octet(part: str) -> bool:
+    """Whether digits of any number come to at most 255."""
+    part = part.lstrip("0")
+    return len(part) < 3 or (len(part) == 3 and part <= "255")
+
+
+def detect(text: str, counts: Callable[[int, int, int], bool] | None = None) -> list[Span]:
     """The plain identifiers of a text: leftmost and non-overlapping in each kind; a match that fails its check is dropped."""
-    out = _emails(text) if "@" in text else []
+    out = _emails(text, counts) if "@" in text else []
     if _DIGITS.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(map(_octet, m[0].split("."))):
                 out.append((m.start(), m.end(), "ip"))
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 14 and 14 <= len(d := _only_digits(m[0])) <= 19 and _luhn(d):
@@ -110,46 +122,62 @@ _NUMBER = "|".join(sorted(_SPELLED, key=len, reverse=True))
 #: Two or more numbers in a row of which one at least is spelled; ``plus`` and spelled dots may stand between.
 _SPELLED_RUN = re.compile(rf"(?i)(?<!\w)(?:\+|plus[ ])?(?:(?:{_NUMBER}|[0-9]++)(?:[ ,._-]{{1,3}}|[ ]?(?:dot|point)[ ]?)?){{2,}}(?!\w)")
 _SPELLED_PART = re.compile(rf"(?i)(?P<word>{_NUMBER})(?![^\W\d_])|(?P<plus>plus)[ ]|(?P<dot>[ ]?(?:dot|point)[ ]?)|(?P<gap>(?<=[a-zéü])[ ,._-]{{1,3}}|[ ,._-]{{1,3}}(?=(?:{_NUMBER})(?![^\W\d_])))")
-_AT_SIGN = r"\[\s*(?:at|@)\s*\]|\(\s*(?:at|@)\s*\)|\{\s*(?:at|@)\s*\}|<\s*at\s*>|_at_"
-_AT_MARK = re.compile(rf"(?i)\s*(?:{_AT_SIGN}|\s(?:at|@)\s|@)\s*")
-_DOT_MARK = re.compile(r"(?i)\s*(?:\[\s*(?:dot|\.)\s*\]|\(\s*(?:dot|\.)\s*\)|\{\s*(?:dot|\.)\s*\}|<\s*dot\s*>|_dot_|\sdot\s)\s*")
-_DISGUISED = re.compile(
-    rf"(?P<user>[A-Za-z0-9._%+-]+(?:{_DOT_MARK.pattern[4:]}[A-Za-z0-9_%+-]+)*)(?P<at>{_AT_MARK.pattern[4:]})(?P<host>[A-Za-z0-9-]+(?:(?:\.|{_DOT_MARK.pattern[4:]})[A-Za-z0-9-]+)+)", re.I
-)
-_BRACKET_DOT = re.compile(r"(?i)(?<=[0-9])\s*(?:\[\s*(?:dot|\.)\s*\]|\(\s*(?:dot|\.)\s*\)|\{\s*(?:dot|\.)\s*\}|\sdot\s)\s*(?=[0-9])")
-#: What a text holds one of if it has marks to rewrite: a bare ``at`` or ``@`` counts only beside a dot mark.
-_MARKED = re.compile(rf"(?i){_AT_SIGN}|{_DOT_MARK.pattern[7:-3]}")
+_AT, _DOT = "[Aa][Tt]", "[Dd][Oo][Tt]"
+
+
+def _bracketed(word: str, sign: str) -> str:
+    """A word or sign in brackets, after the bracket; words alone stand in ``<>`` and between low lines, too."""
+    pairs = (("\\[", "\\]"), ("\\(", "\\)"), ("\\{", "\\}"))
+    return "|".join([*(rf"(?<={a})\s*(?:{word}|{sign})\s*{b}" for a, b in pairs), rf"(?<=<)\s*{word}\s*>", rf"(?<=_){word}_"])
+
+
+_DOT_MARK = rf"{_bracketed(_DOT, '[.]')}|(?<=\s[Dd])[Oo][Tt](?=\s)"
+#: Every mark starts at a character of its own, so a text is scanned once whatever runs it holds.
+_MARK = re.compile(rf"[\[({{<_DdAa@](?:(?P<at>{_bracketed(_AT, '@')})|(?P<dot>{_DOT_MARK})|(?P<bare>(?<=\s[Aa])[Tt](?=\s))|(?P<spaced>(?<=\s@)(?=\s)))")
+#: What a text holds one of if it has marks to rewrite: a bare ``at`` or a spaced ``@`` counts only beside a dot mark.
+_MARKED = re.compile(rf"[\[({{<_Dd](?:{_bracketed(_AT, '@')}|{_DOT_MARK})")
+#: How a character of the normal form came about.
+KEPT, REWRITTEN, BARE, SPACED = range(4)
 
 
 class Tape:
-    """Text with, for each character, the source span it stands for and whether it was rewritten."""
+    """Text with, for each character, the source span it stands for and how it came about."""
 
     def __init__(self, text: str):
         self.text = text
         self.starts = list(range(len(text)))
         self.ends = list(range(1, len(text) + 1))
-        self.new = [False] * len(text)
+        self.how = bytearray(len(text))
 
-    def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
-        """Replace the given places, in order and apart from one another."""
+    def rewrite(self, edits: list[tuple[int, int, str, int]]) -> None:
+        """Replace the given places (start, end, text, how), in order and apart from one another."""
         if not edits:
             return
-        text, starts, ends, new, at = [], [], [], [], 0
-        for left, right, put in edits:
+        text, starts, ends, how, at = [], [], [], bytearray(), 0
+        for left, right, put, kind in edits:
             text.append(self.text[at:left])
             starts += self.starts[at:left]
             ends += self.ends[at:left]
-            new += self.new[at:left]
+            how += self.how[at:left]
             text.append(put)
             if right > left:
                 starts += [self.starts[left]] * len(put)
                 ends += [self.ends[right - 1]] * len(put)
-                new += [True] * len(put)
-            if not put and new:
-                new[-1] = True  # what went counts as a change of its neighbour
+                how += bytes([kind]) * len(put)
+            if not put and how:
+                how[-1] = how[-1] or REWRITTEN  # what went counts as a change of its neighbour
             at = right
         self.text = "".join(text) + self.text[at:]
-        self.starts, self.ends, self.new = starts + self.starts[at:], ends + self.ends[at:], new + self.new[at:]
+        self.starts, self.ends, self.how = starts + self.starts[at:], ends + self.ends[at:], how + self.how[at:]
+
+    def changed_dot(self, start: int, end: int) -> bool:
+        return any(h and c == "." for h, c in zip(self.how[start:end], self.text[start:end]))
+
+    def address(self, start: int, at: int, end: int) -> bool:
+        """Whether an address counts: a bare ``at`` needs a rewritten dot in its host, a spaced ``@`` one anywhere."""
+        if self.how[at] == BARE:
+            return self.changed_dot(at, end)
+        return self.how[at] != SPACED or self.changed_dot(start, end)
 
 
 def _digit(word: str) -> str:
@@ -157,7 +185,7 @@ def _digit(word: str) -> str:
     return _SPELLED.get(word.lower()) or next(d for w, d in _SPELLED.items() if re.fullmatch(w, word, re.I))
 
 
-def _digit_edits(text: str) -> list[tuple[int, int, str]]:
+def _digit_edits(text: str) -> list[tuple[int, int, str, int]]:
     out = []
     for run in _SPELLED_RUN.finditer(text):
         parts = [m for m in _SPELLED_PART.finditer(text, run.start(), run.end())]
@@ -170,30 +198,24 @@ def _digit_edits(text: str) -> list[tuple[int, int, str]]:
             if m.end() >= run.end() and m.lastgroup in ("gap", "dot"):
                 continue
             put = {"word": lambda m: _digit(m["word"]), "plus": lambda m: "+", "dot": lambda m: ".", "gap": lambda m: dot(m[0])}[m.lastgroup](m)
-            out.append((m.start(), m.end(), put))
+            out.append((m.start(), m.end(), put, REWRITTEN))
     return out
 
 
-def _mark_edits(text: str) -> list[tuple[int, int, str]]:
-    out = []
-    for m in _DISGUISED.finditer(text):
-        at = m["at"]
-        marks = [d for group in ("user", "host") for d in _DOT_MARK.finditer(text, m.start(group), m.end(group))]
-        plain = at.strip().lower() == "at"  # a bare word needs a spelled dot in the host as well
-        if plain and not any(d.start() >= m.start("host") for d in marks):
+def _mark_edits(text: str) -> list[tuple[int, int, str, int]]:
+    """Marks with the white space around them."""
+    out, floor = [], 0
+    for m in _MARK.finditer(text):
+        if m.start() < floor:
             continue
-        if at.strip() == "@" and at != "@" and not marks:
-            continue
-        if at == "@" and not marks:
-            continue
-        out += [(d.start(), d.end(), ".") for d in marks if d.start() < m.start("at")]
-        out.append((m.start("at"), m.end("at"), "@"))
-        out += [(d.start(), d.end(), ".") for d in marks if d.start() >= m.start("host")]
-    taken = [(a, b) for a, b, _ in out]
-    for m in _BRACKET_DOT.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, b in taken):
-            out.append((m.start(), m.end(), "."))
-    return sorted(out)
+        start, end = m.span()
+        while start > floor and text[start - 1].isspace():
+            start -= 1
+        while end < len(text) and text[end].isspace():
+            end += 1
+        out.append((start, end, "." if m.lastgroup == "dot" else "@", {"bare": BARE, "spaced": SPACED}.get(m.lastgroup, REWRITTEN)))
+        floor = end
+    return out
 
 
 def disguised(text: str, plain: list[Span]) -> list[Span]:
@@ -204,13 +226,13 @@ def disguised(text: str, plain: list[Span]) -> list[Span]:
         return []
     tape = Tape(text)
     if odd:
-        tape.rewrite([(m.start(), m.end(), _CHARS[m[0]]) for m in _ODD.finditer(tape.text)])
+        tape.rewrite([(m.start(), m.end(), _CHARS[m[0]], REWRITTEN) for m in _ODD.finditer(tape.text)])
         digits = _digit_edits(tape.text)
     tape.rewrite(digits)
     tape.rewrite(_mark_edits(tape.text))
     found = []
-    for start, end, kind in detect(tape.text):
-        if any(tape.new[start:end]):
+    for start, end, kind in detect(tape.text, tape.address):
+        if any(tape.how[start:end]):
             left, right = tape.starts[start], tape.ends[end - 1]
             if not any(s <= left and right <= e for s, e, _ in plain):
                 found.append((left, right, kind))
