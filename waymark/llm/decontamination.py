@@ -5,13 +5,16 @@ ignored.  Hashes of the counted tokens at every position of the test items are
 looked up at every position of the documents; a substituted token at an ignored
 position does not hide a match, and three masks differ in what they ignore.
 Hits on one diagonal (document place minus item place) are evidence for one
-overlap.  It is verified by the tokens that hits certify as equal: they have to
-make up ``share`` of the item and ``density`` of the stretch they span.
+overlap.  It is verified by comparing all tokens of the item with those of the
+document along the diagonal; the run of places that scores best (``GAIN`` for an
+equal token, less one for each place) is the overlap.  It has to match ``share``
+of the item and be dense enough, so that a token that happens to be equal far
+away neither adds to a run nor spoils it.
 
-Where no diagonal of a document and item does, passages are looked for: runs of
-certified tokens without a wide gap, over neighbouring diagonals, so that words
-put in or left out do not part them.  A passage needs ``passage`` tokens that
-are certified (or ``share`` of a short item) and the same density.
+Where no diagonal of a document and item does, passages are looked for: the best
+run over bands of neighbouring diagonals that have hits, so that words put in or
+left out do not part them.  A passage needs ``passage`` equal tokens (or
+``share`` of a short item) and the same density.
 
 Lookup happens inside each document's row, against the set of test hashes as a
 constant, so documents are neither exploded nor shuffled; only hits leave a
@@ -19,32 +22,44 @@ row.  That holds for up to ``INLINE`` test hashes, which are counted first.
 More of them are joined by a shuffle on the hash instead.
 
 Tokens are runs of letters and digits, lower-cased.  Null and empty texts have
-no tokens.  Items with fewer tokens than a mask's span are too short to be
-evidence and match nothing.  Repeated rows and ids are reported once per id;
-rows with a null id are reported under null.
+no tokens.  Items of fewer than ``LEAST`` tokens are too short to be evidence and
+match nothing; one of ``LEAST`` tokens is found with any one of them substituted.
+Repeated rows and ids are reported once per id, each row compared by itself; rows
+with a null id are reported under null.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymark.llm.common import durable
+
 # Counted positions of each mask.
-MASKS = ((0, 1, 3, 4, 7), (0, 1, 2, 5, 7), (0, 2, 3, 6, 7))
-SPAN = 8
+MASKS = ((0, 1, 3, 4, 6), (0, 2, 3, 5, 6), (0, 1, 2, 4, 6))
+SPAN = 7
+#: The fewest tokens of an item that counts; one of them may be substituted.
+LEAST = 8
 #: Test hashes that may go into the plan as a constant.
 INLINE = 120_000
+#: Contaminated ids that may be broadcast.
+BROADCAST_IDS = 500_000
 SHARE, DENSITY = 0.5, 0.6
-#: Certified tokens that make a passage, however long its item is.
+#: What an equal token adds to a run's score; each place takes one away.
+GAIN = 3
+#: Equal tokens that make a passage, however long its item is.
 PASSAGE = 16
-# The widest gaps within a passage that are tried, and how many diagonals are read together.
+# Fixed value: how many diagonals are read together.
 # Bands of diagonals overlap by half, so any two that differ by BAND // 2 at most meet in one.
-GAPS, BAND = (SPAN, 2 * SPAN), 16
+BAND = 16
 
 
 def hashed_tokens(text: str) -> Column:
-    """An array of token hashes; splitting may leave an empty token at either end."""
-    return F.transform(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.xxhash64(w))
+    """An array of token hashes; splitting may leave an empty token at the end."""
+    bare = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"^[^\p{L}\p{N}]+", "")
+    return F.transform(F.split(bare, r"[^\p{L}\p{N}]+"), lambda w: F.xxhash64(w))
 
 
 def _hash_sql(mask: int, array: str, i: str) -> str:
@@ -55,74 +70,86 @@ def _places(array: str) -> str:
     return f"if(size({array}) >= {SPAN}, sequence(0, size({array}) - {SPAN}), cast(array() as array<int>))"
 
 
-def postings(tests: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``hash, mask, item, at, n`` for each mask and place of each test item of ``n`` tokens."""
+def _items(tests: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """``item, t``: token hashes of items that are long enough."""
     tokens = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    rows = tests.select(F.col(item_col).alias("item"), F.transform(tokens, lambda w: F.xxhash64(w)).alias("h"))
-    parts = [rows.select("item", F.size("h").alias("n"), "h", F.explode(F.expr(_places("h"))).alias("at")).select(F.expr(_hash_sql(m, "h", "at")).alias("hash"), F.lit(m).alias("mask"), "item", "at", "n") for m in range(len(MASKS))]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return tests.select(F.col(item_col).alias("item"), F.transform(tokens, lambda w: F.xxhash64(w)).alias("t")).where(F.size("t") >= LEAST)
 
 
-def _hits(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, inline: int) -> DataFrame:
-    """``id, pos, hash, mask``: places of documents whose hash is that of some test item."""
-    # a column that Spark takes for non-deterministic is computed once per row; else filters on what follows would be
-    # pushed below it and repeat the split at every array access
-    once = F.when(F.monotonically_increasing_id() >= 0, hashed_tokens(text_col))
-    rows = docs.select(F.col(id_col).alias("id"), once.alias("h"))
+def postings(items: DataFrame) -> DataFrame:
+    """``hash, mask, item, at`` for each mask and place of each item."""
+    parts = [items.select("item", "t", F.explode(F.expr(_places("t"))).alias("at")).select(F.expr(_hash_sql(m, "t", "at")).alias("hash"), F.lit(m).alias("mask"), "item", "at") for m in range(len(MASKS))]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _hits(rows: DataFrame, known: DataFrame, inline: int) -> tuple[DataFrame, DataFrame]:
+    """Rows ``row, h`` that have hits, and ``row, pos, hash, mask`` of places whose hash is that of some test item."""
     each = known.select("mask", "hash").distinct()
     if each.limit(inline + 1).count() <= inline:
         by_mask: dict[int, list[int]] = {m: [] for m in range(len(MASKS))}
         for mask, value in each.collect():
             by_mask[mask].append(value)
-        found = []
-        for m, values in by_mask.items():
-            if values:
-                listed = ",".join(f"{v}L" if v != -(2**63) else "(-9223372036854775807L - 1L)" for v in sorted(values))
-                found.append((m, f"filter({_places('h')}, i -> {_hash_sql(m, 'h', 'i')} in ({listed}))"))
-        if not found:
-            return rows.select("id", F.lit(0).alias("pos"), F.lit(0).cast("bigint").alias("hash"), F.lit(0).alias("mask")).where("false")
-        marked = rows.select("id", "h", *(F.expr(sql).alias(f"p{m}") for m, sql in found))
-        some = " or ".join(f"size(p{m}) > 0" for m, _ in found)
-        pairs = ", ".join(f"transform(p{m}, i -> struct(i as pos, {_hash_sql(m, 'h', 'i')} as hash, {m} as mask))" for m, _ in found)
-        return marked.where(some).select("id", F.explode(F.expr(f"concat({pairs})")).alias("x")).select("id", "x.*")
-    out = None
-    for m in range(len(MASKS)):
-        part = rows.select("id", "h", F.explode(F.expr(_places("h"))).alias("pos")).select("id", "pos", F.expr(_hash_sql(m, "h", "pos")).alias("hash"), F.lit(m).alias("mask"))
-        out = part if out is None else out.unionByName(part)
-    return out
+        listed = {m: ",".join(f"{v}L" if v != -(2**63) else "(-9223372036854775807L - 1L)" for v in sorted(values)) or "null" for m, values in by_mask.items()}
+        marked = rows.select("*", *(F.expr(f"filter({_places('h')}, i -> {_hash_sql(m, 'h', 'i')} in ({values}))").alias(f"p{m}") for m, values in listed.items()))
+        found = durable(marked.where(" or ".join(f"size(p{m}) > 0" for m in listed)))
+        pairs = ", ".join(f"transform(p{m}, i -> struct(i as pos, {_hash_sql(m, 'h', 'i')} as hash, {m} as mask))" for m in listed)
+        return found.select("row", "h"), found.select("row", F.explode(F.expr(f"concat({pairs})")).alias("x")).select("row", "x.*")
+    parts = [rows.select("row", "h", F.explode(F.expr(_places("h"))).alias("pos")).select("row", "pos", F.expr(_hash_sql(m, "h", "pos")).alias("hash"), F.lit(m).alias("mask")) for m in range(len(MASKS))]
+    hits = durable(reduce(DataFrame.unionByName, parts).join(each, ["hash", "mask"], "left_semi"))
+    return rows.join(hits.select("row").distinct(), "row", "left_semi").select("row", "h"), hits
+
+
+def _best_run(places: Column) -> Column:
+    """``struct<score, first, last, m>`` of the run with the best score in a sorted array of places; of equals the one that ends first, then the shortest."""
+    state = "struct<s:int, f:int, m:int, last:int, score:int, first:int, stop:int, n:int>"
+
+    def step(a: Column, p: Column) -> Column:
+        kept = a["s"] - (p - a["last"] - 1)
+        on = kept > 0
+        s, f, m = F.when(on, kept + GAIN - 1).otherwise(GAIN - 1), F.when(on, a["f"]).otherwise(p), F.when(on, a["m"] + 1).otherwise(1)
+        better = s > a["score"]
+        pick = lambda x, y: F.when(better, x).otherwise(y)
+        return F.struct(s.alias("s"), f.alias("f"), m.alias("m"), p.alias("last"), pick(s, a["score"]).alias("score"), pick(f, a["first"]).alias("first"), pick(p, a["stop"]).alias("stop"), pick(m, a["n"]).alias("n")).cast(state)
+
+    return F.aggregate(places, F.struct(*(F.lit(v) for v in (0, 0, 0, -1, 0, 0, 0, 0))).cast(state), step)
 
 
 def overlaps(docs: DataFrame, tests: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", share: float = SHARE, density: float = DENSITY, passage: int = PASSAGE, inline: int = INLINE) -> DataFrame:
     """``id_col, item_col, n_matched, n_item, start, length``: one row for each document and item with a verified overlap.
 
-    ``n_matched`` counts certified tokens, ``start`` and ``length`` are in tokens of the document.
+    ``n_matched`` counts equal tokens, ``start`` and ``length`` are in tokens of the document.
     """
-    known = postings(tests, item_col, item_text_col)
-    hits = _hits(docs, known, id_col, text_col, inline)
-    met = hits.join(known, ["hash", "mask"]).select("id", "item", "n", (F.col("pos") - F.col("at")).alias("diagonal"), "pos", "mask").distinct()
-    offsets = F.element_at(F.array(*(F.array(*map(F.lit, m)) for m in MASKS)), F.col("mask") + 1)
-    certain = met.select("id", "item", "n", "diagonal", F.explode(F.transform(offsets, lambda o: F.col("pos") + o)).alias("pos")).distinct()
-    # each diagonal as a whole (gap null), and each band of diagonals cut at gaps; one pass, so that documents are read once
-    ways = [F.struct(F.lit(None).cast("int").alias("gap"), F.lit(0).alias("half"), F.col("diagonal").cast("bigint").alias("band"))]
-    ways += [F.struct(F.lit(g).alias("gap"), F.lit(h).alias("half"), F.floor((F.col("diagonal") + h * BAND // 2) / BAND).alias("band")) for g in GAPS for h in (0, 1)]
-    ways = certain.select("id", "item", "n", "diagonal", "pos", F.explode(F.array(*ways)).alias("w")).select("*", "w.*").drop("w")
-    by = Window.partitionBy("id", "item", "n", "gap", "half", "band").orderBy("pos", "diagonal")
-    ways = ways.withColumn("cut", F.when(F.col("pos") - F.lag("pos").over(by) - 1 > F.col("gap"), 1).otherwise(0)).withColumn("run", F.sum("cut").over(by))
-    lines = ways.groupBy("id", "item", "n", "gap", "half", "band", "run").agg(
-        F.least(F.size(F.collect_set("pos")), F.size(F.collect_set(F.col("pos") - F.col("diagonal")))).alias("n_matched"), F.min("pos").alias("start"), F.max("pos").alias("stop")
-    )
-    lines = lines.withColumn("length", F.col("stop") - F.col("start") + 1).withColumn("whole", F.col("gap").isNull())
+    items = durable(_items(tests, item_col, item_text_col))
+    known = postings(items)
+    # a column that Spark takes for non-deterministic is computed once per row; else filters on what follows would be
+    # pushed below it and repeat the split at every array access
+    once = F.when(F.monotonically_increasing_id() >= 0, hashed_tokens(text_col))
+    rows = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text")).alias("row"), once.alias("h"))
+    held, hits = _hits(rows, known, inline)
+    met = hits.join(known, ["hash", "mask"]).select("row", "item", (F.col("pos") - F.col("at")).alias("diagonal")).distinct()
+    equal = F.expr("filter(sequence(0, size(t) - 1), i -> get(h, i + diagonal) = t[i])")
+    lined = met.join(held.dropDuplicates(["row"]), "row").join(items, "item").select("row", "item", F.size("t").alias("n"), "diagonal", equal.alias("at"))
+    # each diagonal by itself (half null), and bands of diagonals; one pass, so that documents are read once
+    ways = [F.struct(F.lit(None).cast("int").alias("half"), F.col("diagonal").cast("bigint").alias("band"))]
+    ways += [F.struct(F.lit(h).alias("half"), F.floor((F.col("diagonal") + h * BAND // 2) / BAND).alias("band")) for h in (0, 1)]
+    pairs = F.transform("at", lambda i: F.struct((i + F.col("diagonal")).alias("pos"), i.alias("at")))
+    ways = lined.select("row", "item", "n", pairs.alias("pairs"), F.explode(F.array(*ways)).alias("w")).groupBy("row", "item", "n", "w").agg(F.flatten(F.collect_list("pairs")).alias("pairs"))
+    runs = ways.select("row", "item", "n", F.col("w.half").isNull().alias("whole"), "pairs", _best_run(F.array_sort(F.array_distinct("pairs.pos"))).alias("r"))
+    inside = F.size(F.array_distinct(F.expr("transform(filter(pairs, x -> x.pos between r.first and r.stop), x -> x.at)")))
+    lines = runs.select("row", "item", "n", "whole", F.least("r.n", inside).alias("n_matched"), F.col("r.first").alias("start"), (F.col("r.stop") - F.col("r.first") + 1).alias("length"))
     part = F.ceil(F.lit(share) * F.col("n"))
-    least = F.greatest(F.lit(SPAN), F.when(F.col("whole"), part).otherwise(F.least(part, F.lit(passage))))
+    least = F.greatest(F.lit(LEAST - 1), F.when(F.col("whole"), part).otherwise(F.least(part, F.lit(passage))))
     good = lines.where((F.col("n_matched") >= least) & (F.col("n_matched") >= F.lit(density) * F.col("length")))
-    best = good.groupBy("id", "item").agg(F.max(F.struct("whole", "n_matched", (-F.col("start")).alias("back"), "length", "n")).alias("b"))
+    best = good.groupBy(F.col("row.id").alias("id"), "item").agg(F.max(F.struct("whole", "n_matched", (-F.col("start")).alias("back"), "length", "n")).alias("b"))
     return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("b.n_matched").cast("bigint").alias("n_matched"), F.col("b.n").cast("bigint").alias("n_item"), (-F.col("b.back")).cast("bigint").alias("start"), F.col("b.length").cast("bigint").alias("length"))
 
 
 def clean(docs: DataFrame, tests: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows of contaminated ids; all columns stay, and rows with a null id go only if null is contaminated."""
-    found = overlaps(docs, tests, id_col=id_col, text_col=text_col, **options).select(F.col(id_col).alias("__bad")).distinct()
+    """``docs`` without the rows of contaminated ids; all columns stay, and rows with a null id go only if null is contaminated.
+
+    The contaminated ids are written first, so that Spark knows their size when it joins them.
+    """
+    found = durable(overlaps(docs, tests, id_col=id_col, text_col=text_col, **options).select(F.col(id_col).alias("__bad")).distinct())
+    if found.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        found = F.broadcast(found)
     return docs.join(found, F.col(id_col).eqNullSafe(F.col("__bad")), "left_anti")

@@ -11,25 +11,32 @@ FROM d LEFT JOIN f ON g = payload_digest"""
 
 
 def _decontamination() -> str:
-    """The same overlaps by equality of the counted words themselves, without hashes."""
+    """The same overlaps by equality of the counted words themselves, without hashes; runs by trying every pair of ends."""
+    d = decontamination
     words = lambda t: f"list_filter(string_split_regex(lower(coalesce({t}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
-    span = decontamination.SPAN
 
     def places(source: str, key: str, name: str) -> str:
         parts = []
-        for mask, offsets in enumerate(decontamination.MASKS):
+        for mask, offsets in enumerate(d.MASKS):
             counted = " || ' ' || ".join(f"w[i + {o}]" for o in offsets)
-            parts.append(f"SELECT {key}, n, {mask} AS mask, i, {counted} AS g FROM (SELECT {key}, w, len(w) AS n, unnest(range(1, len(w) - {span - 2})) AS i FROM {source})")
+            parts.append(f"SELECT {key}, {mask} AS mask, i, {counted} AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - {d.SPAN - 2})) AS i FROM {source})")
         return f"{name} AS ({' UNION ALL '.join(parts)})"
 
-    offsets = "CASE mask " + " ".join(f"WHEN {m} THEN {list(o)}" for m, o in enumerate(decontamination.MASKS)) + " END"
-    return f"""WITH dw AS (SELECT doc_id, {words("text")} AS w FROM documents), iw AS (SELECT item_id, {words("text")} AS w FROM benchmark),
+    return f"""WITH dw AS (SELECT doc_id, {words("text")} AS w FROM documents), iw AS (SELECT * FROM (SELECT item_id, {words("text")} AS w FROM benchmark) WHERE len(w) >= {d.LEAST}),
  {places("dw", "doc_id", "dp")}, {places("iw", "item_id", "ip")},
- m AS (SELECT DISTINCT doc_id, item_id, ip.n, dp.i - ip.i AS diagonal, dp.i AS pos, mask FROM dp JOIN ip USING (mask, g)),
- c AS (SELECT DISTINCT doc_id, item_id, n, diagonal, pos + unnest({offsets}) AS pos FROM m),
- l AS (SELECT doc_id, item_id, n, diagonal, count(*) AS n_matched, min(pos) AS start, max(pos) - min(pos) + 1 AS length FROM c GROUP BY ALL),
- g AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_matched DESC, start, length DESC) AS k FROM l WHERE n_matched >= greatest({span}, ceil({decontamination.SHARE} * n)) AND n_matched >= {decontamination.DENSITY} * length)
-SELECT g.doc_id, item_id, n_matched, CAST(n AS BIGINT) AS n_item, CAST(start - 1 + CAST(regexp_matches(text, '^[^\\p{{L}}\\p{{N}}]') AS INTEGER) AS BIGINT) AS start, CAST(length AS BIGINT) AS length FROM g JOIN documents d ON d.doc_id = g.doc_id WHERE k = 1"""
+ m AS (SELECT DISTINCT doc_id, item_id, dp.i - ip.i AS diagonal FROM dp JOIN ip USING (mask, g)),
+ e AS (SELECT doc_id, item_id, len(iw.w) AS n, diagonal, dw.w AS dw, iw.w AS iw, unnest(range(1, len(iw.w) + 1)) AS i FROM m JOIN dw USING (doc_id) JOIN iw USING (item_id)),
+ q AS (SELECT doc_id, item_id, n, diagonal, i, i + diagonal AS pos FROM e WHERE i + diagonal >= 1 AND dw[i + diagonal] = iw[i]),
+ b AS (SELECT doc_id, item_id, n, true AS whole, 0 AS half, diagonal AS band, pos, i FROM q UNION ALL SELECT doc_id, item_id, n, false, half, floor((diagonal + half * {d.BAND // 2}) / {d.BAND}), pos, i FROM q, (VALUES (0), (1)) h(half)),
+ p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id, whole, half, band ORDER BY pos) AS r FROM (SELECT DISTINCT doc_id, item_id, n, whole, half, band, pos FROM b)),
+ s AS (SELECT x.doc_id, x.item_id, x.n, x.whole, x.half, x.band, x.pos AS start, y.pos AS stop, y.r - x.r + 1 AS c,
+   row_number() OVER (PARTITION BY x.doc_id, x.item_id, x.whole, x.half, x.band ORDER BY {d.GAIN} * (y.r - x.r) - (y.pos - x.pos) DESC, y.pos, x.pos DESC) AS k
+   FROM p x JOIN p y ON x.doc_id = y.doc_id AND x.item_id = y.item_id AND x.whole = y.whole AND x.half = y.half AND x.band = y.band AND x.r <= y.r),
+ l AS (SELECT s.doc_id, s.item_id, s.n, s.whole, least(c, (SELECT count(DISTINCT b.i) FROM b WHERE b.doc_id = s.doc_id AND b.item_id = s.item_id AND b.whole = s.whole AND b.half = s.half AND b.band = s.band AND b.pos BETWEEN s.start AND s.stop)) AS n_matched,
+   start, stop - start + 1 AS length FROM s WHERE k = 1),
+ g AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY whole DESC, n_matched DESC, start, length DESC) AS k FROM l
+   WHERE n_matched >= greatest({d.LEAST - 1}, CASE WHEN whole THEN ceil({d.SHARE} * n) ELSE least(ceil({d.SHARE} * n), {d.PASSAGE}) END) AND n_matched >= {d.DENSITY} * length)
+SELECT doc_id, item_id, CAST(n_matched AS BIGINT) AS n_matched, CAST(n AS BIGINT) AS n_item, CAST(start - 1 AS BIGINT) AS start, CAST(length AS BIGINT) AS length FROM g WHERE k = 1"""
 
 
 def _licenses() -> str:
