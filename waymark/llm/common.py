@@ -1,12 +1,10 @@
-"""Shared helpers: durable checkpoints, shared folders and Arrow batch plumbing."""
+"""Shared helpers: durable checkpoints, shared folders and joins on skewed keys."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,15 +15,19 @@ WHITE = b" \t\n\x0b\x0c\r"
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    A session without that setting (tests, local mode) gets a private temporary
-    folder once; a cluster has to name a shared one.
+    A local session without that setting (tests) gets a private temporary folder
+    once; a cluster has to name a shared one.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named, made = spark.conf.get("spark.checkpoint.dir", None), context.getCheckpointDir()
     if not named:
+        if made:
+            return made
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="waymark-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(named)
+    if not made:
+        context.setCheckpointDir(named)
     return named
 
 
@@ -34,6 +36,31 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder that is no longer read."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+#: A key with more than this part of all rows is hot; so there are at most as many hot keys.
+HOT = 1000
+
+
+def join_spread(rows: DataFrame, named: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """``rows`` left joined to ``named(key, n, ...)``, where ``n`` is how many rows have the key.
+
+    Hot keys, ``HOT`` at most, are joined by a broadcast; their rows, and those
+    with a null key, are dealt evenly in the shuffle that joins the others.
+    """
+    columns = [c for c in named.columns if c not in (key, n)]
+    hot = named.where(F.col(n) * HOT > total).select(F.col(key).alias("__hot"), *(F.col(c).alias(f"__hot_{c}") for c in columns)).limit(HOT)
+    rest = named.where(F.col(n) * HOT <= total).select(F.col(key).alias("__key"), F.lit(0).cast("bigint").alias("__zero"), *columns)
+    out = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
+    out = out.withColumn("__salt", F.when(F.col("__hot").isNotNull() | F.col(key).isNull(), F.monotonically_increasing_id() + 1).otherwise(0))
+    out = out.join(rest, (F.coalesce(F.col(key), F.lit(0).cast(rows.schema[key].dataType)) == F.col("__key")) & (F.col("__salt") == F.col("__zero")), "left")
+    return out.select(*rows.columns, *(F.coalesce(f"__hot_{c}", c).alias(c) for c in columns))
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage through a replicated-storage checkpoint, never a local one."""
     shared_root(df.sparkSession)
@@ -49,20 +76,3 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def as_bytes(column: str) -> F.Column:
     """UTF-8 bytes of a string column, null as empty."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
-
-
-def map_rows(df: DataFrame, schema: str, fn: Callable[[dict], dict], rows: int = 512) -> DataFrame:
-    """``mapInArrow`` over bounded slices: ``fn`` gets a dict of column lists and returns one.
-
-    Slicing keeps what Python holds at once to ``rows`` records whatever the
-    Arrow batch size of the session is.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, rows):
-                part = batch.slice(start, rows)
-                out = fn({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
-                yield pa.RecordBatch.from_pydict(out) if isinstance(out, dict) else out
-
-    return df.mapInArrow(run, schema)

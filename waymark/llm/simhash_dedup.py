@@ -19,7 +19,8 @@ checkpointed edges.  Nothing that grows with the corpus goes to the driver.
 Null and empty texts have no shingles and the fingerprint zero, linked like any
 other.  Fewer words than ``width`` make one shingle of all words.  Repeated ids
 are separate rows; their component is that of their fingerprint.  Rows with a
-null id keep a null id and join the component of their fingerprint.
+null id keep a null id and join the component of their fingerprint.  Ids are
+integers.  Texts are read whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import as_bytes, durable
+from waymark.llm.common import as_bytes, durable, join_spread
 
 BITS, LIMIT = 64, 2048
 
@@ -218,11 +219,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, k: int = 3, limit: int = LIMIT) -> DataFrame:
     """``id_col, fp, component_id``: one row for each row, with the smallest id reachable over links."""
     marked = durable(fingerprints(df, id_col=id_col, text_col=text_col, width=width))
-    distinct = marked.groupBy("fp").agg(F.min(id_col).alias("root"))
-    named = durable(distinct.where("root is not null"))
-    label = components(links(named, k, limit))
-    final = named.join(label, named["root"] == label["node"], "left").select(F.col("fp").alias("__fp"), F.coalesce("component", "root").alias("component_id"))
-    return marked.join(final, F.col("fp") == F.col("__fp"), "left").select(id_col, "fp", "component_id")
+    distinct = durable(marked.groupBy("fp").agg(F.min(id_col).alias("root"), F.count(F.lit(1)).alias("n")))
+    label = components(links(distinct.where("root is not null").select("fp", "root"), k, limit))
+    final = distinct.join(label, F.col("root") == F.col("node"), "left").select("fp", "n", F.coalesce("component", "root").alias("component_id"))
+    return join_spread(marked, durable(final), "fp", "n", marked.count()).select(id_col, "fp", "component_id")
 
 
 def hex_fingerprint(column: str = "fp") -> F.Column:
