@@ -208,7 +208,7 @@ def test_warc_round_trip(spark, tmp_path):
         by.setdefault(r.page_id, []).append(r)
     assert [r.record_type for r in by[3]] == ["response"] * 2 and {(by[k][0].record_type, by[k][0].refers_to) for k in (5, 9, None)} == {("revisit", 3)}
     assert all(by[k][0].record_type == "response" for k in (1, 2, 4, 7, 8)) and bytes(by[6][0].payload).decode() == "é" * 60 and by[5][0].payload_bytes == len(big)
-    for file in (tmp_path / "w").glob("part*"):
+    for file in (tmp_path / "w").rglob("part-*"):
         assert gzip.decompress(file.read_bytes()).startswith(b"WARC/1.1\r\n")
     warc.write(warc.plan_records(pages.where("false")), str(tmp_path / "e"))
     assert warc.read(spark, str(tmp_path / "e")).count() == 0

@@ -13,7 +13,7 @@ bytes in between are logged as a gap.  Within a member, and within what a broken
 one did inflate, reading goes on at the next version line; the gap is then that
 member's place in the file.  Records of a damaged member that have no digest to
 check come as ``unverified``.  Digests of unknown algorithms are not checked.
-Files are bounded by ``per_file`` records, so one file fits one task.
+Files are bounded by ``per_file`` bytes of records, so one file fits one task.
 
 Null html is an empty payload.  Null urls become an empty target.  A null id
 stays null.  Rows that repeat the smallest id of a group are responses, too.
@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.llm.common import durable, join_spread
+
 _EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 _PREFIX = "urn:waymark:page:"
 _MAGIC, _VERSION = b"\x1f\x8b\x08", re.compile(rb"WARC/1\.[01]\r\n")
@@ -160,29 +162,39 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict[str, str], bytes]
 def plan_records(pages: DataFrame, least: int = 100) -> DataFrame:
     """``page_id, url, html, payload_digest, record_type, refers_to`` by payload digest."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.select("*", F.sha2(F.col("html").cast("binary"), 256).alias("payload_digest"))
-    firsts = rows.where(F.octet_length("html") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1 and __first is not null")
-    firsts = firsts.select(F.col("payload_digest").alias("__digest"), "__first")
+    rows = rows.select("*", F.sha2(F.col("html").cast("binary"), 256).alias("payload_digest")).withColumn("__digest", F.when(F.octet_length("html") >= least, F.col("payload_digest")))
+    firsts = rows.where("__digest is not null").groupBy("__digest").agg(F.min("page_id").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1 and __first is not null")
+    joined = join_spread(rows, durable(firsts), "__digest", "__n", pages.count())
     again = F.col("__first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("__first"))
-    return rows.join(firsts, F.col("payload_digest") == F.col("__digest"), "left").select(
-        "page_id", "url", "html", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("__first")).alias("refers_to")
-    )
+    return joined.select("page_id", "url", "html", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("__first")).alias("refers_to"))
+
 
+def write(planned: DataFrame, path: str, *, per_file: int = 256 << 20, level: int = 6) -> None:
+    """Write planned records as files of gzip members.
 
-def write(planned: DataFrame, path: str, *, per_file: int = 4000, level: int = 6) -> None:
-    """Write planned records as files of gzip members."""
+    A task's members are counted into parts of ``per_file`` bytes before
+    compression; each part is a file (a longer record is a file of its own).
+    """
 
     def run(batches):
+        number, filled = 0, 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256).to_pydict()
-                out = []
+                out, parts = [], []
                 for page_id, url, html, digest, kind, refers in zip(*(part[n] for n in ("page_id", "url", "html", "payload_digest", "record_type", "refers_to"))):
-                    out.append(gzip.compress(build_record(page_id, url, html.encode(), digest, refers, kind == "revisit"), level, mtime=0))
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
+                    record = build_record(page_id, url, html.encode(), digest, refers, kind == "revisit")
+                    if filled and filled + len(record) > per_file:
+                        number, filled = number + 1, 0
+                    filled += len(record)
+                    out.append(gzip.compress(record, level, mtime=0))
+                    parts.append(number)
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(parts, pa.int32())], ["member", "part"])
 
-    members = planned.mapInArrow(run, "member binary")
-    members.select(F.col("member").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", _EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", per_file).text(path)
+    # numbers rise within a task, so rows come sorted by part and each part is written as one file after another
+    members = planned.mapInArrow(run, "member binary, part int")
+    writer = members.select("part", F.col("member").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", _EMPTY_MEMBER.decode("latin-1"))
+    writer.partitionBy("part").text(path)
 
 
 RECORD = "file string, state string, offset bigint, length bigint, page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, payload binary"
@@ -222,5 +234,5 @@ def read(spark: SparkSession, path: str, *, payloads: bool = True) -> DataFrame:
                 if held:
                     yield full(held)
 
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file"), "content")
     return files.mapInArrow(run, RECORD)
