@@ -4,7 +4,8 @@ Encoding runs the ``tokenizers`` library over Arrow batches.  Its byte-level
 model works on characters that stand for bytes; merges are rebuilt from a rank
 file.  A text is cut before every space that follows a non-space, and around
 every line feed between non-spaces: no match of the splitting pattern crosses
-such a place and none looks behind it, so the pieces can be encoded apart.  Each worker keeps the ids of pieces it has seen
+such a place and none looks behind it, so the pieces can be encoded apart (other
+patterns get whole texts).  Each worker keeps the ids of pieces it has seen
 in a bounded cache, so the library encodes a repeated piece once.
 
 Null text: no ids.  Empty text: no ids.  Texts of any length are encoded whole.
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 
 #: Pieces whose ids a worker keeps; the cache is emptied when it is full.
 CACHE_PIECES = 500_000
+# Fixed value: the splitting pattern of which no match crosses a cut; texts are encoded whole for any other.
+CUT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _CUT = re.compile(r"(?<=\S)(?= )")
 _SPACES = re.compile(r"\s[ \n]|\n\s")
 
@@ -84,6 +87,7 @@ class PieceEncoder:
 
     def __init__(self, path: str, pattern: str, limit: int = CACHE_PIECES):
         self.library, self.limit = tokenizer(path, pattern), limit
+        self.cuts = pattern == CUT_PATTERN
         self.sizes = np.array([len(t) for t in byte_table(path)], "i8")
         self.spaced: dict[str, bytes] = {}  # by the piece without its leading space
         self.plain: dict[str, bytes] = {}
@@ -112,6 +116,8 @@ class PieceEncoder:
                 before = cut
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.cuts:
+            return [np.array(got.ids, dtype="<i4").tobytes() for got in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         for cache in (self.spaced, self.plain):
             if len(cache) > self.limit:
                 cache.clear()
