@@ -166,9 +166,10 @@ def test_packing_is_lossless(spark, docs, tmp_path):
     rows = [r for r in EDGES if r[0] not in (5,)] + sf_texts(spark)[:60]
     rows = [(None if i is None else i + 1000 * (k > len(EDGES) - 3), t) for k, (i, t) in enumerate(rows)]
     coded = bpe.encode(docs(*rows), path, pattern)
-    packed = packing.pack(coded, row_length=256, end_id=queries.END_ID, pad_id=queries.END_ID, shard_tokens=5000)
-    packing.write(packed, str(tmp_path / "rows"))
-    packed = spark.read.parquet(str(tmp_path / "rows"))
+    options = {"row_length": 256, "end_id": queries.END_ID, "pad_id": queries.END_ID, "shard_tokens": 5000}
+    packing.write(coded, str(tmp_path / "rows"), **options)
+    packed = packing.read(spark, str(tmp_path / "rows"))
+    assert sorted(map(repr, packing.pack(coded, **options).collect())) == sorted(map(repr, packed.collect()))
     for r in packed.collect():
         assert len(r.ids) == 512 and r.cu_seqlens[0] == 0 and r.cu_seqlens[-1] == r.n_tokens <= 256 and r.position_resets == r.cu_seqlens[:-1]
     whole = {}
@@ -176,3 +177,25 @@ def test_packing_is_lossless(spark, docs, tmp_path):
         whole.setdefault(r.doc_id, []).extend(np.frombuffer(bytes(r.ids), "<u2").tolist())
     assert whole == {r.doc_id: [*r.ids, queries.END_ID] for r in coded.collect()}
     assert packing.pack(coded.where("false"), row_length=8).count() == 0
+
+
+def test_packing_query(spark):
+    """Every document of the table comes back from the files, whole; the rows are nearly full."""
+    coding, packed = reference_encoding(), queries.op7_token_packing(spark, SF)
+    want = {i: [*coding.encode_ordinary(t or ""), queries.END_ID] for i, t in sf_texts(spark)}
+    whole = {}
+    for r in packing.unpack(packed).orderBy("doc_id", "doc_offset").collect():
+        assert r.doc_offset == len(whole.setdefault(r.doc_id, []))
+        whole[r.doc_id].extend(np.frombuffer(bytes(r.ids), "<u2").tolist())
+    assert whole == want
+    rows = packed.collect()
+    assert len({(r.shard, r.row) for r in rows}) == len(rows)
+    assert sum(r.n_tokens for r in rows) / (2048 * len(rows)) > 0.9
+
+
+def test_packing_refuses_ids_that_do_not_fit():
+    for ids in ([70000], [-1], [1.0, float("nan")]):
+        with pytest.raises(ValueError):
+            packing.narrow(np.array(ids), 2)
+    assert packing.narrow(np.array([65535]), 2).tolist() == [65535] and packing.narrow(np.array([70000]), 4).tolist() == [70000]
+    assert packing.narrow(np.array([], "i4"), 2).tolist() == []

@@ -57,7 +57,9 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = vocabulary()
     coded = bpe.encode(table(spark, sf_dir, "documents", "doc_id", "text"), path, pattern)
-    return packing.pack(coded, row_length=2048, end_id=END_ID, pad_id=END_ID, width=2)
+    files = shared_path(spark, "packed")
+    packing.write(coded, files, row_length=2048, end_id=END_ID, pad_id=END_ID, width=2)
+    return packing.read(spark, files, width=2)
 
 
 def held_out() -> F.Column:
