@@ -1,13 +1,17 @@
 """URL filters: path rules first, else gradient-boosted trees on lexical features.
 
 Everything that touches rows is a column expression: parsing, rules, features
-and the trees, which are compiled to ``CASE`` expressions.  Trees are fitted on
-the driver from a bounded sample of labelled urls (``SAMPLE`` of each label, the
-first by a hash of the url).
+and the trees, which are compiled to ``CASE`` expressions.  Suffixes are counted
+over all labelled urls; one that less than a thousandth of them have shares its
+odds with all such.  Trees are fitted on the driver from a bounded sample of
+different labelled urls (``SAMPLE`` of each label, the first by a hash of the
+url), weighed by how often they occur.  Labels are an argument: any table of urls
+with a ``label``; ``labelled`` makes one of a list of host labels.
 
 A null url, or one without ``://``, has an empty host and an empty path; no rule
 fits it and the trees judge its (empty) features.  With labels of one kind only
-the verdict is that label's.  Repeated rows are judged alike.
+the verdict is that label's.  Repeated rows are judged alike, very long urls as a
+whole; extra columns stay.
 """
 
 from __future__ import annotations
@@ -18,8 +22,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymark.llm.common import durable
+
 #: Bound of the labelled urls of each label that fitting reads.
 SAMPLE = 2_000
+#: What stands for suffixes that less than one in SUFFIXES labelled urls has; so at most as many have odds of their own.
+RARE, SUFFIXES = "*", 1_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Rules by verdict; a rule is a host and a path prefix.
@@ -64,7 +72,7 @@ def featured(df: DataFrame, suffixes: dict[str, float], url_col: str = "url", ho
         share = without(F.col(host), c) / n
         entropy = entropy - F.when(share > 0, share * F.log2(share)).otherwise(0.0)
     suffix = F.element_at(labels, -1)
-    odds = F.lit(0.0)
+    odds = F.lit(suffixes.get(RARE, 0.0))
     for name, value in suffixes.items():
         odds = F.when(suffix == name, value).otherwise(odds)
     name = F.when(F.size(labels) >= 3, F.get(labels, F.size(labels) - 3)).otherwise(F.get(labels, F.lit(0)))
@@ -157,18 +165,21 @@ def labelled(urls: DataFrame, unwanted=UNWANTED, host: str = "host") -> DataFram
 def fit(known: DataFrame, *, url_col: str = "url", sample: int = SAMPLE) -> UrlModel:
     """Fit from parsed urls with ``label`` (0 or 1; nulls are left out)."""
     known = known.where(F.col("label").isin(0, 1))
-    total = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    distinct = durable(known.groupBy(url_col, "host", "path", "label").agg(F.count(F.lit(1)).alias("__n")))
+    total = {r["label"]: r["n"] for r in distinct.groupBy("label").agg(F.sum("__n").alias("n")).collect()}
     if not total:
         return UrlModel(-20.0, (), ())
-    first = lambda y: known.where(F.col("label") == y).orderBy(F.xxhash64(url_col), url_col).limit(sample)
-    chosen = first(1).unionByName(first(0))
+    n_bad, n_all = total.get(1, 0), sum(total.values())
     suffix = F.element_at(F.split("host", r"\."), -1)
-    counted = chosen.groupBy(suffix.alias("s")).agg(F.sum("label").alias("bad"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "s").limit(50).collect()
-    n_bad, n = sum(r["bad"] for r in counted), sum(r["n"] for r in counted)
-    suffixes = tuple((r["s"], float(np.log((r["bad"] + 0.5) / (n_bad + 1)) - np.log((r["n"] - r["bad"] + 0.5) / (n - n_bad + 1)))) for r in counted)
-    rows = featured(chosen, dict(suffixes), url_col).select("label", *(f"__f_{f}" for f in FEATURES)).collect()
+    counted = distinct.groupBy(suffix.alias("s")).agg(F.sum(F.col("label") * F.col("__n")).alias("bad"), F.sum("__n").alias("n"))
+    own = F.col("n") * SUFFIXES >= n_all
+    counted = counted.groupBy(F.when(own, F.col("s")).otherwise(RARE).alias("s")).agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).orderBy("s").collect()
+    suffixes = tuple((r["s"], float(np.log((r["bad"] + 0.5) / (n_bad + 1)) - np.log((r["n"] - r["bad"] + 0.5) / (n_all - n_bad + 1)))) for r in counted)
+    first = lambda y: distinct.where(F.col("label") == y).orderBy(F.xxhash64(url_col), url_col).limit(sample)
+    rows = featured(first(1).unionByName(first(0)), dict(suffixes), url_col).select("label", "__n", *(f"__f_{f}" for f in FEATURES)).collect()
     x, y = np.array([[r[f"__f_{f}"] for f in FEATURES] for r in rows], "f8"), np.array([r["label"] for r in rows], "f8")
-    weight = np.where(y == 1, total.get(1, 0) / max(1, y.sum()), total.get(0, 0) / max(1, (1 - y).sum()))
+    weight = np.array([r["__n"] for r in rows], "f8")
+    weight *= np.where(y == 1, n_bad / max(1.0, (weight * y).sum()), (n_all - n_bad) / max(1.0, (weight * (1 - y)).sum()))
     base, trees = boost(x, y, weight * len(y) / weight.sum())
     return UrlModel(base, trees, suffixes)
 
