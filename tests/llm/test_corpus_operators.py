@@ -186,7 +186,7 @@ def test_toxicity(spark, docs):
     held = [(r.score, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
     assert len(rows) == 1000 and all(0 <= r.score <= 1 for r in rows) and held
     assert sum((s >= 0.5) == bool(t) for s, t in held) / len(held) > 0.85
-    model = toxicity.ToxicityModel((("idiot", False, True), ("réeux", True, False)), (5.0, 5.0), (3.0, 0.5, 1.0, 0.2, 0.2), -4.0)
+    model = toxicity.ToxicityModel((("idiot", False, True), ("réeux", True, False)), (5.0, 5.0), (3.5, 3.5), (3.0, 0.5, 1.0, 0.2, 0.2), -4.0)
     frame = docs((1, "you are an idiot today"), (2, 'he said "you idiot" to us'), (3, "you are an idoit today"), (4, "plain words here"), (5, None), (6, ""), (7, "un réeuxpa ici"), (8, "word " * 100_000), (4, "plain words here"))
     got = {r.doc_id: r for r in toxicity.score(frame, model).collect()}
     assert got[1].score > 0.5 > got[2].score and got[3].misspelled > 0 and got[3].score > 0.5 and got[7].hits > 0

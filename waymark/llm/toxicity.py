@@ -3,8 +3,10 @@
 The lexicon (whole terms and stems) comes from labelled rows.  Its terms form a
 trie; the Levenshtein automaton of one edit is intersected with that trie, and
 the product is made deterministic step by step, so that a word is looked up in
-one pass over its letters whatever the lexicon's size.  Each hit is weighed by
-a window of words around it: quotation marks and words of reporting lower it,
+one pass over its letters whatever the lexicon's size.  Every whole term of four
+letters or more may be misspelled; what a misspelled hit counts is learned from
+how often labelled texts have it, so that words of ordinary texts that are one
+edit from a term count little or nothing.  Each hit is weighed by a window of words around it: quotation marks and words of reporting lower it,
 words of address raise it.  A logistic model, fitted on labelled rows, turns
 the weighed hits of a text into a score.
 
@@ -12,8 +14,9 @@ Fitting uses a bounded sample: at most ``SAMPLE`` labelled rows of each label,
 the first by a hash of their id; class weights restore the true ratio.  Scores
 use the text alone.
 
-Null and empty texts have no hits and get the model's base score.  Labels that
-are null, or whose document is missing, are not learned from.  With no labels
+Null and empty texts have no hits and get the model's base score; long texts are
+read whole.  Labels that are null, or whose document is missing, are not learned
+from; of unlike labels of one document the toxic one counts.  With no labels
 of one kind the score is the constant share of label 1 (0.0 for none).
 """
 
@@ -33,7 +36,8 @@ SAMPLE = 5_000
 #: Bound of the lexicon.
 TERMS = 2_000
 WINDOW = 6
-MEMO = 300_000
+#: Tokens that a worker remembers, and the longest it remembers.
+MEMO, LONGEST = 300_000, 64
 
 _WORD = re.compile(r"[^\W_]+")
 _QUOTES = re.compile("[\"“”„«»‘’]")
@@ -136,25 +140,27 @@ class Matcher:
         if len(self.memo) > MEMO:
             self.memo.clear()
         found = [h for w in _WORD.findall(raw) if (h := self.look_up(w))]
-        self.memo[raw] = best = min(found, key=lambda h: h[1]) if found else None
+        best = min(found, key=lambda h: h[1]) if found else None
+        if len(raw) <= LONGEST:
+            self.memo[raw] = best
         return best
 
 
+#: What a misspelling counts that no ordinary text has shown, against the term itself.
+UNSEEN = 0.7
 #: What a text's hits come to; see ``describe``.
 INPUTS = ("hits", "kinds", "share", "quoted", "addressed", "misspelled")
-#: What a misspelled hit counts against an exact one.
-MISSPELLED = 0.7
 
 
-def describe(text: str, matcher: Matcher, strength: list[float]) -> tuple[float, ...]:
+def describe(text: str, matcher: Matcher, strength: list[float], near_strength: list[float]) -> tuple[float, ...]:
     """The numbers named in INPUTS for one text."""
     words = text.lower().split()
     memo, token = matcher.memo, matcher.token
-    hits = [(i, h) for i, w in enumerate(words) if (h := memo[w] if w in memo else token(w))]
+    hits = [(i, h) for i, w in enumerate(words) if (h := memo[w] if w in memo else token(w)) and (not h[1] or near_strength[h[0]] > 0)]
     exact = misspelled = quoted = addressed = 0.0
     for i, (term, edits) in hits:
         near = words[max(0, i - WINDOW) : i + WINDOW + 1]
-        weight = strength[term]
+        weight = near_strength[term] if edits else strength[term]
         before = " ".join(words[max(0, i - WINDOW) : i])
         cited = len(_QUOTES.findall(before)) % 2 == 1 or bool(_QUOTES.match(words[i])) or any(w.strip(".,:;") in _REPORTS for w in near)
         if cited:
@@ -167,13 +173,14 @@ def describe(text: str, matcher: Matcher, strength: list[float]) -> tuple[float,
             addressed += weight
     share = len(hits) / len(words) if words else 0.0
     kinds = len({t for _, (t, _) in hits})
-    return (float(np.log1p(exact + MISSPELLED * misspelled)), float(np.log1p(kinds)), float(np.sqrt(share)), float(np.log1p(quoted)), float(np.log1p(addressed)), float(np.log1p(misspelled)))
+    return (float(np.log1p(exact + misspelled)), float(np.log1p(kinds)), float(np.sqrt(share)), float(np.log1p(quoted)), float(np.log1p(addressed)), float(np.log1p(misspelled)))
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
     terms: tuple[tuple[str, bool, bool], ...] = ()
     strength: tuple[float, ...] = ()
+    near_strength: tuple[float, ...] = ()  # of a misspelled hit
     weights: tuple[float, ...] = (0.0,) * (len(INPUTS) - 1)  # misspelled hits are part of hits
     bias: float = 0.0
     constant: float | None = field(default=None)
@@ -187,14 +194,14 @@ def _matcher(terms: tuple[tuple[str, bool, bool], ...]) -> Matcher:
 def _described(df: DataFrame, model: ToxicityModel, text_col: str, keep: tuple[str, ...]) -> DataFrame:
     source = df.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), *(f"__{n} double" for n in INPUTS)])
-    terms, strength = model.terms, list(model.strength)
+    terms, strength, near_strength = model.terms, list(model.strength), list(model.near_strength)
 
     def run(batches):
         matcher = _matcher(terms)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                rows = np.array([describe(t, matcher, strength) for t in part.column(len(keep)).to_pylist()], "f8").reshape(-1, len(INPUTS))
+                rows = np.array([describe(t, matcher, strength, near_strength) for t in part.column(len(keep)).to_pylist()], "f8").reshape(-1, len(INPUTS))
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *(pa.array(np.ascontiguousarray(rows[:, i])) for i in range(len(INPUTS)))], [*keep, *(f"__{n}" for n in INPUTS)])
 
     return source.mapInArrow(run, schema)
@@ -250,21 +257,21 @@ def choose_terms(mined: list[tuple[str, bool, int, int]], n_hot: float, n_cold:
     return terms, strength
 
 
-def _near_misses(labelled: DataFrame, terms: tuple, text_col: str) -> DataFrame:
-    """``term int, n``: in how many texts each term is met misspelled but not as it is spelled."""
+def _near_misses(labelled: DataFrame, terms: tuple, text_col: str, label_col: str) -> DataFrame:
+    """``term int, hot, cold``: in how many texts of each label each term is met misspelled."""
 
     def run(batches):
         matcher = _matcher(terms)
         for batch in batches:
-            counts: dict[int, int] = {}
-            for text in batch.column(0).to_pylist():
+            counts: dict[int, list[int]] = {}
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = {h for w in set(text.lower().split()) if (h := matcher.token(w))}
-                for term in {t for t, e in found if e} - {t for t, e in found if not e}:
-                    counts[term] = counts.get(term, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+                for term in {t for t, e in found if e}:
+                    counts.setdefault(term, [0, 0])[label] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), *(pa.array([c[y] for c in counts.values()], pa.int64()) for y in (1, 0))], ["term", "hot", "cold"])
 
-    rows = labelled.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    return rows.mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    rows = labelled.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.col(label_col).cast("int").alias("y"))
+    return rows.mapInArrow(run, "term int, hot bigint, cold bigint").groupBy("term").agg(F.sum("hot").alias("hot"), F.sum("cold").alias("cold"))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -282,12 +289,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 
 def fit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, min_hot: int = 4, min_odds: float = 2.5) -> ToxicityModel:
     """Learn lexicon and weights from ``labels`` (``id_col, label_col``), of which at most ``sample`` per label are read."""
-    marked = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).where("__id is not null and __y in (0, 1)")
+    marked = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).where("__id is not null and __y in (0, 1)").groupBy("__id").agg(F.max("__y").alias("__y"))
     total = {r["__y"]: r["n"] for r in marked.groupBy("__y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(total) < 2:
         return ToxicityModel(constant=1.0 if 1 in total else 0.0)
     first = lambda y: marked.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    chosen = first(1).unionByName(first(0)).dropDuplicates(["__id"])
+    chosen = first(1).unionByName(first(0))
     # at most 2 * sample ids: a proven bound for the broadcast
     rows = documents.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select(F.col(text_col).alias("__text"), "__y")
     from waymark.llm.common import durable
@@ -300,17 +307,19 @@ def fit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     mined = _mined(rows, "__text", "__y").where(F.col("hot") >= min_hot).withColumn("odds", odds).where(F.col("odds") >= min_odds)
     top = mined.orderBy((F.col("odds") * F.log1p("hot")).desc(), "term", "stem").limit(4 * TERMS).collect()
     terms, strength = choose_terms([(r["term"], r["stem"], r["hot"], r["cold"]) for r in top], seen[1], seen[0])
-    # a term is looked up with an edit unless that turns up words of ordinary texts
-    trial = tuple((t, stem, not stem and len(t) >= 4) for t, stem in terms)
-    common = {r["term"] for r in _near_misses(rows.where("__y = 0"), trial, "__text").where(F.col("n") > 0.002 * seen[0]).collect()}
-    model = ToxicityModel(tuple((t, stem, fuzzy and i not in common) for i, (t, stem, fuzzy) in enumerate(trial)), tuple(strength))
+    lexicon = tuple((t, stem, not stem and len(t) >= 4) for t, stem in terms)
+    # smoothed as an unseen misspelling is: a little below the term itself
+    near = {r["term"]: (r["hot"], r["cold"]) for r in _near_misses(rows, lexicon, "__text", "__y").collect()}
+    met = lambda i: float(np.log((near[i][0] + 0.1) / seen[1]) - np.log((near[i][1] + 0.5) / seen[0]))
+    near_strength = tuple(max(0.0, min(s, met(i) if near.get(i, (0, 0))[1] else UNSEEN * s)) for i, s in enumerate(strength))
+    model = ToxicityModel(lexicon, tuple(strength), near_strength)
     got = _described(rows, model, "__text", ("__y",)).collect()
     x = np.array([[r[f"__{n}"] for n in INPUTS[:-1]] for r in got])
     y = np.array([r["__y"] for r in got], "f8")
     weight = np.where(y == 1, total[1] / seen[1], total[0] / seen[0])
     weight *= len(y) / weight.sum()
     beta = _logistic(x, y, weight)
-    return ToxicityModel(model.terms, model.strength, tuple(float(b) for b in beta[:-1]), float(beta[-1]))
+    return ToxicityModel(lexicon, model.strength, near_strength, tuple(float(b) for b in beta[:-1]), float(beta[-1]))
 
 
 def score(df: DataFrame, model: ToxicityModel, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
