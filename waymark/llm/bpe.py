@@ -89,7 +89,7 @@ class PieceEncoder:
         self.library, self.limit = tokenizer(path, pattern), limit
         self.cuts = pattern == CUT_PATTERN
         self.sizes = np.array([len(t) for t in byte_table(path)], "i8")
-        self.spaced: dict[str, bytes] = {}  # by the piece without its leading space
+        self.spaced: dict[str, bytes] = {}  # by the piece without its leading space, or from its leading line feed on
         self.plain: dict[str, bytes] = {}
 
     def _learn(self, cache: dict[str, bytes], pieces: set[str], lead: str) -> None:
@@ -121,28 +121,31 @@ class PieceEncoder:
         for cache in (self.spaced, self.plain):
             if len(cache) > self.limit:
                 cache.clear()
-        cut, spaced, plain = [], set(), {"\n"}
+        out, firsts, waiting, spaced, plain = [], [], [], set(), {"\n"}
         for text in texts:
             if "  " in text or _SPACES.search(text):
-                pieces = _CUT.split(text)
-                plain.update(pieces)
-                cut.append((pieces, None))
+                first, words, cache = None, _CUT.split(text), self.plain
             else:
-                lines = [line.split(" ") for line in text.split("\n")]
-                firsts = [line.pop(0) for line in lines]
-                plain.update(firsts)
-                spaced.update(*lines)
-                cut.append((firsts, lines))
-        self._learn(self.spaced, spaced, " ")
+                first, *words = text.replace("\n", " \n").split(" ")
+                plain.add(first)
+                cache = self.spaced
+            got = list(map(cache.get, words))
+            out.append(got)
+            at = -1
+            for _ in range(got.count(None)):
+                at = got.index(None, at + 1)
+                (plain if first is None else spaced).add(words[at])
+                waiting.append((got, at, words[at], cache))
+            firsts.append(first)
+        broken = {w for w in spaced if w[:1] == "\n"}
+        self._learn(self.spaced, spaced - broken, " ")
+        plain.update(w[1:] for w in broken)
         self._learn(self.plain, plain, "")
-        of, alone = self.spaced.__getitem__, self.plain.__getitem__
-        out, feed = [], self.plain["\n"]
-        for firsts, lines in cut:
-            if lines is None:
-                out.append(b"".join(map(alone, firsts)))
-            else:
-                out.append(feed.join([alone(first) + b"".join(map(of, line)) for first, line in zip(firsts, lines)]))
-        return out
+        for w in broken:
+            self.spaced[w] = self.plain["\n"] + self.plain[w[1:]]
+        for got, at, word, cache in waiting:
+            got[at] = cache[word]
+        return [b"".join(got) if first is None else self.plain[first] + b"".join(got) for first, got in zip(firsts, out)]
 
 
 @lru_cache(maxsize=2)
