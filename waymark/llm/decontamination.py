@@ -134,7 +134,8 @@ def overlaps(docs: DataFrame, tests: DataFrame, *, id_col: str = "doc_id", text_
     ways += [F.struct(F.lit(h).alias("half"), F.floor((F.col("diagonal") + h * BAND // 2) / BAND).alias("band")) for h in (0, 1)]
     pairs = F.transform("at", lambda i: F.struct((i + F.col("diagonal")).alias("pos"), i.alias("at")))
     ways = lined.select("row", "item", "n", pairs.alias("pairs"), F.explode(F.array(*ways)).alias("w")).groupBy("row", "item", "n", "w").agg(F.flatten(F.collect_list("pairs")).alias("pairs"))
-    runs = ways.select("row", "item", "n", F.col("w.half").isNull().alias("whole"), "pairs", _best_run(F.array_sort(F.array_distinct("pairs.pos"))).alias("r"))
+    # exploded, so that it is computed once and not at every use
+    runs = ways.select("row", "item", "n", F.col("w.half").isNull().alias("whole"), "pairs", F.explode(F.array(_best_run(F.array_sort(F.array_distinct("pairs.pos"))))).alias("r"))
     inside = F.size(F.array_distinct(F.expr("transform(filter(pairs, x -> x.pos between r.first and r.stop), x -> x.at)")))
     lines = runs.select("row", "item", "n", "whole", F.least("r.n", inside).alias("n_matched"), F.col("r.first").alias("start"), (F.col("r.stop") - F.col("r.first") + 1).alias("length"))
     part = F.ceil(F.lit(share) * F.col("n"))
