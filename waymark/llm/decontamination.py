@@ -35,7 +35,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import durable
+from waymark.llm.common import durable, small
 
 # Counted positions of each mask.
 MASKS = ((0, 1, 3, 4, 6), (0, 2, 3, 5, 6), (0, 1, 2, 4, 6))
@@ -44,8 +44,6 @@ SPAN = 7
 LEAST = 8
 #: Test hashes that may go into the plan as a constant.
 INLINE = 120_000
-#: Contaminated ids that may be broadcast.
-BROADCAST_IDS = 500_000
 SHARE, DENSITY = 0.5, 0.6
 #: What an equal token adds to a run's score; each place takes one away.
 GAIN = 3
@@ -151,6 +149,4 @@ def clean(docs: DataFrame, tests: DataFrame, *, id_col: str = "doc_id", text_col
     The contaminated ids are written first, so that Spark knows their size when it joins them.
     """
     found = durable(overlaps(docs, tests, id_col=id_col, text_col=text_col, **options).select(F.col(id_col).alias("__bad")).distinct())
-    if found.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        found = F.broadcast(found)
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("__bad")), "left_anti")
+    return docs.join(small(found), F.col(id_col).eqNullSafe(F.col("__bad")), "left_anti")
