@@ -22,20 +22,41 @@ def even(spark, ids):
     return spark.createDataFrame([(i, 1.0) for i in ids], "id string, weight double")
 
 
-@pytest.mark.parametrize("held", [1000, 0])
-def test_pagerank_closed_forms(spark, held):
-    both = {r.id: r["rank"] for r in graph.pagerank(even(spark, "ab"), edges(spark, ("a", "b"), ("b", "a")), held=held).collect()}
+def test_pagerank_closed_forms(spark):
+    both = {r.id: r["rank"] for r in graph.pagerank(even(spark, "ab"), edges(spark, ("a", "b"), ("b", "a"))).collect()}
     assert both == pytest.approx({"a": 0.5, "b": 0.5})
-    one = {r.id: r["rank"] for r in graph.pagerank(even(spark, "ab"), edges(spark, ("a", "b")), held=held).collect()}
+    one = {r.id: r["rank"] for r in graph.pagerank(even(spark, "ab"), edges(spark, ("a", "b"))).collect()}
     assert sum(one.values()) == pytest.approx(1, abs=1e-5)
     assert one["b"] / one["a"] == pytest.approx(1.85, abs=1e-3)
-    assert graph.pagerank(even(spark, "ab").where("false"), edges(spark, ("a", "b")).where("false"), held=held).count() == 0
+    assert graph.pagerank(even(spark, "ab").where("false"), edges(spark, ("a", "b")).where("false")).count() == 0
 
 
 def between(spark, pairs, **options):
     return {r.id: r.betweenness for r in graph.betweenness(edges(spark, *pairs), **options).collect()}
 
 
+def brute_betweenness(pairs):
+    """All shortest paths, written out."""
+    nodes, total = sorted({x for p in pairs for x in p}), {}
+    for source in nodes:
+        paths_, done = {source: [[source]]}, {source}
+        level = [source]
+        while level:
+            reached = {}
+            for v in level:
+                for w in {b for a, b in pairs if a == v} - done:
+                    reached.setdefault(w, []).extend(p + [w] for p in paths_[v])
+            paths_ |= reached
+            done |= set(reached)
+            level = list(reached)
+        for target, ways in paths_.items():
+            for way in ways if target != source else ():
+                for v in way[1:-1]:
+                    total[v] = total.get(v, 0.0) + 1 / len(ways)
+    n = len(nodes)
+    return {v: total.get(v, 0.0) / ((n - 1) * (n - 2)) for v in nodes}
+
+
 def test_betweenness(spark):
     chain = between(spark, [("a", "b"), ("b", "c")])
     assert chain["b"] == pytest.approx(0.5) and chain["a"] == chain["c"] == 0
@@ -43,9 +64,8 @@ def test_betweenness(spark):
     assert max(between(spark, star).items(), key=lambda x: x[1]) == ("center", pytest.approx(1.0))
     triangles = [(a, b) for t in (("a1", "a2", "a3"), ("b1", "b2", "b3")) for a in t for b in t if a != b]
     joined = triangles + [(x, "bridge") for x in ("a1", "a2", "a3", "b1", "b2", "b3")] + [("bridge", x) for x in ("a1", "a2", "a3", "b1", "b2", "b3")]
-    held = between(spark, joined)
-    assert max(held, key=held.get) == "bridge"
-    assert between(spark, joined, held=0) == pytest.approx(held)
+    found = between(spark, joined)
+    assert max(found, key=found.get) == "bridge" and found == pytest.approx(brute_betweenness(joined))
     assert between(spark, []) == {}
     top = graph.bridges(edges(spark, ("a", "b"), ("b", "c"))).collect()
     assert [(r.id, sorted(r.connects)) for r in top] == [("b", ["a", "c"])]
@@ -268,3 +288,17 @@ def test_tuner():
 
 def test_schema_fits_tags(spark):
     assert extract.tags(sources(spark, ("t.py", CODE))).schema == TAG
+
+
+def test_important_files(spark):
+    names = ["CHANGELOG.md", "a/go.sum", "docs/x.rst", "a/docs/x.rst", "docs/a/x.txt", ".github/workflows/ci.yml", "a/.github/workflows/ci.yml", ".github/notes.md", ".github/x/notes.md", ".env", "x.py"]
+    rows = spark.createDataFrame([(n,) for n in names], "path string")
+    got = {r.path for r in rows.where(paths.is_important(F.col("path"))).collect()}
+    assert got == {"CHANGELOG.md", "a/go.sum", "docs/x.rst", ".github/workflows/ci.yml", ".github/notes.md", ".env"}
+
+
+def test_deep_expressions():
+    """Nesting that the parser takes but calls could not follow."""
+    code = "x = " + " + ".join(f"f{i}()" for i in range(1500)) + "\ndef g():\n    h()\n"
+    tags = extract.python_tags(code)
+    assert sum(t["node_type"] == "call" for t in tags) in (0, 1501) and (not tags or tags[-1]["name"] == "h")

@@ -47,13 +47,31 @@ def is_hidden(path: Column) -> Column:
 
 
 # Names that mark a file as important.
-IMPORTANT = (".gitignore", ".gitattributes", "README", "README.md", "README.txt", "LICENSE", "Makefile", "Dockerfile", "docker-compose.yml", "setup.py", "setup.cfg", "pyproject.toml", "requirements.txt", "package.json", "Cargo.toml", "go.mod", "pom.xml", "build.gradle", "CMakeLists.txt", "tox.ini")
+IMPORTANT = (
+    "README.md", "README.txt", "readme.md", "README.rst", "README",
+    "requirements.txt", "Pipfile", "pyproject.toml", "setup.py", "setup.cfg",
+    "package.json", "yarn.lock", "package-lock.json", "npm-shrinkwrap.json",
+    "Dockerfile", "docker-compose.yml", "docker-compose.yaml",
+    ".gitignore", ".gitattributes", ".dockerignore",
+    "Makefile", "makefile", "CMakeLists.txt",
+    "LICENSE", "LICENSE.txt", "LICENSE.md", "COPYING",
+    "CHANGELOG.md", "CHANGELOG.txt", "HISTORY.md",
+    "CONTRIBUTING.md", "CODE_OF_CONDUCT.md",
+    ".env", ".env.example", ".env.local",
+    "tox.ini", "pytest.ini", ".pytest.ini",
+    ".flake8", ".pylintrc", "mypy.ini",
+    "go.mod", "go.sum", "Cargo.toml", "Cargo.lock",
+    "pom.xml", "build.gradle", "build.gradle.kts",
+    "composer.json", "composer.lock",
+    "Gemfile", "Gemfile.lock",
+)
 
 
 def is_important(path: Column) -> Column:
-    """well-known names anywhere, workflow files and documents by folder."""
+    """well-known names anywhere; workflows, project files and documents right in their folder at the root."""
     base = F.substring_index(path, "/", -1)
-    return base.isin(*IMPORTANT) | path.rlike(r"(^|/)\.github/workflows/[^/]+\.ya?ml$") | path.rlike(r"(^|/)\.github/[^/]+\.(md|ya?ml)$") | path.rlike(r"(^|/)docs/[^/]+\.md$")
+    in_folder = path.rlike(r"^(\.github/workflows/[^/]*\.ya?ml|\.github/[^/]*\.(md|ya?ml)|docs/[^/]*\.(md|rst|txt))$")
+    return base.isin(*IMPORTANT) | in_folder
 
 
 def looks_like_path(text: Column) -> Column:

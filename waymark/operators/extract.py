@@ -50,7 +50,10 @@ def python_tags(code: str, enclosing: bool = False) -> list[dict]:
     def tag(line: int, name: str, kind: str, node_type: str, scope, **more) -> None:
         out.append({"line": line, "name": name, "kind": kind, "node_type": node_type, "parent_name": scope.name if scope else None, "parent_line": scope.lineno if scope else None, "signature": None, "fields": None} | more)
 
-    def visit(node: ast.AST, scopes: tuple) -> None:
+    # a stack, since expressions may be nested deeper than calls may be
+    waiting = [(statement, ()) for statement in reversed(module.body)]
+    while waiting:
+        node, scopes = waiting.pop()
         around = scopes[-1] if scopes else None
         if isinstance(node, ast.ClassDef):
             tag(node.lineno, node.name, "def", "class", around, fields=_fields(node))
@@ -66,12 +69,9 @@ def python_tags(code: str, enclosing: bool = False) -> list[dict]:
                 owner = around if enclosing else (scopes[-2] if len(scopes) > 1 else None)
                 tag(node.func.end_lineno or node.lineno, name, "ref", "call", owner)
         inner = (*scopes, node) if isinstance(node, _Scope) else scopes
-        for child in ast.iter_child_nodes(node):
+        for child in reversed(list(ast.iter_child_nodes(node))):
             outside = isinstance(node, _Scope) and child in node.decorator_list
-            visit(child, scopes if outside else inner)
-
-    for statement in module.body:
-        visit(statement, ())
+            waiting.append((child, scopes if outside else inner))
     return out
 
 

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,11 +10,6 @@ from waymark.functions import paths, scoring
 from waymark.operators.ordering import top_per_group
 from waymark.session import durable
 
-#: Edges that betweenness may hold in one worker; more run as joins over frontiers.
-HELD_EDGES = 500_000
-#: Edges, and vertices, that PageRank may hold on the driver; larger graphs iterate as joins.
-HELD_RANK_EDGES = 200_000
-
 
 def definitions(tags: DataFrame) -> DataFrame:
     """F01."""
@@ -91,20 +82,15 @@ def personalization(nodes: DataFrame, path: Column, focus: list[str] | None = No
     return nodes.select("id", weight.alias("weight"))
 
 
-def pagerank(weights: DataFrame, edges: DataFrame, *, iterations: int | None = None, config: Config = DEFAULT, cut: int = 5, held: int = HELD_RANK_EDGES) -> DataFrame:
+def pagerank(weights: DataFrame, edges: DataFrame, *, iterations: int | None = None, config: Config = DEFAULT, cut: int = 5) -> DataFrame:
     """``id, rank`` of personalised PageRank.
 
     ``weights(id, weight)`` names all vertices; ``edges(src, dst, weight)``.
     Ranks start even, dangling mass goes out by the personalisation, and the
     loop ends when ranks change by less than ``N * tolerance`` in all (tested
     every ``cut`` rounds, where lineage is cut, too) or after ``iterations``.
-
-    Sizes are counted first: up to ``held`` edges and vertices fit the driver,
-    where a round takes no job.
     """
     edges, weights = durable(edges.select("src", "dst", "weight")), durable(weights.select("id", "weight"))
-    if edges.limit(held + 1).count() <= held and weights.limit(held + 1).count() <= held:
-        return _held_pagerank(weights, edges, iterations, config)
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     steps = durable(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")))
     total = weights.agg(F.sum("weight").alias("s"), F.count(F.lit(1)).alias("n")).first()
@@ -136,27 +122,6 @@ def pagerank(weights: DataFrame, edges: DataFrame, *, iterations: int | None = N
     return ranks.select("id", "rank")
 
 
-def _held_pagerank(weights: DataFrame, edges: DataFrame, iterations: int | None, config: Config) -> DataFrame:
-    """The same iteration over arrays."""
-    nodes, links = weights.collect(), edges.collect()
-    n, place = len(nodes), {r["id"]: i for i, r in enumerate(nodes)}
-    schema = f"id {weights.schema['id'].dataType.simpleString()}, rank double"
-    if not n:
-        return weights.sparkSession.createDataFrame([], schema)
-    src, dst = (np.array([place[r[k]] for r in links], "i8") for k in ("src", "dst"))
-    w = np.array([float(r["weight"]) for r in links], "f8")
-    q = np.array([float(r["weight"]) for r in nodes], "f8")
-    q /= q.sum()
-    out = np.bincount(src, w, n)
-    p, stuck, rank, a = w / out[src], out == 0, np.full(n, 1.0 / n), config.alpha
-    for _ in range(iterations or config.max_iterations):
-        last = rank
-        rank = a * (np.bincount(dst, rank[src] * p, n) + rank[stuck].sum() * q) + (1 - a) * q
-        if iterations is None and np.abs(rank - last).sum() < n * config.tolerance:
-            break
-    return weights.sparkSession.createDataFrame([(r["id"], float(x)) for r, x in zip(nodes, rank)], schema)
-
-
 def symbol_pagerank(edges: DataFrame, *, iterations: int | None = None, config: Config = DEFAULT) -> DataFrame:
     """``file, symbol, rank`` over symbol edges."""
     key = lambda f, s: F.to_json(F.struct(F.col(f).alias("f"), F.col(s).alias("s")))
@@ -171,33 +136,13 @@ def file_ranks(symbol_ranks: DataFrame) -> DataFrame:
     return symbol_ranks.groupBy("file").agg(F.max("rank").alias("file_rank"))
 
 
-def _dependencies(adjacent: dict, source) -> dict:
-    """Brandes: how much each vertex lies on shortest paths from ``source``."""
-    order, paths_, distance, parents, queue = [], {source: 1.0}, {source: 0}, {}, [source]
-    for v in queue:
-        order.append(v)
-        for w in adjacent.get(v, ()):
-            if w not in distance:
-                distance[w] = distance[v] + 1
-                queue.append(w)
-            if distance[w] == distance[v] + 1:
-                paths_[w] = paths_.get(w, 0.0) + paths_[v]
-                parents.setdefault(w, []).append(v)
-    share = dict.fromkeys(order, 0.0)
-    for w in reversed(order):
-        for v in parents.get(w, ()):
-            share[v] += paths_[v] / paths_[w] * (1 + share[w])
-    del share[source]
-    return share
-
-
-def betweenness(edges: DataFrame, *, seed: int = 42, config: Config = DEFAULT, held: int = HELD_EDGES) -> DataFrame:
+def betweenness(edges: DataFrame, *, seed: int = 42, config: Config = DEFAULT) -> DataFrame:
     """``id, betweenness`` of the directed graph, normalised.
 
     Exact for up to ``exact_betweenness`` vertices, else from
-    ``betweenness_samples`` sources, chosen by a seeded hash.  Sources are dealt
-    out to workers, which hold the adjacency if its size (counted first) allows;
-    larger graphs walk all sources' frontiers as joins.
+    ``betweenness_samples`` sources, chosen by a seeded hash.  All sources'
+    frontiers advance as joins, one level at a time, and their shares come back
+    the same way.
     """
     edges = durable(edges.select("src", "dst").distinct())
     nodes = durable(vertices(edges))
@@ -208,23 +153,7 @@ def betweenness(edges: DataFrame, *, seed: int = 42, config: Config = DEFAULT, h
     sources = nodes if exact else nodes.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(config.betweenness_samples)
     k = n if exact else min(n, config.betweenness_samples)
     scale = (1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0) * n / k
-    if edges.limit(held + 1).count() <= held:
-        adjacent: dict = {}
-        for src, dst in edges.collect():
-            adjacent.setdefault(src, []).append(dst)
-        known = edges.sparkSession.sparkContext.broadcast(adjacent)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total: dict = {}
-            for batch in batches:
-                for source in batch.column(0).to_pylist():
-                    for v, share in _dependencies(known.value, source).items():
-                        total[v] = total.get(v, 0.0) + share
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.float64())], ["id", "share"])
-
-        shares = sources.select(F.col("id").cast("string")).repartition(min(k, 32)).mapInArrow(run, "id string, share double")
-    else:
-        shares = _frontier_shares(edges, sources)
+    shares = _frontier_shares(edges, sources)
     found = shares.groupBy("id").agg(F.sum("share").alias("share"))
     return nodes.join(found, "id", "left").select("id", (F.coalesce("share", F.lit(0.0)) * scale).alias("betweenness"))
 

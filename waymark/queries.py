@@ -413,10 +413,14 @@ def a19_lines_of_code(spark, d):
     return table(spark, d, "documents", "doc_id", "text").select("doc_id", text.lines_of_code(F.col("text")).cast("bigint").alias("loc"))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) < 200 THEN CAST(ceil(length(text) / 4.0) AS BIGINT) END AS short, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM documents")
+@query("""WITH r AS (SELECT doc_id, text, string_split(text, chr(10)) AS rows FROM documents),
+ s AS (SELECT *, greatest(1, CAST(floor(len(rows) / 100.0) AS INTEGER)) AS step FROM r),
+ p AS (SELECT doc_id, text, array_to_string(list_filter(rows, lambda x, i: (i - 1) % step = 0), chr(10)) AS picked FROM s)
+SELECT doc_id, CASE WHEN length(text) < 200 THEN CAST(ceil(length(text) / 4.0) AS BIGINT) ELSE CAST(floor(length(text) * ceil(length(picked) / 4.0) / greatest(length(picked), 1)) AS BIGINT) END AS sampled,
+ CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM p""")
 def x42_token_estimate(spark, d):
     t = F.col("text")
-    return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.when(F.length(t) < 200, text.sampled_tokens(t)).alias("short"), text.token_estimate(t).alias("tokens"))
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", text.sampled_tokens(t).alias("sampled"), text.token_estimate(t).alias("tokens"))
 
 
 # --- names, paths, search ------------------------------------------------------------------------------------------
@@ -450,6 +454,34 @@ def x33_cluster_keys(spark, d):
     return spark.createDataFrame([(x,) for x in _EXAMPLES], "path string").select("path", paths.cluster_key(p).alias("cluster"), paths.is_important(p).alias("important"), paths.looks_like_path(p).alias("path_like"), paths.is_hidden(p).alias("hidden"))
 
 
+_FOLDERS = ("", "docs/", ".github/", ".github/workflows/", "src/", "src/docs/")
+_NAMES = (*paths.IMPORTANT, "index.rst", "ci.yaml", "notes.txt", "main.py", "mypy.toml")
+_PICKED = f"list_value({', '.join(map(repr, _FOLDERS))})[1 + page_id % {len(_FOLDERS)}] || list_value({', '.join(map(repr, _NAMES))})[1 + (page_id // {len(_FOLDERS)}) % {len(_NAMES)}]"
+
+
+@query(f"""SELECT page_id, path, regexp_extract(path, '[^/]*$') IN ({', '.join(map(repr, paths.IMPORTANT))})
+ OR (starts_with(path, 'docs/') AND (suffix(path, '.md') OR suffix(path, '.rst') OR suffix(path, '.txt')))
+ OR (starts_with(path, '.github/') AND NOT contains(path[9:], '/') AND (suffix(path, '.md') OR suffix(path, '.yml') OR suffix(path, '.yaml')))
+ OR (starts_with(path, '.github/workflows/') AND (suffix(path, '.yml') OR suffix(path, '.yaml'))) AS important
+FROM (SELECT page_id, {_PICKED} AS path FROM pages)""")
+def f10_important(spark, d):
+    pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at % len(values) + 1).cast("int"))
+    page = F.col("page_id")
+    path = F.concat(pick(_FOLDERS, page), pick(_NAMES, F.floor(page / len(_FOLDERS))))
+    return table(spark, d, "pages", "page_id").select("page_id", path.alias("path")).withColumn("important", paths.is_important(F.col("path")))
+
+
+@query(f"""WITH p AS (SELECT page_id, {_URL_PATH} AS path FROM pages), f AS (SELECT page_id, path, string_split(path, '/') AS parts FROM p),
+ g AS (SELECT page_id, path, parts[1:len(parts) - 1] AS folders FROM f),
+ h AS (SELECT *, list_min(list_filter([list_position(folders, 'src'), list_position(folders, 'lib'), list_position(folders, 'tests'), list_position(folders, 'app')], lambda x: x > 0)) AS anchor FROM g),
+ k AS (SELECT *, CASE WHEN anchor IS NOT NULL AND len(folders) > anchor THEN folders[anchor + 1:anchor + 2] ELSE folders[greatest(len(folders) - 1, 1):] END AS used FROM h)
+SELECT page_id, CASE WHEN len(folders) = 0 OR array_to_string(used, '/') = '' THEN '(root)' ELSE array_to_string(used, '/') END AS cluster,
+ regexp_matches(path, '\\.(py|js|ts|jsx|tsx|java|go|rs|md)$') AS path_like FROM k""")
+def x33_cluster_paths(spark, d):
+    path = F.regexp_extract("url", "^[^:]+://[^/]+/([^?#]*)", 1)
+    return table(spark, d, "pages", "page_id", "url").select("page_id", paths.cluster_key(path).alias("cluster"), paths.looks_like_path(path).alias("path_like"))
+
+
 @query("SELECT DISTINCT p_name, contains(lower(p_name), 'ring') OR list_has_any(string_split_regex(lower('ring small'), '[_\\s]+'), regexp_extract_all(replace(lower(p_name), '_', ''), '[a-z]+')) OR list_has_all(string_split_regex(lower(p_name), '[_\\s]+'), ['ring', 'small']) AS hit FROM part")
 def f08_focus_match(spark, d):
     n = F.col("p_name")
