@@ -264,7 +264,7 @@ def test_tree_views(spark):
     lines = views.tree_lines(files, extract.tags(files).where("kind='def'")).collect()
     assert lines[0].code == "def hello(name: str) -> str"
     depth = {r.line: r.depth for r in views.depths(extract.tags(files)).collect()}
-    assert depth[3] == 1 and depth[7] == 2 and depth[8] == 3
+    assert depth[3] == 0 and depth[7] == 1 and depth[8] == 2
     assert [r.methods for r in views.methods_of(extract.tags(files)).collect()] == [["greet"]]
 
 
