@@ -158,6 +158,11 @@ def betweenness(edges: DataFrame, *, seed: int = 42, config: Config = DEFAULT) -
     return nodes.join(found, "id", "left").select("id", (F.coalesce("share", F.lit(0.0)) * scale).alias("betweenness"))
 
 
+def betweenness_summary(found: DataFrame) -> DataFrame:
+    """One row ``highest, mean, zeros``."""
+    return found.agg(F.max("betweenness").alias("highest"), F.avg("betweenness").alias("mean"), F.count_if(F.col("betweenness") == 0).alias("zeros"))
+
+
 def _frontier_shares(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """Brandes as joins: one level of all sources' searches at a time, then back."""
     seen = durable(sources.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(0).alias("d"), F.lit(1.0).alias("k")))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from waymark.config import DEFAULT, HIGH, LOW, Config
 from waymark.functions import paths, scoring, text
 from waymark.operators.ordering import placed, top_per_group
+from waymark.session import durable
 
 CLASS, FUNCTION, METHOD, CONSTANT = "class", "function", "method", "constant"
 
@@ -118,19 +119,31 @@ def tree_lines(files: DataFrame, tags: DataFrame) -> DataFrame:
     return lines.withColumn("line", F.col("at") + 1).join(wanted, ["rel_fname", "line"]).select("rel_fname", "line", shown.alias("code")).orderBy("rel_fname", "line")
 
 
-def depths(tags: DataFrame, most: int = 64) -> DataFrame:
-    """Nesting depth by ``parent_line`` within a file; a missing parent ends the climb, a cycle does too."""
-    rows = tags.where("kind = 'def'").select("rel_fname", "line", "parent_line").distinct()
-    spark = tags.sparkSession
-    rows.createOrReplaceTempView("__depth_rows")
-    return spark.sql(
-        f"""WITH RECURSIVE up(rel_fname, line, above, depth) AS (
-              SELECT rel_fname, line, parent_line, 1 FROM __depth_rows
-              UNION ALL
-              SELECT u.rel_fname, u.line, r.parent_line, u.depth + 1 FROM up u JOIN __depth_rows r ON r.rel_fname = u.rel_fname AND r.line = u.above
-              WHERE u.depth < {most} AND u.above <> u.line)
-            SELECT rel_fname, line, max(depth) AS depth FROM up GROUP BY rel_fname, line"""
-    )
+def depths(tags: DataFrame) -> DataFrame:
+    """``rel_fname, line, depth``: how many lines lie above a definition by ``parent_line``, 0 for none.
+
+    A parent that is no definition counts and ends the climb; a line that climbs
+    into a cycle counts every line that it meets, itself included, once.
+    Pointers are doubled, so rounds grow with the logarithm of the depth.
+    """
+    rows = tags.where("kind = 'def'").groupBy("rel_fname", "line").agg(F.max(F.when(F.col("parent_line") > 0, F.col("parent_line"))).alias("above"))
+    rows = durable(rows)
+    up, reach, most = rows.withColumn("depth", F.when(F.col("above").isNull(), 0).otherwise(1).cast("bigint")), 1, rows.count()
+    while reach <= most and not up.where("above is not null").isEmpty():
+        further = up.select("rel_fname", F.col("line").alias("above"), F.col("above").alias("__further"), F.col("depth").alias("__more"))
+        met = up.join(further, ["rel_fname", "above"], "left")
+        up = durable(met.select("rel_fname", "line", F.col("__further").alias("above"), (F.col("depth") + F.coalesce("__more", F.lit(0))).alias("depth")))
+        reach *= 2
+    done, cyclic = up.where("above is null").select("rel_fname", "line", "depth"), up.where("above is not null")
+    if cyclic.isEmpty():
+        return done
+    last = seen = cyclic.select("rel_fname", "line", F.col("line").alias("at"))
+    above = rows.select("rel_fname", F.col("line").alias("at"), "above")
+    while not last.isEmpty():
+        reached = last.join(above, ["rel_fname", "at"]).select("rel_fname", "line", F.col("above").alias("at"))
+        last = durable(reached.join(seen, ["rel_fname", "line", "at"], "left_anti"))
+        seen = durable(seen.unionByName(last))
+    return done.unionByName(seen.groupBy("rel_fname", "line").agg(F.count(F.lit(1)).alias("depth")))
 
 
 def methods_of(tags: DataFrame) -> DataFrame:

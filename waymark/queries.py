@@ -662,3 +662,277 @@ def s10_log_parse(spark, d):
 def x51_json(spark, d):
     parsed = F.from_json("props", "k BIGINT")
     return table(spark, d, "events", "event_id", "props", "event_type").select(F.col("event_id").alias("o_orderkey"), parsed["k"].alias("k"), "event_type")
+
+
+# --- graph of pages: hosts, their second and third path parts ------------------------------------------------------
+
+_PAGE_EDGES = """u AS (SELECT regexp_extract(url, '^[^:]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^[^:]+://[^/]+/([^/?#]+)', 1) AS lang FROM pages),
+ edges AS (SELECT lang AS src, regexp_extract(host, '[^.]*$', 0) AS dst FROM u UNION SELECT regexp_extract(host, '[^.]*$', 0), host FROM u UNION SELECT host, lang FROM u)"""
+
+
+def _page_edges(spark, d):
+    """A language leads to the suffixes it is used under, a suffix to its hosts, a host to its languages."""
+    url = table(spark, d, "pages", "url").select(F.regexp_extract("url", "^[^:]+://([^/?#]+)", 1).alias("host"), F.regexp_extract("url", "^[^:]+://[^/]+/([^/?#]+)", 1).alias("lang"))
+    rows = url.distinct().withColumn("suffix", F.substring_index("host", ".", -1))
+    pairs = F.array(*(F.struct(F.col(a).alias("src"), F.col(b).alias("dst")) for a, b in (("lang", "suffix"), ("suffix", "host"), ("host", "lang"))))
+    return rows.select(F.explode(pairs).alias("e")).select("e.*").distinct().withColumn("weight", F.lit(1).cast("bigint"))
+
+
+def _between(steps: int) -> str:
+    """SQL of betweenness over ``edges``: the shortest walks between two vertices are their shortest paths."""
+    return f"""v AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges), arcs AS (SELECT DISTINCT src, dst FROM edges),
+ walks(d, s, t, k) AS (SELECT 0, id, id, 1.0::DOUBLE FROM v UNION ALL SELECT d + 1, s, dst, sum(k) FROM walks JOIN arcs ON t = src WHERE d < {steps} GROUP BY d, s, dst),
+ sp AS (SELECT s, t, min(d) AS d, arg_min(k, d) AS k FROM walks GROUP BY s, t),
+ bt AS (SELECT v.id, coalesce((SELECT sum(a.k * b.k / c.k) FROM sp a JOIN sp b ON a.t = b.s JOIN sp c ON c.s = a.s AND c.t = b.t AND c.d = a.d + b.d WHERE a.t = v.id AND a.s <> v.id AND b.t <> v.id AND a.s <> b.t), 0)
+  / (((SELECT count(*) FROM v) - 1.0) * ((SELECT count(*) FROM v) - 2)) AS betweenness FROM v)"""
+
+
+# in this graph a vertex is reached over at most two rounds of three arcs
+_PAGE_BETWEEN = f"WITH RECURSIVE {_PAGE_EDGES}, {_between(9)}"
+
+
+@query(_PAGE_BETWEEN + " SELECT id, round(betweenness, 6) AS betweenness FROM bt")
+def g05_betweenness_pages(spark, d):
+    return rounded(graph.betweenness(_page_edges(spark, d)), "betweenness")
+
+
+@query(
+    _PAGE_BETWEEN
+    + """, dg AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM arcs UNION ALL SELECT dst FROM arcs) GROUP BY id),
+ nb AS (SELECT src AS id, dst AS other FROM arcs UNION SELECT dst, src FROM arcs),
+ two AS (SELECT id, string_agg(other, ',' ORDER BY k) AS connects FROM (SELECT nb.id, other, row_number() OVER (PARTITION BY nb.id ORDER BY degree DESC, other) AS k FROM nb JOIN dg ON dg.id = other) WHERE k <= 2 GROUP BY id)
+SELECT b.id, round(betweenness, 6) AS betweenness, connects FROM (SELECT * FROM bt ORDER BY round(betweenness, 9) DESC, id LIMIT 5) b JOIN two ON two.id = b.id WHERE betweenness > 0"""
+)
+def g06_bridges_pages(spark, d):
+    return rounded(graph.bridges(_page_edges(spark, d)), "betweenness").select("id", "betweenness", F.array_join("connects", ",").alias("connects"))
+
+
+@query(_PAGE_BETWEEN + " SELECT round(max(betweenness), 6) AS highest, round(avg(betweenness), 6) AS mean, count(*) FILTER (betweenness = 0) AS zeros FROM bt")
+def a28_betweenness_summary(spark, d):
+    return rounded(graph.betweenness_summary(graph.betweenness(_page_edges(spark, d))), "highest", "mean")
+
+
+# --- history, files and marks --------------------------------------------------------------------------------------
+
+
+@query(
+    _STATS
+    + " , w AS (SELECT file, CASE WHEN quiet <= 0 THEN 2.0 ELSE 1 + exp(-quiet / 30.0) END * CASE WHEN commits <= 5 THEN 1.0 ELSE least(1 + ln(1 + commits - 5) * 0.1, 1.5) END AS weight FROM a) SELECT file, round(weight, 6) AS weight FROM w WHERE weight > 1 ORDER BY w.weight DESC, file LIMIT 10"
+)
+def o14_top_boosted(spark, d):
+    return rounded(history.boosted(history.file_weights(*_order_stats(spark, d))).select("file", "weight"), "weight")
+
+
+@query("SELECT c_custkey AS path FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def j17_without_chat(spark, d):
+    return files.without_chat(table(spark, d, "customer").select(F.col("c_custkey").alias("path")), table(spark, d, "orders").select(F.col("o_custkey").alias("path")))
+
+
+@query("SELECT c_custkey AS path FROM customer UNION SELECT o_custkey FROM orders UNION SELECT s_suppkey FROM supplier")
+def s13_working_set(spark, d):
+    return files.working_set(*(table(spark, d, t).select(F.col(c).alias("path")) for t, c in (("customer", "c_custkey"), ("orders", "o_custkey"), ("supplier", "s_suppkey"))))
+
+
+@query(
+    "WITH f AS (SELECT p_brand AS file, min(p_partkey) % 3 / 10000.0 AS r FROM part GROUP BY 1) SELECT p_partkey, round(CASE WHEN p_name LIKE 'red %' THEN 10 ELSE 1 END * r, 6) AS rank FROM part JOIN f ON file = p_brand WHERE r > 1.00001e-4"
+)
+def f07_exclude_unranked(spark, d):
+    part = table(spark, d, "part")
+    tags = part.select(F.col("p_brand").alias("rel_fname"), F.col("p_name").alias("name"), "p_partkey")
+    ranks = part.groupBy(F.col("p_brand").alias("file")).agg((F.min("p_partkey") % 3 / 10000.0).alias("file_rank"))
+    none = spark.createDataFrame([], "file string")
+    out = context.boosted(tags, ranks, idents=tags.where("name like 'red %'").select("name"), files=none, focus=none, mates=none, exclude_unranked=True)
+    return rounded(out, "rank").select("p_partkey", "rank")
+
+
+_MARKS = ("Brand#2", "Brand#7"), ("Brand#3", "Brand#7")
+
+
+@query(
+    f"SELECT p_partkey, p_brand IN {_MARKS[0]!r} AS bridge, p_size > 25 AS api, CASE WHEN p_brand IN {_MARKS[1]!r} THEN 'crystal' END AS phase, CASE WHEN p_brand = 'Brand#7' THEN 'recent,high-churn' END AS badges FROM part"
+)
+def j16_annotated(spark, d):
+    part = table(spark, d, "part")
+    tags = part.select("p_partkey", F.col("p_brand").alias("rel_fname"), F.col("p_partkey").cast("string").alias("name"))
+    one = lambda names, **more: spark.createDataFrame([(n,) for n in names], "file string").withColumns(more)
+    api = part.select(F.col("p_brand").alias("file"), F.col("p_partkey").cast("string").alias("symbol"), F.when(F.col("p_size") > 25, "api").otherwise("unknown").alias("label"))
+    badges = one(["Brand#7"], badges=F.array(F.lit("recent"), F.lit("high-churn")))
+    out = views.annotate(tags, bridges=one(_MARKS[0]).withColumnRenamed("file", "id"), api=api, phases=one(_MARKS[1], phase=F.lit("crystal")), badges=badges)
+    return out.select("p_partkey", "bridge", "api", "phase", F.array_join("badges", ",").alias("badges"))
+
+
+_OWNERS = "t AS (SELECT p_brand AS rel_fname, string_split(p_name, ' ')[1] AS word, p_name || p_partkey AS name, p_partkey % 3 = 0 AS is_class FROM part)"
+
+
+@query(f"WITH {_OWNERS}, c AS (SELECT DISTINCT rel_fname, word FROM t WHERE is_class) SELECT rel_fname, word AS class, string_agg(DISTINCT name, ',' ORDER BY name) AS methods FROM t JOIN c USING (rel_fname, word) WHERE NOT is_class GROUP BY ALL")
+def j18_methods_of(spark, d):
+    word, is_class = F.split("p_name", " ")[0], F.col("p_partkey") % 3 == 0
+    name = F.when(is_class, word).otherwise(F.concat("p_name", F.col("p_partkey").cast("string")))
+    tags = table(spark, d, "part").select(F.col("p_brand").alias("rel_fname"), name.alias("name"), F.lit("def").alias("kind"), F.when(is_class, "class").otherwise("method").alias("node_type"), F.when(~is_class, word).alias("parent_name"))
+    return views.methods_of(tags).select("rel_fname", "class", F.array_join("methods", ",").alias("methods"))
+
+
+@query(
+    """WITH RECURSIVE t AS (SELECT c_mktsegment AS rel_fname, c_custkey AS line, c_custkey // 2 AS parent FROM customer),
+ up(rel_fname, line, above, depth) AS (
+  SELECT rel_fname, line, parent, CASE WHEN parent > 0 THEN 1 ELSE 0 END FROM t
+  UNION ALL SELECT up.rel_fname, up.line, t.parent, depth + CASE WHEN t.parent > 0 THEN 1 ELSE 0 END FROM up JOIN t ON t.rel_fname = up.rel_fname AND t.line = up.above AND up.above > 0)
+SELECT rel_fname, line, CAST(max(depth) AS BIGINT) AS depth FROM up GROUP BY 1, 2"""
+)
+def j15_depths_customers(spark, d):
+    """Customers of a segment lie below the one of half their number, if that is of the segment, too."""
+    key = F.col("c_custkey")
+    return views.depths(table(spark, d, "customer").select(F.col("c_mktsegment").alias("rel_fname"), key.alias("line"), F.floor(key / 2).alias("parent_line"), F.lit("def").alias("kind")))
+
+
+# --- listings of documents -----------------------------------------------------------------------------------------
+
+_LOC = "CAST(len(list_filter(string_split_regex(text, '\\r\\n|[\\n\\r]'), lambda x: trim(x) <> '')) AS BIGINT)"
+_SIZES = f"sizes AS (SELECT source || '/' || lang || '/' || doc_id AS path, {_LOC} AS loc, doc_id % 4 AS defs FROM documents)"
+
+
+def _documents(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("rel"), "text")
+
+
+def _document_sizes(spark, d):
+    """Documents as files with as many definitions as their id modulo four."""
+    rows = _documents(spark, d)
+    defs = rows.where("doc_id % 4 > 0").select(F.col("rel").alias("rel_fname"), F.explode(F.sequence(F.lit(1), F.col("doc_id") % 4)), F.lit("def").alias("kind"))
+    return views.file_sizes(rows, defs)
+
+
+@query(f"WITH {_SIZES} SELECT * FROM sizes")
+def a20_file_sizes(spark, d):
+    return _document_sizes(spark, d)
+
+
+@query(f"WITH {_SIZES} SELECT printf('%5d loc; %3d def  %s', loc, defs, path) AS line FROM sizes ORDER BY CASE WHEN loc % 7 > 0 THEN loc % 7 END DESC NULLS LAST, path LIMIT 500")
+def r04_stats_lines(spark, d):
+    sizes = _document_sizes(spark, d)
+    ranks = sizes.where("loc % 7 > 0").select(F.col("path").alias("rel_fname"), (F.col("loc") % 7).alias("max_rank"))
+    return views.stats_lines(sizes, ranks)
+
+
+@query(
+    f"""WITH {_SIZES}, s AS (SELECT *, string_split(path, '/') AS p FROM sizes),
+ one AS (SELECT p[1] AS a, count(*) AS n, sum(loc) AS loc, sum(defs) AS defs FROM s GROUP BY 1), two AS (SELECT p[1] AS a, p[2] AS b, count(*) AS n, sum(loc) AS loc, sum(defs) AS defs FROM s GROUP BY 1, 2),
+ lines AS (SELECT a AS a, NULL AS b, NULL AS c, a || '/ ' || n || ' files; ' || loc || ' loc; ' || defs || ' def' AS line FROM one
+  UNION ALL SELECT a, b, NULL, '  ' || b || '/ ' || n || ' files; ' || loc || ' loc; ' || defs || ' def' FROM two
+  UNION ALL SELECT p[1], p[2], p[3], '    ' || p[3] || ' ' || loc || ' loc; ' || defs || ' def' FROM s)
+SELECT row_number() OVER (ORDER BY lower(a) NULLS FIRST, lower(b) NULLS FIRST, c NULLS FIRST) AS place, line FROM lines"""
+)
+def o10_stats_tree(spark, d):
+    return ordering.placed(views.stats_tree(_document_sizes(spark, d)), F.col("seq")).select((F.col("place") + 1).cast("bigint").alias("place"), "line")
+
+
+@query(
+    r"""SELECT rel_fname, CAST(line AS BIGINT) AS line, regexp_replace(string_split(text, chr(10))[line], ':\s*$', '') AS code
+FROM (SELECT source || '/' || lang || '/' || doc_id AS rel_fname, text, unnest([1, 1 + doc_id % 9]) AS line FROM documents) WHERE line <= len(string_split(text, chr(10))) GROUP BY ALL"""
+)
+def r03_tree_lines(spark, d):
+    rows = _documents(spark, d)
+    wanted = rows.select(F.col("rel").alias("rel_fname"), F.explode(F.array(F.lit(1).cast("bigint"), F.col("doc_id") % 9 + 1)).alias("line"))
+    return views.tree_lines(rows, wanted).select("rel_fname", F.col("line").cast("bigint").alias("line"), "code")
+
+
+@query(
+    """WITH t AS (SELECT source || '/' || lang || '/' || doc_id AS rel_fname, 1 + doc_id % 9 AS line, string_split(text, chr(10)) AS rows FROM documents),
+ n AS (SELECT rel_fname, line, unnest(range(greatest(1, line - 2), least(len(rows), line + 2) + 1)) AS i, rows FROM t)
+SELECT rel_fname, CAST(line AS BIGINT) AS line, string_agg(printf('%4d: %s', i, rows[i]), chr(10) ORDER BY i) AS context FROM n GROUP BY 1, 2"""
+)
+def f17_search_context(spark, d):
+    rows = _documents(spark, d)
+    hits = rows.select(F.col("rel").alias("rel_fname"), (F.col("doc_id") % 9 + 1).cast("bigint").alias("line"), F.lit("x").alias("name"), F.lit("def").alias("kind"))
+    return context.search_context(hits, rows).select("rel_fname", "line", "context")
+
+
+@query(
+    """SELECT source || '/' || lang || '/' || doc_id AS path, repeat('=', 80) || chr(10) || source || '/' || lang || '/' || doc_id || chr(10) || repeat('=', 80) || chr(10) || text || chr(10) AS block FROM documents WHERE text IS NOT NULL"""
+)
+def o13_concatenated(spark, d):
+    return files.concatenated(_documents(spark, d).withColumnRenamed("rel", "path"))
+
+
+@query("SELECT doc_id, length(left(text, length(text) // 2)) - length(replace(left(text, length(text) // 2), chr(10), '')) + 1 AS line FROM documents")
+def x29_line_of(spark, d):
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", text.line_of(F.col("text"), F.floor(F.length("text") / 2).cast("int")).cast("bigint").alias("line"))
+
+
+# --- markdown ------------------------------------------------------------------------------------------------------
+
+#: Every sixth line of a document becomes a header, a fenced block with a false header goes into every second gap.
+_MARKED = """ln AS (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, n, unnest(range(n)) AS i FROM ln),
+ hd AS (SELECT doc_id, i, 1 + (i // 6 * 5) % 4 AS level, 'Head ' || i AS title FROM l WHERE i % 6 = 0 UNION ALL SELECT doc_id, i, 1, 'no header' FROM l WHERE i % 12 = 9 AND i + 1 = n)"""
+
+
+def _marked_documents(spark, d):
+    at = lambda i: (F.floor(i / 6).cast("int") * 5) % 4 + 1
+    line = lambda x, i: F.when(i % 6 == 0, F.concat(F.substring(F.lit("####"), F.lit(1), at(i)), F.lit(" Head "), i.cast("string"), F.lit(" ##"))).when(i % 12 == 8, "```").when(i % 12 == 9, "# no header").when(i % 12 == 10, "```").otherwise(x)
+    return table(spark, d, "documents", "doc_id", "text").where("text is not null").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("text"))
+
+
+@query(f"WITH {_MARKED} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS seq, CAST(level AS BIGINT) AS level, title FROM hd")
+def x25_markdown_documents(spark, d):
+    rows = _marked_documents(spark, d).select("doc_id", F.posexplode(text.headers(F.col("text"))).alias("seq", "line"))
+    return rows.select("doc_id", F.col("seq").cast("bigint").alias("seq"), text.header_level(F.col("line")).cast("bigint").alias("level"), text.header_title(F.col("line")).alias("title"))
+
+
+@query(
+    f"""WITH {_MARKED}, up AS (SELECT h.doc_id, h.i, max(p.i) AS above FROM hd h LEFT JOIN hd p ON p.doc_id = h.doc_id AND p.i < h.i AND p.level < h.level GROUP BY 1, 2)
+SELECT h.doc_id, h.i + 1 AS line, h.title AS name, 'h' || h.level AS node_type, above + 1 AS parent_line, p.title AS parent_name FROM hd h JOIN up USING (doc_id, i) LEFT JOIN hd p ON p.doc_id = up.doc_id AND p.i = up.above"""
+)
+def j13_markdown_tags(spark, d):
+    named = _marked_documents(spark, d).select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.lit(None).cast("string").alias("rel"), "text")
+    tags = extract.tags(named)
+    return tags.select(F.substring_index("rel_fname", ".", 1).cast("bigint").alias("doc_id"), F.col("line").cast("bigint").alias("line"), "name", "node_type", F.col("parent_line").cast("bigint").alias("parent_line"), "parent_name")
+
+
+@query("SELECT p_partkey, p_name || ' ' || p_type || ' ' || p_brand || ' and ' || p_name || ' end' AS shown FROM part")
+def x27_snippets(spark, d):
+    marked = F.concat(F.lit("`"), "p_name", F.lit("`\n  ["), "p_type", F.lit("](http://x/y_z) **"), "p_brand", F.lit("**\n```\n# code\n```\nand  _"), "p_name", F.lit("_ end\n"))
+    return table(spark, d, "part").select("p_partkey", text.snippet(marked).alias("shown"))
+
+
+@query(
+    r"""WITH t AS (SELECT p_partkey, rtrim(repeat(p_name || ', ', 1 + p_size % 12), ' ') AS t FROM part)
+SELECT p_partkey, CASE WHEN length(t) <= 80 THEN t ELSE regexp_replace(regexp_replace(left(t, 48), '\s+\S*$', ''), '[\s.,;:!?-]+$', '') || ' [...] ' || regexp_replace(regexp_replace(right(t, 32), '^\S*\s+', ''), '[\s.,;:!?-]+$', '') END AS shown FROM t"""
+)
+def x28_head_tail(spark, d):
+    long = F.rtrim(F.repeat(F.concat("p_name", F.lit(", ")), F.col("p_size") % 12 + 1))
+    return table(spark, d, "part").select("p_partkey", text.head_tail(long).alias("shown"))
+
+
+# --- rendering and decisions ---------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH w AS (SELECT p_partkey, p_size, p_name, p_type, string_split(p_name, ' ') AS w, 1 + p_size % 3 AS detail FROM part)
+SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN '— "' || p_name || '"' WHEN detail = 1 THEN '...' WHEN detail = 2 THEN '(' || w[1] || ', ' || w[2] || ')' ELSE '(' || w[1] || ': ' || p_type || '[int], ' || w[2] || ')' || CASE WHEN p_size % 2 = 0 THEN ' -> str' ELSE '' END END AS signature,
+ w[1] || CASE WHEN detail = 1 OR p_size % 5 = 0 THEN '' WHEN detail = 3 THEN ': ' || p_type || '[int]' ELSE ': ' || p_type END AS field,
+ p_name || CASE WHEN p_size % 8 = 0 THEN '' ELSE '(' || array_to_string(list_transform(range(least(p_size % 8, 5)), lambda i: 'f' || i || CASE WHEN detail = 1 THEN '' WHEN detail = 3 THEN ': ' || p_type || '[int]' ELSE ': ' || p_type END), ', ') || CASE WHEN p_size % 8 > 5 THEN ', +' || (p_size % 8 - 5) ELSE '' END || ')' END AS class,
+ p_type AS simple FROM w"""
+)
+def x36_rendered(spark, d):
+    size, words, kind = F.col("p_size"), F.split("p_name", " "), F.concat("p_type", F.lit("[int]"))
+    none, detail = F.lit(None).cast("string"), size % 3 + 1
+    parameter = lambda name, type_: F.struct(name.alias("name"), type_.alias("type"))
+    signature = F.struct(F.array(parameter(words[0], kind), parameter(words[1], none)).alias("parameters"), F.when(size % 2 == 0, "str").alias("return_type"), F.when(size % 7 == 0, F.col("p_name")).alias("raw"))
+    field = F.struct(words[0].alias("name"), F.when(size % 5 != 0, kind).alias("type_annotation"))
+    numbers = F.filter(F.sequence(F.lit(0), F.lit(7)), lambda i: i < size % 8)
+    fields = F.transform(numbers, lambda i: F.struct(F.concat(F.lit("f"), i.cast("string")).alias("name"), kind.alias("type_annotation")))
+    rows = table(spark, d, "part").select("p_partkey", "p_name", signature.alias("s"), field.alias("f"), fields.alias("fs"), detail.alias("detail"), kind.alias("kind"))
+    return rows.select(
+        "p_partkey",
+        text.render_signature(F.col("s"), F.col("detail")).alias("signature"),
+        text.render_field(F.col("f"), F.col("detail")).alias("field"),
+        text.class_preview(F.col("p_name"), F.col("fs"), F.col("detail")).alias("class"),
+        text.simple_type(F.col("kind")).alias("simple"),
+    )
+
+
+@query("SELECT p_partkey, p_size % 3 = 0 OR p_type IN ('ECONOMY', 'SMALL') AS clustered FROM part")
+def x20_use_clusters(spark, d):
+    level = F.element_at(F.array(*map(F.lit, ("low", "medium", "high"))), (F.col("p_size") % 3 + 1).cast("int"))
+    pattern = F.when(F.col("p_type") == "ECONOMY", "diffuse").when(F.col("p_type") == "SMALL", "sparse").otherwise("layered")
+    return table(spark, d, "part").select("p_partkey", scoring.use_clusters(level, F.array(F.lit("deep"), pattern)).alias("clustered"))

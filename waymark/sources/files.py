@@ -88,3 +88,8 @@ LANGUAGES = {".py": "python", ".pyi": "python", ".md": "markdown", ".markdown":
 def language(column: str = "path") -> F.Column:
     """The language of a path, null where there are no rules."""
     return F.element_at(F.create_map(*(F.lit(x) for pair in LANGUAGES.items() for x in pair)), paths.extension(F.col(column)))
+
+
+def without_chat(found: DataFrame, chat: DataFrame) -> DataFrame:
+    """The other files: those of ``found`` whose path is none of ``chat(path)``."""
+    return found.join(chat.select("path").distinct(), "path", "left_anti")
