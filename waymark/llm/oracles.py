@@ -9,6 +9,15 @@ _WARC = """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), d
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NOT NULL AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
 FROM d LEFT JOIN f ON g = payload_digest"""
 
+#: Code points by ``substr``; what is restored is the text itself.
+_FILL_MIDDLE = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
+ h AS (SELECT doc_id, t, length(t) AS n, CAST('0x' || s[1:8] AS BIGINT) AS h1, CAST('0x' || s[9:16] AS BIGINT) AS h2, CAST('0x' || s[17:24] AS BIGINT) AS h3, CAST('0x' || s[25:32] AS BIGINT) AS h4 FROM d),
+ c AS (SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+   CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+ p AS (SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
 
 def _decontamination() -> str:
     """The same overlaps by equality of the counted words themselves, without hashes; runs by trying every pair of ends."""
@@ -56,4 +65,4 @@ SELECT a.doc_id, license, round(dice, 6) AS dice, coalesce(n_units, 0) AS n_unit
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": _decontamination(), "op6_license_scan": _licenses(), "op10_warc": _WARC}
+    return {"op2_decontamination": _decontamination(), "op6_license_scan": _licenses(), "op10_warc": _WARC, "op11_fill_middle": _FILL_MIDDLE}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import bpe, decontamination, licenses, packing, pii, quality, simhash_dedup, toxicity, url_filter, warc
+from waymark.llm import bpe, decontamination, fill_middle, licenses, packing, pii, quality, simhash_dedup, toxicity, url_filter, warc
 from waymark.llm.common import durable, shared_path, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -86,5 +86,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, path, payloads=False).where("state = 'ok'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_middle.transform(table(spark, sf_dir, "documents", "doc_id", "text"))
+    cut = cut.select("doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"), F.sha2("output", 256).alias("output_sha256"), "output")
+    back = fill_middle.restore(cut, keep=("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256"))
+    return back.withColumn("restored", F.sha2("restored", 256)).withColumnRenamed("restored", "restored_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_dedup, op2_decontamination, op3_bpe, op4_quality_rules, op5_url_filter, op6_license_scan, op7_token_packing, op8_toxicity, op9_pii, op10_warc)}
+    return {f.__name__: f for f in (op1_simhash_dedup, op2_decontamination, op3_bpe, op4_quality_rules, op5_url_filter, op6_license_scan, op7_token_packing, op8_toxicity, op9_pii, op10_warc, op11_fill_middle)}
