@@ -18,6 +18,14 @@ _FILL_MIDDLE = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:'
 SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
 
+#: Every window as text, its first place, and the words that later places cover.
+_SUBSTRINGS = """WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+ x AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d),
+ k AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS v FROM x),
+ f AS (SELECT *, first_value(doc_id) OVER o = doc_id AND first_value(i) OVER o = i AS first FROM k WINDOW o AS (PARTITION BY v ORDER BY doc_id, i)),
+ g AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 20)))) AS gone FROM f WHERE NOT first GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, sha256(array_to_string(list_filter(w, lambda v, i: NOT coalesce(list_contains(gone, i), false)), ' ')) AS kept_sha256 FROM d LEFT JOIN g ON g.doc_id = d.doc_id"""
+
 
 def _decontamination() -> str:
     """The same overlaps by equality of the counted words themselves, without hashes; runs by trying every pair of ends."""
@@ -65,4 +73,4 @@ SELECT a.doc_id, license, round(dice, 6) AS dice, coalesce(n_units, 0) AS n_unit
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": _decontamination(), "op6_license_scan": _licenses(), "op10_warc": _WARC, "op11_fill_middle": _FILL_MIDDLE}
+    return {"op2_decontamination": _decontamination(), "op6_license_scan": _licenses(), "op10_warc": _WARC, "op11_fill_middle": _FILL_MIDDLE, "op12_substring_dedup": _SUBSTRINGS}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import bpe, decontamination, fill_middle, licenses, packing, pii, quality, simhash_dedup, toxicity, url_filter, warc
+from waymark.llm import bpe, decontamination, fill_middle, licenses, packing, pii, quality, repeated_phrases, simhash_dedup, toxicity, url_filter, warc
 from waymark.llm.common import durable, shared_path, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -93,5 +93,10 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.withColumn("restored", F.sha2("restored", 256)).withColumnRenamed("restored", "restored_sha256")
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeated_phrases.deduplicated(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_dedup, op2_decontamination, op3_bpe, op4_quality_rules, op5_url_filter, op6_license_scan, op7_token_packing, op8_toxicity, op9_pii, op10_warc, op11_fill_middle)}
+    return {f.__name__: f for f in (op1_simhash_dedup, op2_decontamination, op3_bpe, op4_quality_rules, op5_url_filter, op6_license_scan, op7_token_packing, op8_toxicity, op9_pii, op10_warc, op11_fill_middle, op12_substring_dedup)}
