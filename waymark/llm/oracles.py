@@ -26,6 +26,22 @@ _SUBSTRINGS = """WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, '')
  g AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 20)))) AS gone FROM f WHERE NOT first GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, sha256(array_to_string(list_filter(w, lambda v, i: NOT coalesce(list_contains(gone, i), false)), ' ')) AS kept_sha256 FROM d LEFT JOIN g ON g.doc_id = d.doc_id"""
 
+#: Rebuilt turns, a node for each prefix (its turns' hashes, joined), and sums over the nodes that each prefix leads to; the CRC bit by bit.
+_TRIE = """WITH t0 AS (SELECT conv_id, turn, sha256(CAST(length(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS key, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS words FROM conversations WHERE conv_id IS NOT NULL),
+ t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, key) - 1 AS pos FROM t0),
+ z AS (SELECT conv_id, count(*) AS n FROM t GROUP BY 1),
+ c AS (SELECT conv_id, n, conv_id - conv_id % 20 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+   lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END))), 4294967295::BIGINT) % 4 AS h FROM z),
+ p AS (SELECT c.conv_id, c.base, c.h, least(c.h, coalesce(z.n, 0)) AS taken, least(c.h, coalesce(z.n, 0)) + greatest(c.n - c.h, 0) AS size FROM c LEFT JOIN z ON z.conv_id = c.base),
+ r AS (SELECT p.conv_id, pos + 1 AS d, key, words FROM p JOIN t ON t.conv_id = p.base AND pos < h UNION ALL SELECT p.conv_id, taken + pos - h + 1, key, words FROM p JOIN t ON t.conv_id = p.conv_id AND pos >= h),
+ m AS (SELECT conv_id, d, string_agg(key, ',') OVER (PARTITION BY conv_id ORDER BY d) AS node, words FROM r UNION ALL SELECT conv_id, 0, '', 0 FROM p),
+ g AS (SELECT d, node, min(m.conv_id) AS first, count(*) AS n, any_value(words) AS words, string_agg(CAST(m.conv_id AS VARCHAR), ',' ORDER BY m.conv_id) FILTER (d = size) AS ends FROM m JOIN p ON p.conv_id = m.conv_id GROUP BY d, node),
+ u AS (SELECT g.first AS conv_id, g.d, g.n, g.ends, up.first AS parent, (g.n - 1) * g.words AS own FROM g LEFT JOIN m ON m.conv_id = g.first AND m.d = g.d - 1 LEFT JOIN g up ON up.d = m.d AND up.node = m.node),
+ k AS (SELECT parent, d - 1 AS d, count(*) AS n_children FROM u WHERE d > 0 GROUP BY 1, 2),
+ s AS (SELECT a.first AS conv_id, a.d, count(*) FILTER (k.parent IS NULL) AS n_leaves, sum(u.own) AS saved FROM u LEFT JOIN k ON k.parent = u.conv_id AND k.d = u.d JOIN m ON m.conv_id = u.conv_id AND m.d <= u.d JOIN g a ON a.d = m.d AND a.node = m.node GROUP BY 1, 2)
+SELECT u.conv_id, u.d AS depth, u.parent AS parent_conv_id, u.n AS n_convs, coalesce(k.n_children, 0) AS n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(u.ends, '')) AS ends_sha256
+FROM u JOIN s ON s.conv_id = u.conv_id AND s.d = u.d LEFT JOIN k ON k.parent = u.conv_id AND k.d = u.d"""
+
 
 def _decontamination() -> str:
     """The same overlaps by equality of the counted words themselves, without hashes; runs by trying every pair of ends."""
@@ -73,4 +89,4 @@ SELECT a.doc_id, license, round(dice, 6) AS dice, coalesce(n_units, 0) AS n_unit
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": _decontamination(), "op6_license_scan": _licenses(), "op10_warc": _WARC, "op11_fill_middle": _FILL_MIDDLE, "op12_substring_dedup": _SUBSTRINGS}
+    return {"op2_decontamination": _decontamination(), "op6_license_scan": _licenses(), "op10_warc": _WARC, "op11_fill_middle": _FILL_MIDDLE, "op12_substring_dedup": _SUBSTRINGS, "op13_conversation_trie": _TRIE}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import bpe, decontamination, fill_middle, licenses, packing, pii, quality, repeated_phrases, simhash_dedup, toxicity, url_filter, warc
+from waymark.llm import bpe, conversation_trie, decontamination, fill_middle, licenses, packing, pii, quality, repeated_phrases, simhash_dedup, toxicity, url_filter, warc
 from waymark.llm.common import durable, shared_path, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -98,5 +98,13 @@ def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversation_trie.numbered(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    share = F.crc32(F.col("conv").cast("string").cast("binary")) % 4
+    found = conversation_trie.trie(*conversation_trie.shared_openings(turns, F.col("conv") - F.col("conv") % 20, share, most=3))
+    out = conversation_trie.with_digest(found)
+    return out.select("conv_id", F.col("depth").cast("bigint").alias("depth"), "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_dedup, op2_decontamination, op3_bpe, op4_quality_rules, op5_url_filter, op6_license_scan, op7_token_packing, op8_toxicity, op9_pii, op10_warc, op11_fill_middle, op12_substring_dedup)}
+    return {f.__name__: f for f in (op1_simhash_dedup, op2_decontamination, op3_bpe, op4_quality_rules, op5_url_filter, op6_license_scan, op7_token_packing, op8_toxicity, op9_pii, op10_warc, op11_fill_middle, op12_substring_dedup, op13_conversation_trie)}
