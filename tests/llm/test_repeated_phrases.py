@@ -61,7 +61,8 @@ def test_edges(spark, docs):
 def test_random_texts_of_few_words(spark, docs, monkeypatch, width, gram, rows_):
     """Few different words, so that passages overlap, repeat within texts and are cut at every place; several shards."""
     monkeypatch.setattr(repeated_phrases, "SHARD_ROWS", rows_)
-    monkeypatch.setattr(repeated_phrases, "PATTERNS", 50)
+    monkeypatch.setattr(repeated_phrases, "WORDS", 50)
+    monkeypatch.setattr(repeated_phrases, "PIECE", 7)
     rnd = random.Random(width)
     pool = [[rnd.choice("abcdé") * rnd.randrange(1, 3) for _ in range(rnd.randrange(3 * width))] for _ in range(12)]
     rows = []

@@ -10,14 +10,15 @@ earlier start) is removed; windows are judged on the input.
    for seven windows leaves a shard of documents, with a hash of the span of
    words that its windows cover.  An anchor that occurs once has no recurring
    window.  One that recurs in equal spans only has windows that recur together,
-   and first where it occurs first.  Of the others, at the edges of passages, the
-   windows themselves are counted.
-2. Compile automata.  The recurring spans and windows go back to the shards that
-   hold them, where they are compiled into Aho-Corasick automata, at most
-   ``PATTERNS`` in one; words are coded as a few symbols from a small alphabet
-   for each place.
+   and first where it occurs first.  Of the others, at the edges of passages, each
+   different span is looked at once, where it occurs first, and its windows are
+   counted one by one.
+2. Compile automata.  The recurring spans go back to the shards that hold them,
+   with the first places of their windows; those that adjoin make up a passage.
+   Passages are compiled into Aho-Corasick automata of bounded size; words are
+   coded as a few symbols from a small alphabet for each place.
 3. Stream all documents of a shard through its automata, which locate every
-   occurrence; those that are not the first one mark their words.
+   occurrence; windows that are not the first of their kind mark their words.
 
 Shards are bounded by rows and bytes of text, and each names a passage once, so
 a passage that a third of all documents holds gives one row a shard, and what
@@ -37,7 +38,8 @@ than id and text are ignored.
 
 from __future__ import annotations
 
-from itertools import compress
+from dataclasses import dataclass
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +52,8 @@ from waymark.llm.common import as_bytes
 WIDTH = 20
 #: Rows and bytes of text of a shard, in the mean.
 SHARD_ROWS, SHARD_BYTES = 128, 1 << 20
-#: Patterns of one automaton.
-PATTERNS = 20_000
+#: Windows of a pattern and words of an automaton, at most (but for its last pattern).
+PIECE, WORDS = 1_000, 400_000
 LAST_ID = 2**63 - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(29)
@@ -94,7 +96,7 @@ class Shard:
         self.sizes = np.array([len(w) for w in self.words], "i8")
         self.starts = np.cumsum(self.sizes) - self.sizes
         total = int(self.sizes.sum())
-        self.hashes = np.fromiter((h for w in self.words for h in map(_HASHES.__getitem__, w)), "u8", total)
+        self.hashes = np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(self.words)), "u8", total)
         self.doc_of = np.repeat(np.arange(len(ids)), self.sizes)
         ends = np.repeat(self.starts + self.sizes, self.sizes)
         #: Where windows start, as places in the shard.
@@ -163,65 +165,67 @@ def _coded(hashes: np.ndarray) -> tuple[str, int]:
     return out.tobytes().decode("utf-32-le"), digits
 
 
-def covered(shard: Shard, at: np.ndarray, sizes: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Which words of a shard to remove.  Patterns are ``sizes`` words from ``at`` on, first seen at ``doc, start``."""
+@dataclass
+class Recurring:
+    """Of each window of a shard: whether it recurs, and the first place (id and start) of its words."""
+
+    known: np.ndarray
+    doc: np.ndarray
+    start: np.ndarray
+
+
+def _recurring(shard: Shard, found: pa.Table) -> tuple[Recurring, np.ndarray, np.ndarray]:
+    """The recurring windows, and where passages of them begin and end (as windows): runs of recurring anchors."""
+    n = len(shard.hashes)
+    out = Recurring(np.zeros(n, "?"), np.zeros(n, "i8"), np.zeros(n, "i8"))
+    where = {k: i for i, k in enumerate(zip(found.column("one").to_pylist(), found.column("two").to_pylist()))}
+    key, span, first, last = shard.anchors()
+    row = np.fromiter((where.get(k, -1) for k in zip(key.view("i8").tolist(), span.view("i8").tolist())), "i8", len(key))
+    mine = np.flatnonzero(row >= 0)
+    row, first, last = row[mine], first[mine], last[mine]
+    windows = found.column("windows").combine_chunks()
+    each = ~windows.is_valid().to_numpy(zero_copy_only=False)[row]
+    sizes = last[each] - first[each] + 1
+    offset = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    at = np.repeat(first[each], sizes) + offset
+    out.known[at] = True
+    out.doc[at] = np.repeat(found.column("doc").to_numpy()[row[each]], sizes)
+    out.start[at] = np.repeat(found.column("start").to_numpy()[row[each]], sizes) + offset
+    for i, a in zip(row[~each].tolist(), first[~each].tolist()):
+        for w in windows[i].as_py():
+            out.known[a + w["offset"]], out.doc[a + w["offset"]], out.start[a + w["offset"]] = True, w["doc"], w["start"]
+    cut = np.flatnonzero((first[1:] != last[:-1] + 1) | (shard.doc_of[first[1:]] != shard.doc_of[first[:-1]])) + 1
+    return out, first[np.concatenate(([0], cut))] if len(first) else first, last[np.concatenate((cut - 1, [len(last) - 1]))] + 1 if len(last) else last
+
+
+def covered(shard: Shard, recurring: Recurring, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which words of a shard to remove: the passages are compiled, and each occurrence marks its windows that are not the first of their kind."""
     import ahocorasick
 
     text, digits = _coded(shard.hashes)
-    change = np.zeros(len(shard.hashes) + 1, "i8")
-    for low in range(0, len(at), PATTERNS):
-        part = slice(low, low + PATTERNS)
-        machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for i, (a, size) in enumerate(zip(at[part].tolist(), sizes[part].tolist())):
-            machine.add_word(text[digits * a : digits * (a + size)], i)
+    late = np.zeros(len(shard.hashes) + 1, "i8")
+    # long passages in pieces, which together have all windows
+    pieces = [(a, min(a + PIECE, b)) for a, b in zip(begin.tolist(), end.tolist()) for a in range(a, b, PIECE)]
+    while pieces:
+        machine, size, here = ahocorasick.Automaton(ahocorasick.STORE_INTS), 0, []
+        while pieces and size < WORDS:
+            a, b = pieces.pop()
+            machine.add_word(text[digits * a : digits * (b + shard.width - 1)], len(here))
+            here.append((a, b))
+            size += b - a + shard.width - 1
         machine.make_automaton()
         for number, a, size in zip(shard.numbers.tolist(), shard.starts.tolist(), shard.sizes.tolist()):
             if size < shard.width:
                 continue
-            hits = np.array(list(machine.iter(text, digits * a, digits * (a + size))), "i8").reshape(-1, 2)
-            if not len(hits):
-                continue
-            pattern = hits[:, 1] + low
-            ends = (hits[:, 0] + 1) // digits
-            begins = ends - sizes[pattern]
-            later = (doc[pattern] != number) | (start[pattern] != begins - a)
-            np.add.at(change, begins[later], 1)
-            np.add.at(change, ends[later], -1)
-    return np.cumsum(change[:-1]) > 0
-
-
-def _known(keys: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each key that is one of ``found`` (sorted): its place, and its place there."""
-    if not len(found):
-        return np.empty(0, "i8"), np.empty(0, "i8")
-    at = np.minimum(np.searchsorted(found, keys), len(found) - 1)
-    hit = np.flatnonzero(found[at] == keys)
-    return hit, at[hit]
-
-
-def _patterns(shard: Shard, found: pa.Table) -> tuple[np.ndarray, ...]:
-    """``at, sizes, doc, start`` of the recurring spans and windows in a shard."""
-    column = lambda name: found.column(name).to_numpy()
-    window, one, two, doc, start = column("window"), column("one").view("u8"), column("two").view("u8"), column("doc"), column("start").astype("i8")
-    parts = []
-    spans = np.flatnonzero(~window)
-    if len(spans):
-        spans = spans[np.argsort(one[spans])]
-        key, _, first, last = shard.anchors()
-        key, where = np.unique(key, return_index=True)
-        mine, theirs = _known(key, one[spans])
-        at = first[where[mine]]
-        parts.append((at, last[where[mine]] + shard.width - at, doc[spans[theirs]], start[spans[theirs]]))
-    windows = np.flatnonzero(window)
-    if len(windows):
-        windows = windows[np.argsort(one[windows])]
-        key, where = np.unique(shard.hashed(shard.windows, 2), return_index=True)
-        at = shard.windows[where]
-        mine, theirs = _known(key, one[windows])
-        same = shard.hashed(at[mine], 3) == two[windows[theirs]]
-        mine, theirs = mine[same], theirs[same]
-        parts.append((at[mine], np.full(len(mine), shard.width), doc[windows[theirs]], start[windows[theirs]]))
-    return tuple(np.concatenate(c) for c in zip(*parts)) if parts else (np.empty(0, "i8"),) * 4
+            for stop, which in machine.iter(text, digits * a, digits * (a + size)):
+                low, high = here[which]
+                at = (stop + 1) // digits - (high - low) - shard.width + 1
+                known, doc, start = (x[low:high] for x in (recurring.known, recurring.doc, recurring.start))
+                late[at : at + high - low] |= known & ((doc != number) | (start != np.arange(at - a, at - a + high - low)))
+    # a word goes if one of the windows that reach it does
+    reached = np.cumsum(late[:-1])
+    reached[shard.width :] -= np.cumsum(late[:-1])[: -shard.width]
+    return reached > 0
 
 
 def _ranges(gone: np.ndarray) -> list[dict]:
@@ -249,31 +253,43 @@ def deduplicated(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         key, span, first, _ = shard.anchors()
         return _counted(shard, table.column("shard")[0].as_py(), first, key, span)
 
-    of = Window.partitionBy("one")
-    anchors = by_shard.applyInArrow(anchored, _COUNTED).withColumns({"total": F.sum("n").over(of), "first": F.min(F.struct("doc", "start")).over(of), "low": F.min("two").over(of), "high": F.max("two").over(of)}).where("total > 1")
-    spans = anchors.where("low = high").select("shard", F.lit(False).alias("window"), "one", "two", "first.doc", "first.start")
-    mixed = anchors.where("low <> high").select("shard", "one")
+    key, span = Window.partitionBy("one"), Window.partitionBy("one", "two")
+    anchors = by_shard.applyInArrow(anchored, _COUNTED).withColumns({"total": F.sum("n").over(key), "low": F.min("two").over(key), "high": F.max("two").over(key), "first": F.min(F.struct("doc", "start")).over(span), "rows": F.sum("n").over(span)})
+    # all uses take the same columns, so that the anchors are made and shuffled once
+    found = anchors.where("total > 1").select("shard", "one", "two", (F.col("low") != F.col("high")).alias("mixed"), "first.doc", "first.start", "rows")
 
     def windowed(table: pa.Table, found: pa.Table) -> pa.Table:
-        if not found.num_rows or not table.num_rows:
+        mixed = found.filter(found.column("mixed"))
+        if not mixed.num_rows or not table.num_rows:
             table = table.slice(0, 0)
         shard = _shard(table, width, gram)
-        key, _, first, last = shard.anchors()
-        hit, _ = _known(key, np.unique(found.column("one").to_numpy().view("u8")))
-        sizes = last[hit] - first[hit] + 1
-        at = np.repeat(first[hit] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-        return _counted(shard, table.column("shard")[0].as_py() if table.num_rows else 0, at, shard.hashed(at, 2), shard.hashed(at, 3))
-
-    of = Window.partitionBy("one", "two")
-    windows = by_shard.cogroup(mixed.groupBy("shard")).applyInArrow(windowed, _COUNTED).withColumns({"total": F.sum("n").over(of), "first": F.min(F.struct("doc", "start")).over(of)}).where("total > 1")
-    windows = windows.select("shard", F.lit(True).alias("window"), "one", "two", "first.doc", "first.start")
+        where = {k: i for i, k in enumerate(zip(*(mixed.column(c).to_pylist() for c in ("one", "two", "doc", "start"))))}
+        key, span, first, last = shard.anchors()
+        doc, start = shard.place(first)
+        places = [(i, where.pop(k)) for i, k in enumerate(zip(key.view("i8").tolist(), span.view("i8").tolist(), doc.tolist(), start.tolist())) if k in where]
+        mine, row = np.array([p[0] for p in places], "i8"), np.array([p[1] for p in places], "i8")
+        sizes = last[mine] - first[mine] + 1
+        each = np.repeat(np.arange(len(mine)), sizes)
+        offset = np.arange(len(each)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        at = first[mine][each] + offset
+        doc, start = shard.place(at)
+        rows = mixed.column("rows").to_numpy()[row][each] if len(row) else np.empty(0, "i8")
+        columns = [_signed(key[mine][each]), _signed(span[mine][each]), pa.array(offset, pa.int32()), _signed(shard.hashed(at, 2)), _signed(shard.hashed(at, 3)), pa.array(rows, pa.int64()), pa.array(doc), pa.array(start, pa.int32())]
+        return pa.Table.from_arrays(columns, ["one", "two", "offset", "w1", "w2", "rows", "doc", "start"])
+
+    of = Window.partitionBy("w1", "w2")
+    windows = by_shard.cogroup(found.groupBy("shard")).applyInArrow(windowed, "one bigint, two bigint, offset int, w1 bigint, w2 bigint, rows bigint, doc bigint, start int")
+    windows = windows.withColumns({"total": F.sum("rows").over(of), "first": F.min(F.struct("doc", "start")).over(of)}).where("total > 1")
+    # a span has width - gram + 1 windows at most
+    windows = windows.groupBy("one", "two").agg(F.collect_list(F.struct("offset", "first.doc", "first.start")).alias("windows"))
+    mixed = found.where("mixed").join(windows, ["one", "two"]).select("shard", "one", "two", "doc", "start", "windows")
+    spans = found.where("not mixed").select("shard", "one", "two", "doc", "start", F.lit(None).cast(windows.schema["windows"].dataType).alias("windows"))
 
     kind = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("removed", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("kept", pa.binary())])
 
     def located(table: pa.Table, found: pa.Table) -> pa.Table:
         shard = _shard(table, width, gram)
-        patterns = _patterns(shard, found) if found.num_rows and table.num_rows else ((),)
-        gone = covered(shard, *patterns) if len(patterns[0]) else np.zeros(len(shard.hashes), "?")
+        gone = covered(shard, *_recurring(shard, found)) if found.num_rows and len(shard.hashes) else np.zeros(len(shard.hashes), "?")
         rows: dict[str, list] = {name: [] for name in kind.names[1:]}
         for words, a, n in zip(shard.words, shard.starts.tolist(), shard.sizes.tolist()):
             part = gone[a : a + n]
@@ -285,5 +301,5 @@ def deduplicated(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         return pa.Table.from_arrays([table.column("id").cast(pa.int64()), *(pa.array(rows[f.name], f.type) for f in kind if f.name != "id")], schema=kind)
 
     schema = "id bigint, n_words bigint, n_removed bigint, removed array<struct<start:int,end:int>>, kept binary"
-    out = by_shard.cogroup(spans.unionByName(windows).groupBy("shard")).applyInArrow(located, schema)
+    out = by_shard.cogroup(spans.unionByName(mixed).groupBy("shard")).applyInArrow(located, schema)
     return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "removed", F.col("kept").cast("string").alias("kept"))
