@@ -76,6 +76,23 @@ def test_random_texts_of_few_words(spark, docs, monkeypatch, width, gram, rows_)
     found(docs(*rows), rows, width=width, gram=gram)
 
 
+@pytest.mark.parametrize("part,longest", [(4 << 20, 1024), (16, 1024), (16, 5), (1, 3)])
+def test_word_hashes_in_parts(monkeypatch, part, longest):
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice("abé \n\t\x0b\x0c\r") * rnd.randrange(1, 4) for _ in range(rnd.randrange(80))) for _ in range(300)]
+    texts += ["", " ", "x" * 5000, " " + "y" * 40 + " ", "ab ba", "a\x00 \x00a \x00 \x00\x00"]
+    monkeypatch.setattr(repeated_phrases, "PART", part)
+    monkeypatch.setattr(repeated_phrases, "LONGEST", longest)
+    names = {}
+    for t in texts:
+        words, hashes = t.encode().split(), repeated_phrases.word_hashes(t.encode())[0].tolist()
+        assert len(words) == len(hashes)
+        for w, h in zip(words, hashes):
+            assert names.setdefault(w, h) == h or len(w) > part
+    short = {w: h for w, h in names.items() if len(w) <= part}
+    assert len(set(short.values())) == len(short)
+
+
 def test_codes_of_many_words():
     text, digits = repeated_phrases._coded(np.arange(300_000, dtype="u8"))
     assert len(text) == 900_000 and digits == 3

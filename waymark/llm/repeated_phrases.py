@@ -7,8 +7,8 @@ earlier start) is removed; windows are judged on the input.
 1. Confirm recurring passages.  In each window the phrase of ``gram`` words with
    the least hash (the first of equals) is its anchor, so equal windows have
    equal anchors, and neighbouring windows mostly share theirs: about one anchor
-   for seven windows leaves a shard of documents, with a hash of the span of
-   words that its windows cover.  An anchor that occurs once has no recurring
+   for eight windows leaves a document, with a hash of the span of words that its
+   windows cover.  An anchor that occurs once has no recurring
    window.  One that recurs in equal spans only has windows that recur together,
    and first where it occurs first.  Of the others, at the edges of passages, each
    different span is looked at once, where it occurs first, and its windows are
@@ -20,12 +20,13 @@ earlier start) is removed; windows are judged on the input.
 3. Stream all documents of a shard through its automata, which locate every
    occurrence; windows that are not the first of their kind mark their words.
 
-Shards are bounded by rows and bytes of text, and each names a passage once, so
-a passage that a third of all documents holds gives one row a shard, and what
-meets by passage is spread as evenly as hashes are.  Counting is by window
-functions over sorted rows, which spill.  Texts go through one shuffle, which the
-three passes share.  Equality across shards is that of 128 bits of hashes,
-within a shard that of the coded words.
+Anchors are counted within blocks of documents before they are shuffled, so one
+that a third of all documents hold gives one row a block (with the numbers of
+its shards, four bytes each), and spans go back to a shard once.  Counting is by
+window functions over sorted rows, which spill.  Anchors are made where texts
+are read; then texts go through one shuffle, to shards bounded by rows and bytes,
+for spans and for occurrences.  Equality across shards is that of 128 bits of
+hashes, within a shard that of the coded words.
 
 Null and empty texts have no words.  Ids are integers; a null id counts as the
 largest.  Rows that share an id have places of their own in it: of two equal
@@ -38,42 +39,79 @@ than id and text are ignored.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, compress
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from waymark.llm.common import as_bytes
+from waymark.llm.common import WHITE, as_bytes, shared_path
 
 WIDTH = 20
 #: Rows and bytes of text of a shard, in the mean.
 SHARD_ROWS, SHARD_BYTES = 128, 1 << 20
 #: Windows of a pattern and words of an automaton, at most (but for its last pattern).
 PIECE, WORDS = 1_000, 400_000
+#: Rows and bytes of text whose anchors are counted before they are shuffled.
+BLOCK_ROWS, BLOCK_BYTES = 4096, 8 << 20
 LAST_ID = 2**63 - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(29)
-
-
-class _Hashes(dict):
-    """Hashes of words, computed once; long words are not kept."""
-
-    LIMIT, LONGEST = 500_000, 64
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxh64_intdigest(word, 42)
-        if len(word) <= self.LONGEST:
-            if len(self) >= self.LIMIT:
-                self.clear()
-            self[word] = value
-        return value
-
-
-_HASHES = _Hashes()
+_WHITE = [bytes([w]) for w in WHITE]
+_SPACE = re.compile(b"[" + re.escape(WHITE) + b"]")
+
+
+_RANDOM = np.random.default_rng(12)
+_LETTER = _RANDOM.integers(0, 2**64, 256, "u8")
+#: Bytes of text that are hashed in one go, and of words that are hashed by themselves beyond it.
+PART, LONGEST = 1 << 18, 1024
+_POWER = np.cumprod(np.full(LONGEST + 1, 0x9E3779B97F4A7C17, "u8"))
+_IS_WORD = np.array([b not in WHITE for b in range(256)], "u1")
+
+
+def _part_hashes(text: bytes, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words of a part of a text, which cuts no word."""
+    letters = np.frombuffer(text, "u1", high - low, low)
+    word = _IS_WORD[letters]
+    turns = np.flatnonzero(np.diff(word, prepend=0, append=0))
+    starts, sizes = turns[::2], turns[1::2] - turns[::2]
+    if not len(starts):
+        return np.empty(0, "u8"), starts
+    before = np.cumsum(sizes) - sizes
+    inside = letters[word.view("?")]
+    place = np.minimum(np.arange(len(inside)) - np.repeat(before, sizes), LONGEST)
+    sums = np.add.reduceat(_LETTER[inside] * _POWER[place], before) ^ sizes.astype("u8")
+    sums *= _ODD
+    sums ^= sums >> np.uint64(32)
+    for i in np.flatnonzero(sizes > LONGEST).tolist():
+        at = low + int(starts[i])
+        sums[i] = xxh64_intdigest(memoryview(text)[at : at + int(sizes[i])], 42)
+    return sums, starts + low
+
+
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of a text, and the byte where it starts."""
+    parts, low = [(np.empty(0, "u8"), np.empty(0, "i8"))], 0
+    while low < len(text):
+        high = min(low + PART, len(text))
+        if high < len(text):
+            # back to white space; a word that fills the part is taken as long as it is
+            cut = max(text.rfind(w, low, high) for w in _WHITE)
+            end = None if cut >= 0 else _SPACE.search(text, high)
+            high = cut + 1 if cut >= 0 else end.start() if end else len(text)
+        if high - low > PART:
+            parts.append((np.array([xxh64_intdigest(memoryview(text)[low:high], 42)], "u8"), np.array([low])))
+        else:
+            parts.append(_part_hashes(text, low, high))
+        low = high
+    hashes, starts = map(np.concatenate, zip(*parts))
+    return hashes, starts
 
 
 def chained(hashes: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -88,15 +126,15 @@ def chained(hashes: np.ndarray, k: int, seed: int) -> np.ndarray:
 
 
 class Shard:
-    """The words of some documents, one after another, and the anchors of their windows."""
+    """The hashes of the words of some documents, one after another, and the anchors of their windows."""
 
     def __init__(self, ids: list, texts: list[bytes], width: int, gram: int):
         self.width, self.gram, self.ids = width, gram, ids
-        self.words = [t.split() for t in texts]
-        self.sizes = np.array([len(w) for w in self.words], "i8")
+        self.hashes, starts = word_hashes(b"\n".join(texts))
+        begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        self.sizes = np.diff(np.searchsorted(starts, begins))
         self.starts = np.cumsum(self.sizes) - self.sizes
-        total = int(self.sizes.sum())
-        self.hashes = np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(self.words)), "u8", total)
+        total = len(self.hashes)
         self.doc_of = np.repeat(np.arange(len(ids)), self.sizes)
         ends = np.repeat(self.starts + self.sizes, self.sizes)
         #: Where windows start, as places in the shard.
@@ -132,6 +170,19 @@ class Shard:
         return phrases[place[np.concatenate(([0], cuts))]], span * _ODD, first, last
 
 
+def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of bounded rows and bytes (but for a longer text)."""
+    sizes = pc.binary_length(batch.column("bytes")).to_pylist()
+    start = size = 0
+    for at, n in enumerate(sizes):
+        if at > start and (at - start == BLOCK_ROWS or size + n > BLOCK_BYTES):
+            yield batch.slice(start, at - start)
+            start, size = at, 0
+        size += n
+    if len(sizes) > start:
+        yield batch.slice(start)
+
+
 def _shard(table: pa.Table, width: int, gram: int) -> Shard:
     return Shard(table.column("id").to_pylist(), table.column("bytes").to_pylist(), width, gram)
 
@@ -140,17 +191,24 @@ def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.view("i8"))
 
 
-def _counted(shard: Shard, number: int, at: np.ndarray, one: np.ndarray, two: np.ndarray) -> pa.Table:
-    """A row for each different ``one, two`` with its count and its first place in the shard."""
-    doc, start = shard.place(at)
+def _anchored(shard: Shard, of: np.ndarray) -> pa.RecordBatch:
+    """A row for each different anchor of a block of documents: how often it occurs, where first, and in which shards (``of`` each document)."""
+    one, two, first, _ = shard.anchors()
+    doc, start = shard.place(first)
+    number = of[shard.doc_of[first]]
     order = np.lexsort((start, doc, two, one))
-    one, two = one[order], two[order]
-    new = np.flatnonzero(np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])))) if len(one) else np.empty(0, "i8")
-    counts = np.diff(np.append(new, len(one))).astype("i4")
-    return pa.table({"one": _signed(one[new]), "two": _signed(two[new]), "n": pa.array(counts), "doc": pa.array(doc[order][new]), "start": pa.array(start[order][new].astype("i4")), "shard": pa.array(np.full(len(new), number, "i4"))})
-
-
-_COUNTED = "one bigint, two bigint, n int, doc bigint, start int, shard int"
+    one, two, number = one[order], two[order], number[order]
+    changes = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    new = np.flatnonzero(np.concatenate(([len(one) > 0], changes)))
+    group = np.cumsum(np.concatenate(([0], changes))) if len(one) else np.empty(0, "i8")
+    # each shard once
+    by = np.lexsort((number, group))
+    group, number = group[by], number[by]
+    once = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]) | (number[1:] != number[:-1])))) if len(one) else new
+    ends = np.searchsorted(group[once], np.arange(len(new) + 1)).astype("i4")
+    shards = pa.ListArray.from_arrays(pa.array(ends), pa.array(number[once]))
+    columns = [_signed(one[new]), _signed(two[new]), pa.array(np.diff(np.append(new, len(one)))), pa.array(doc[order][new]), pa.array(start[order][new].astype("i4")), shards]
+    return pa.RecordBatch.from_arrays(columns, ["one", "two", "n", "doc", "start", "shards"])
 
 
 def _coded(hashes: np.ndarray) -> tuple[str, int]:
@@ -174,13 +232,28 @@ class Recurring:
     start: np.ndarray
 
 
+def _matched(key: np.ndarray, span: np.ndarray, found: pa.Table) -> np.ndarray:
+    """The row of ``found`` that has each key and span, -1 where none has."""
+    one, two = (found.column(c).to_numpy().view("u8") for c in ("one", "two"))
+    order = np.lexsort((two, one))
+    one, two = one[order], two[order]
+    at, end, out = np.searchsorted(one, key), np.searchsorted(one, key, "right"), np.full(len(key), -1)
+    open_ = np.flatnonzero(at < end)
+    while len(open_):
+        hit = two[at[open_]] == span[open_]
+        out[open_[hit]] = order[at[open_[hit]]]
+        open_ = open_[~hit]
+        at[open_] += 1
+        open_ = open_[at[open_] < end[open_]]
+    return out
+
+
 def _recurring(shard: Shard, found: pa.Table) -> tuple[Recurring, np.ndarray, np.ndarray]:
     """The recurring windows, and where passages of them begin and end (as windows): runs of recurring anchors."""
     n = len(shard.hashes)
     out = Recurring(np.zeros(n, "?"), np.zeros(n, "i8"), np.zeros(n, "i8"))
-    where = {k: i for i, k in enumerate(zip(found.column("one").to_pylist(), found.column("two").to_pylist()))}
     key, span, first, last = shard.anchors()
-    row = np.fromiter((where.get(k, -1) for k in zip(key.view("i8").tolist(), span.view("i8").tolist())), "i8", len(key))
+    row = _matched(key, span, found)
     mine = np.flatnonzero(row >= 0)
     row, first, last = row[mine], first[mine], last[mine]
     windows = found.column("windows").combine_chunks()
@@ -237,10 +310,10 @@ def deduplicated(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """``id_col, n_words, n_removed, removed array<struct<start, end>>, kept``: a row for each row.
 
     ``removed`` are ranges of words, ``kept`` the other words joined by single
-    spaces.  ``gram`` is the length of anchors, two fifths of the width unless
-    given; it changes the work, not the result.
+    spaces.  ``gram`` is the length of anchors, three tenths of the width
+    unless given; it changes the work, not the result.
     """
-    gram = gram or max(1, width * 2 // 5)
+    gram = gram or max(1, width * 3 // 10)
     if not 1 <= gram <= width:
         raise ValueError("anchors are phrases of a window")
     size = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("bytes")).first()
@@ -248,26 +321,30 @@ def deduplicated(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     source = df.select(F.col(id_col).alias("id"), as_bytes(text_col).alias("bytes"), F.pmod(F.xxhash64(id_col, text_col), F.lit(shards)).cast("int").alias("shard"))
     by_shard = source.groupBy("shard")
 
-    def anchored(table: pa.Table) -> pa.Table:
-        shard = _shard(table, width, gram)
-        key, span, first, _ = shard.anchors()
-        return _counted(shard, table.column("shard")[0].as_py(), first, key, span)
+    def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for table in _blocks(batch):
+                yield _anchored(_shard(table, width, gram), table.column("shard").to_numpy())
 
     key, span = Window.partitionBy("one"), Window.partitionBy("one", "two")
-    anchors = by_shard.applyInArrow(anchored, _COUNTED).withColumns({"total": F.sum("n").over(key), "low": F.min("two").over(key), "high": F.max("two").over(key), "first": F.min(F.struct("doc", "start")).over(span), "rows": F.sum("n").over(span)})
-    # all uses take the same columns, so that the anchors are made and shuffled once
-    found = anchors.where("total > 1").select("shard", "one", "two", (F.col("low") != F.col("high")).alias("mixed"), "first.doc", "first.start", "rows")
+    anchors = source.mapInArrow(anchored, "one bigint, two bigint, n bigint, doc bigint, start int, shards array<int>")
+    anchors = anchors.withColumns({"total": F.sum("n").over(key), "low": F.min("two").over(key), "high": F.max("two").over(key), "first": F.min(F.struct("doc", "start")).over(span), "rows": F.sum("n").over(span)}).where("total > 1")
+    path = shared_path(df.sparkSession, "anchors")
+    anchors.select(F.explode("shards").alias("shard"), "one", "two", (F.col("low") != F.col("high")).alias("mixed"), "first.doc", "first.start", "rows").write.parquet(path)
+    found = df.sparkSession.read.parquet(path)
 
     def windowed(table: pa.Table, found: pa.Table) -> pa.Table:
         mixed = found.filter(found.column("mixed"))
         if not mixed.num_rows or not table.num_rows:
             table = table.slice(0, 0)
         shard = _shard(table, width, gram)
-        where = {k: i for i, k in enumerate(zip(*(mixed.column(c).to_pylist() for c in ("one", "two", "doc", "start"))))}
         key, span, first, last = shard.anchors()
         doc, start = shard.place(first)
-        places = [(i, where.pop(k)) for i, k in enumerate(zip(key.view("i8").tolist(), span.view("i8").tolist(), doc.tolist(), start.tolist())) if k in where]
-        mine, row = np.array([p[0] for p in places], "i8"), np.array([p[1] for p in places], "i8")
+        row = _matched(key, span, mixed)
+        mine = np.flatnonzero(row >= 0)
+        mine = mine[(mixed.column("doc").to_numpy()[row[mine]] == doc[mine]) & (mixed.column("start").to_numpy()[row[mine]] == start[mine])]
+        row, where = np.unique(row[mine], return_index=True)
+        mine = mine[where]
         sizes = last[mine] - first[mine] + 1
         each = np.repeat(np.arange(len(mine)), sizes)
         offset = np.arange(len(each)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -291,8 +368,8 @@ def deduplicated(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         shard = _shard(table, width, gram)
         gone = covered(shard, *_recurring(shard, found)) if found.num_rows and len(shard.hashes) else np.zeros(len(shard.hashes), "?")
         rows: dict[str, list] = {name: [] for name in kind.names[1:]}
-        for words, a, n in zip(shard.words, shard.starts.tolist(), shard.sizes.tolist()):
-            part = gone[a : a + n]
+        for text, a, n in zip(table.column("bytes").to_pylist(), shard.starts.tolist(), shard.sizes.tolist()):
+            words, part = text.split(), gone[a : a + n]
             lost = int(part.sum())
             rows["n_words"].append(n)
             rows["n_removed"].append(lost)
