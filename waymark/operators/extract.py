@@ -1,4 +1,4 @@
-"""Definitions and references from Python and markdown text, as tag rows."""
+"""Definitions and references from code and markdown text, as tag rows."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from waymark.config import DEFAULT
+from waymark.operators.languages import BY_SUFFIX
+from waymark.operators.scanner import code_tags
 from waymark.schema import TAG
 
 _HEADER = re.compile(r"^(#{1,6})\s+(.+?)(?:\s*#*)?$", re.M)
@@ -107,17 +109,28 @@ def markdown_tags(code: str, most: int = 80) -> list[dict]:
     return out
 
 
+def text_tags(path: str, code: str, enclosing: bool = False) -> list[dict]:
+    """Tags of one text, by the suffix of its path; none for other suffixes."""
+    suffix = path[path.rfind(".") :].lower() if "." in path.rsplit("/", 1)[-1] else ""
+    if suffix in (".md", ".markdown", ".mdown", ".mkd"):
+        return markdown_tags(code)
+    if suffix in (".py", ".pyi"):
+        return python_tags(code, enclosing)
+    return code_tags(code, BY_SUFFIX[suffix], enclosing) if suffix in BY_SUFFIX else []
+
+
 def tags(files: DataFrame, enclosing: bool = False) -> DataFrame:
     """Tags of ``path, rel, text`` rows by suffix; files in other languages give none."""
     kind = to_arrow_schema(TAG)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[dict] = []
         for batch in batches:
-            out = []
             for path, rel, code in zip(*(c.to_pylist() for c in batch.columns)):
-                low = path.lower()
-                found = markdown_tags(code) if low.endswith((".md", ".markdown", ".mdown", ".mkd")) else python_tags(code, enclosing) if low.endswith((".py", ".pyi")) else []
-                out += [{"rel_fname": rel, "fname": path} | t for t in found]
-            yield pa.RecordBatch.from_pylist(out, schema=kind)
+                out += [{"rel_fname": rel, "fname": path} | t for t in text_tags(path, code, enclosing)]
+                if len(out) >= 1_000:
+                    yield pa.RecordBatch.from_pylist(out, schema=kind)
+                    out = []
+        yield pa.RecordBatch.from_pylist(out, schema=kind)
 
     return files.where("text is not null").select("path", F.coalesce("rel", "path").alias("rel"), "text").mapInArrow(run, TAG)

@@ -38,6 +38,7 @@ class Language:
     calls: str | None = None
     member_calls: str | None = None
     created: str | None = None
+    creators: str = "new"
     headers: tuple[tuple[str, str, str], ...] = ()
     methods: str | None = None
     method_kinds: tuple[str, ...] = ("method",)
@@ -103,7 +104,7 @@ LANGUAGES = (
     ),
     Language(
         "solidity", (".sol",), (Rule("contract", ("class",)), Rule("interface", ("interface",)), Rule("library", ("class",)), Rule("struct", ("class",)), Rule("enum", ("class",), scope=False), Rule("event", ("class",), scope=False), Rule("function", ("function",))), _SOLIDITY_WORDS,
-        calls="call", member_calls="method", headers=(("contract", "is", "class"), ("interface", "is", "class")),
+        calls="call", member_calls="method", created="class", creators="new emit", headers=(("contract", "is", "class"), ("interface", "is", "class")),
     ),
     Language(
         "scala", (".scala", ".sc"), (Rule("class", ("class",)), Rule("trait", ("interface",)), Rule("object", ("object",)), Rule("enum", ("enum",)), Rule("def", ("function",)), Rule("val", ("variable",), scope=False), Rule("var", ("variable",), scope=False), Rule("type", ("type",), scope=False)), _SCALA_WORDS,

@@ -936,3 +936,6 @@ def x20_use_clusters(spark, d):
     level = F.element_at(F.array(*map(F.lit, ("low", "medium", "high"))), (F.col("p_size") % 3 + 1).cast("int"))
     pattern = F.when(F.col("p_type") == "ECONOMY", "diffuse").when(F.col("p_type") == "SMALL", "sparse").otherwise("layered")
     return table(spark, d, "part").select("p_partkey", scoring.use_clusters(level, F.array(F.lit("deep"), pattern)).alias("clustered"))
+
+
+from waymark import scale_queries  # noqa: E402, F401  registers its queries

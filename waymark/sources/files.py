@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions import paths, text
+from waymark.operators.languages import BY_SUFFIX
 
 
 def tree(spark: SparkSession, *roots: str, pattern: str | None = None) -> DataFrame:
@@ -82,7 +83,7 @@ def concatenated(files: DataFrame) -> DataFrame:
 
 
 # Languages with extraction rules, by file suffix.
-LANGUAGES = {".py": "python", ".pyi": "python", ".md": "markdown", ".markdown": "markdown", ".mdown": "markdown", ".mkd": "markdown"}
+LANGUAGES = {".py": "python", ".pyi": "python", ".md": "markdown", ".markdown": "markdown", ".mdown": "markdown", ".mkd": "markdown"} | {suffix: found.name for suffix, found in BY_SUFFIX.items()}
 
 
 def language(column: str = "path") -> F.Column:
