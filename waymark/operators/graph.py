@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,26 +92,40 @@ def pagerank(weights: DataFrame, edges: DataFrame, *, iterations: int | None = N
     loop ends when ranks change by less than ``N * tolerance`` in all (tested
     every ``cut`` rounds, where lineage is cut, too) or after ``iterations``.
     """
-    edges, weights = durable(edges.select("src", "dst", "weight")), durable(weights.select("id", "weight"))
+    edges = durable(edges.select("src", "dst", "weight"))
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     steps = durable(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")))
+
+    def flow(ranks: DataFrame) -> DataFrame:
+        sent = steps.join(ranks.select(F.col("id").alias("src"), "rank"), "src")
+        return sent.groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("p")).alias("flow"))
+
+    return iterated(weights, out.select(F.col("src").alias("id")), flow, iterations=iterations, config=config, cut=cut)
+
+
+def iterated(weights: DataFrame, senders: DataFrame, flow: Callable[[DataFrame], DataFrame], *, iterations: int | None = None, config: Config = DEFAULT, cut: int = 5) -> DataFrame:
+    """PageRank's loop over ``flow(ranks)``, which gives ``id, flow`` from ``id, rank`` and the further columns of ``senders``.
+
+    The rank of vertices that are no ``senders(id)`` goes out by the personalisation.
+    """
+    more = [c for c in senders.columns if c != "id"]
+    weights = durable(weights.select("id", "weight"))
     total = weights.agg(F.sum("weight").alias("s"), F.count(F.lit(1)).alias("n")).first()
     n, s = total["n"], total["s"]
     if not n:
         return weights.select("id", F.lit(0.0).alias("rank"))
-    base = weights.join(out.select(F.col("src").alias("id"), F.lit(False).alias("stuck")), "id", "left").select("id", (F.col("weight") / s).alias("q"), F.coalesce("stuck", F.lit(True)).alias("stuck"))
+    base = weights.join(senders.select("id", *more, F.lit(False).alias("stuck")), "id", "left").select("id", *more, (F.col("weight") / s).alias("q"), F.coalesce("stuck", F.lit(True)).alias("stuck"))
     ranks = durable(base.withColumn("rank", F.lit(1.0 / n)))
     dangling = not ranks.where("stuck").isEmpty()
     a, before, limit = config.alpha, ranks, iterations or config.max_iterations
     for round_ in range(1, limit + 1):
-        flow = steps.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("p")).alias("flow"))
         teleport = F.lit(1 - a) * F.col("q")
-        following = ranks.drop("rank").join(flow, "id", "left")
+        following = ranks.drop("rank").join(flow(ranks.select("id", "rank", *more)), "id", "left")
         if dangling:
             lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("stuck"), F.col("rank"))), F.lit(0.0)).alias("lost"))
             following = following.crossJoin(F.broadcast(lost))  # one row
             teleport = teleport + F.lit(a) * F.col("lost") * F.col("q")
-        ranks = following.select("id", "q", "stuck", (F.lit(a) * F.coalesce("flow", F.lit(0.0)) + teleport).alias("rank"))
+        ranks = following.select("id", *more, "q", "stuck", (F.lit(a) * F.coalesce("flow", F.lit(0.0)) + teleport).alias("rank"))
         if round_ % cut == 0 or round_ == limit:
             last = durable(ranks)
             if iterations is None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from waymark.config import DEFAULT, HIGH, LOW, MEDIUM, Config
 from waymark.functions import scoring
-from waymark.operators import context, export, extract, graph, history, packing, statistics, views
+from waymark.operators import context, export, extract, factorised, graph, history, packing, statistics, views
 from waymark.plans.tuner import TunerState, configured, overrides
 from waymark.session import durable
 
@@ -54,15 +54,14 @@ class Engine:
         return self._known["edges"]
 
     def ranks(self) -> tuple[DataFrame, DataFrame | None]:
-        """File ranks and, in symbol mode, symbol ranks."""
+        """File ranks and, in symbol mode, symbol ranks; by way of names, so that no table of edges is needed for them."""
         if "ranks" not in self._known:
             if self.symbol_rank:
-                symbols = durable(graph.symbol_pagerank(self.symbol_edges(), iterations=self.iterations, config=self.config))
+                symbols = durable(factorised.symbol_pagerank(factorised.symbol_factors(self.all_tags()), iterations=self.iterations, config=self.config))
                 self._known["ranks"] = durable(graph.file_ranks(symbols)), symbols
             else:
-                edges = durable(graph.file_edges(self.all_tags()))
                 nodes = self.all_tags().select(F.col("rel_fname").alias("id")).distinct()
-                ranked = graph.pagerank(graph.personalization(nodes, F.col("id"), config=self.config), edges, iterations=self.iterations, config=self.config)
+                ranked = factorised.pagerank(graph.personalization(nodes, F.col("id"), config=self.config), factorised.file_factors(self.all_tags()), iterations=self.iterations, config=self.config)
                 self._known["ranks"] = durable(ranked.select(F.col("id").alias("file"), F.col("rank").alias("file_rank"))), None
         return self._known["ranks"]
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymark import bindings as B
 from waymark import code_samples
 from waymark.bindings import table
-from waymark.operators import extract
-from waymark.queries import query
+from waymark.operators import extract, factorised, graph
+from waymark.queries import ORACLES, query, rounded
 
 # --- code ----------------------------------------------------------------------------------------------------------
 
@@ -38,3 +41,52 @@ _CODE = f"""code AS (
 def u06_code_tags(spark, d):
     found = extract.tags(code_files(spark, d), enclosing=True)
     return found.select(F.col("rel_fname").alias("file"), F.col("line").cast("bigint").alias("line"), "kind", "node_type", "name", "parent_name", F.col("parent_line").cast("bigint").alias("parent_line"))
+
+
+# --- graphs without edge tables ------------------------------------------------------------------------------------
+
+
+@query(ORACLES["g01_file_pagerank"])
+def g01_factorised_pagerank(spark, d):
+    nodes = table(spark, d, "nation").select(F.col("n_name").alias("id"))
+    weights = graph.personalization(nodes, F.col("id"), ["NATION_7"])
+    return rounded(factorised.pagerank(weights, factorised.file_factors(B.tags(spark, d)), iterations=20), "rank")
+
+
+@query(ORACLES["g02_symbol_pagerank"])
+def g02_factorised_symbols(spark, d):
+    return rounded(factorised.symbol_pagerank(factorised.symbol_factors(B.symbol_tags(spark, d)), iterations=5), "rank", digits=7)
+
+
+@query(ORACLES["a03_degrees"])
+def a03_factorised_degrees(spark, d):
+    return factorised.degrees(table(spark, d, "nation").select(F.col("n_name").alias("id")), factorised.file_factors(B.tags(spark, d)))
+
+
+@query(ORACLES["a07_density"])
+def a07_factorised_density(spark, d):
+    return rounded(factorised.density(factorised.file_factors(B.tags(spark, d))), "density")
+
+
+#: Every customer's file refers to the market segment of its nation's suppliers and to what its own number names; all suppliers define one name.
+_HOT = """ht AS (SELECT 'c' || c_custkey AS f, 'init' AS name, 'ref' AS kind FROM customer UNION ALL SELECT 's' || s_suppkey, 'init', 'def' FROM supplier UNION ALL SELECT 's' || s_suppkey, 'init', 'ref' FROM supplier
+ UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'ref' FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'def' FROM supplier UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'def' FROM customer WHERE c_custkey % 3 = 0)"""
+
+
+def _hot_tags(spark, d):
+    c, s = table(spark, d, "customer"), table(spark, d, "supplier")
+    row = lambda df, letter, key, name, kind: df.select(F.concat(F.lit(letter), F.col(key).cast("string")).alias("rel_fname"), name.alias("name"), F.lit(kind).alias("kind"))
+    nation = lambda key: F.concat(F.lit("n"), F.col(key).cast("string"))
+    parts = [row(c, "c", "c_custkey", F.lit("init"), "ref"), row(s, "s", "s_suppkey", F.lit("init"), "def"), row(s, "s", "s_suppkey", F.lit("init"), "ref"), row(c, "c", "c_custkey", nation("c_nationkey"), "ref")]
+    parts += [row(s, "s", "s_suppkey", nation("s_nationkey"), "def"), row(c.where("c_custkey % 3 = 0"), "c", "c_custkey", nation("c_nationkey"), "def")]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(
+    f"""WITH {_HOT}, r AS (SELECT DISTINCT f, name FROM ht WHERE kind = 'ref'), df AS (SELECT DISTINCT f, name FROM ht WHERE kind = 'def'), rn AS (SELECT name, count(*) AS n FROM r GROUP BY 1), dn AS (SELECT name, count(*) AS n FROM df GROUP BY 1),
+ o AS (SELECT r.f, sum(dn.n) AS o FROM r JOIN dn USING (name) GROUP BY 1), i AS (SELECT df.f, sum(rn.n) AS i FROM df JOIN rn USING (name) GROUP BY 1), l AS (SELECT r.f, count(*) AS w FROM r JOIN df ON df.f = r.f AND df.name = r.name GROUP BY 1), v AS (SELECT DISTINCT f FROM ht)
+SELECT v.f AS id, CAST(coalesce(i, 0) - coalesce(w, 0) AS BIGINT) AS in_degree, CAST(coalesce(o, 0) - coalesce(w, 0) AS BIGINT) AS out_degree FROM v LEFT JOIN o ON o.f = v.f LEFT JOIN i ON i.f = v.f LEFT JOIN l ON l.f = v.f"""
+)
+def j01_hot_name_degrees(spark, d):
+    tags = _hot_tags(spark, d)
+    return factorised.degrees(tags.select(F.col("rel_fname").alias("id")).distinct(), factorised.file_factors(tags))
