@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from waymark.config import DEFAULT, Config
 from waymark.functions import scoring
-from waymark.operators import statistics
+from waymark.operators import similarity, statistics
 from waymark.operators.ordering import top_per_group
 
 
@@ -55,22 +55,33 @@ def commit_sizes(touches: DataFrame) -> DataFrame:
     return touches.groupBy("commit_id").agg(F.countDistinct("file").alias("size"))
 
 
-def coupling(touches: DataFrame, *, threshold: float | None = None, largest_commit: int | None = None, config: Config = DEFAULT) -> DataFrame:
+#: Pairs within commits, as a multiple of the touches, beyond which coupling prunes.
+DENSE = 16
+
+
+def coupling(touches: DataFrame, *, threshold: float | None = None, largest_commit: int | None = None, pruned: bool | None = None, config: Config = DEFAULT) -> DataFrame:
     """``a, b, together, score`` (Jaccard) for pairs ``a < b`` at or above the threshold.
 
-    Pairs come from commits, not from all files.  ``largest_commit`` leaves out
-    wider commits (off unless asked for), whose pairs grow with the square of
-    their size.
+    Pairs come from the commits that files share.  Where commits are so wide that
+    their pairs would be many times the touches, and always with ``pruned``, a
+    set-similarity join finds the same pairs without them.  ``largest_commit``
+    leaves out wider commits altogether (off unless asked for).
     """
+    threshold = config.coupling if threshold is None else threshold
     rows = touches.select("commit_id", "file").distinct()
     if largest_commit:
         rows = rows.join(commit_sizes(rows).where(F.col("size") <= largest_commit), "commit_id", "left_semi")
+    if pruned is None:
+        wide = rows.groupBy("commit_id").agg(F.count(F.lit(1)).cast("double").alias("m")).agg(F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("pairs"), F.sum("m").alias("touches")).first()
+        pruned = threshold > 0 and (wide["pairs"] or 0) > DENSE * (wide["touches"] or 0)
+    if pruned:
+        return similarity.similar_sets(rows.select(F.col("file").alias("set"), F.col("commit_id").alias("element")), threshold)
     sizes = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
     sets = rows.groupBy("commit_id").agg(F.sort_array(F.collect_set("file")).alias("files")).where("size(files) > 1")
     pairs = sets.select(F.posexplode("files").alias("at", "a"), "files").select("a", F.explode(F.expr("slice(files, at + 2, size(files))")).alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("together"))
     scored = pairs.join(sizes.select(F.col("file").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("file").alias("b"), F.col("n").alias("nb")), "b")
     scored = scored.withColumn("score", F.col("together") / (F.col("na") + F.col("nb") - F.col("together")))
-    return scored.where(F.col("score") >= (config.coupling if threshold is None else threshold)).select("a", "b", "together", "score")
+    return scored.where(F.col("score") >= threshold).select("a", "b", "together", "score")
 
 
 def coupling_lists(files: DataFrame, pairs: DataFrame) -> DataFrame:

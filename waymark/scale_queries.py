@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from waymark import bindings as B
 from waymark import code_samples
 from waymark.bindings import table
-from waymark.operators import extract, factorised, graph
+from waymark.operators import extract, factorised, graph, history
 from waymark.queries import ORACLES, query, rounded
+from waymark.sources import history as logs
 
 # --- code ----------------------------------------------------------------------------------------------------------
 
@@ -90,3 +91,59 @@ SELECT v.f AS id, CAST(coalesce(i, 0) - coalesce(w, 0) AS BIGINT) AS in_degree,
 def j01_hot_name_degrees(spark, d):
     tags = _hot_tags(spark, d)
     return factorised.degrees(tags.select(F.col("rel_fname").alias("id")).distinct(), factorised.file_factors(tags))
+
+
+# --- wide commits --------------------------------------------------------------------------------------------------
+
+
+@query(ORACLES["g09_coupling_selective"])
+def g09_coupling_pruned(spark, d):
+    return rounded(history.coupling(B.touches(spark, d), threshold=0.65, pruned=True), "score")
+
+
+#: Orders touch the parts of their lines; one commit touches every part, another every second one.
+_WIDE = "wt AS (SELECT DISTINCT l_orderkey % 500 AS c, 'p' || l_partkey % 300 AS f FROM lineitem UNION SELECT -1, 'p' || p_partkey % 300 FROM part UNION SELECT -2, 'p' || p_partkey % 300 FROM part WHERE p_partkey % 2 = 0)"
+
+
+@query(
+    f"""WITH {_WIDE}, z AS (SELECT f, count(*) AS n FROM wt GROUP BY f), p AS (SELECT x.f AS a, y.f AS b, count(*) AS together FROM wt x JOIN wt y ON x.c = y.c AND x.f < y.f GROUP BY 1, 2)
+SELECT a, b, together, round(together / (za.n + zb.n - together), 6) AS score FROM p JOIN z za ON za.f = a JOIN z zb ON zb.f = b WHERE together / (za.n + zb.n - together) >= 0.1"""
+)
+def j11_wide_commits(spark, d):
+    part = table(spark, d, "part", "p_partkey")
+    name = lambda key: F.concat(F.lit("p"), (F.col(key) % 300).cast("string")).alias("file")
+    touched = table(spark, d, "lineitem", "l_orderkey", "l_partkey").select((F.col("l_orderkey") % 500).alias("commit_id"), name("l_partkey"))
+    for commit, rows in ((-1, part), (-2, part.where("p_partkey % 2 = 0"))):
+        touched = touched.unionByName(rows.select(F.lit(commit).cast("bigint").alias("commit_id"), name("p_partkey")))
+    return rounded(history.coupling(touched, threshold=0.1, pruned=True), "score")
+
+
+# --- long logs -----------------------------------------------------------------------------------------------------
+
+
+def _log(spark, d, head) -> DataFrame:
+    """``log, seq, line``: one log of all orders; the head line of each, a blank one and the parts of its lines."""
+    orders = table(spark, d, "orders").select("*", (F.col("o_orderkey") * 20).alias("seq"))
+    items = table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_linenumber")
+    heads = orders.select("seq", head.alias("line")).unionByName(orders.select(F.col("seq") + 1, F.lit("  ").alias("line")).toDF("seq", "line"))
+    lines = heads.unionByName(items.select((F.col("l_orderkey") * 20 + 2 + F.col("l_linenumber")).alias("seq"), F.concat(F.lit(" part/"), F.col("l_partkey").cast("string"), F.lit(".py")).alias("line")))
+    return lines.select(F.lit("all").alias("log"), "seq", "line").repartition(4)
+
+
+@query("SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderpriority AS author, 'part/' || l_partkey || '.py' AS file FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
+def s10_orders_log(spark, d):
+    head = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("|"), F.col("o_orderpriority"))
+    return logs.parse_stats_log(_log(spark, d, head)).select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "author", "file")
+
+
+@query("SELECT lpad(o_orderkey::VARCHAR, 40, '0') AS commit_id, 'part/' || l_partkey || '.py' AS file FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
+def s11_orders_touch_log(spark, d):
+    return logs.parse_touch_log(_log(spark, d, F.lpad(F.col("o_orderkey").cast("string"), 40, "0")))
+
+
+@query("SELECT lpad(o_orderkey::VARCHAR, 40, '0') AS commit_id, o_orderpriority AS author, strftime(o_orderdate, '%Y-%m-%d') AS day, 'order of ' || o_custkey AS subject FROM orders")
+def s12_orders_story_log(spark, d):
+    o = table(spark, d, "orders")
+    four = F.array(F.lpad(F.col("o_orderkey").cast("string"), 40, "0"), F.col("o_orderpriority"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.concat(F.lit("order of "), F.col("o_custkey").cast("string")), F.lit(""))
+    lines = o.select("o_orderkey", F.posexplode(four).alias("at", "line")).select(F.lit("Order").alias("symbol"), (F.col("o_orderkey") * 10 + F.col("at")).alias("seq"), "line")
+    return logs.parse_story_log(lines).select("commit_id", "author", F.date_format("ts", "yyyy-MM-dd").alias("day"), "subject")

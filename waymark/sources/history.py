@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymark.operators.ordering import top_per_group
+from waymark.operators.scan import carried
+
 
 def _carried(lines: DataFrame, is_head: F.Column) -> DataFrame:
-    """Adds to each line (``log, seq, line``) the head line of its commit."""
-    back = Window.partitionBy("log").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("head", F.last(F.when(is_head, F.col("line")), ignorenulls=True).over(back)).withColumn("is_head", is_head)
+    """Adds to each line (``log, seq, line``) the head line of its commit and where that stands."""
+    heads = F.when(is_head, F.struct(F.col("line").alias("line"), F.col("seq").alias("seq")))
+    return carried(lines, "log", "seq", heads, "found").select("*", F.col("found.line").alias("head"), F.col("found.seq").alias("head_seq"), is_head.alias("is_head"))
 
 
 def parse_stats_log(lines: DataFrame) -> DataFrame:
     """``ISO time|author`` heads followed by paths: ``log, ts, author, file``.
 
-    ``lines(log, seq, line)``; a log file is one partition of the window, many
-    logs run side by side.
+    ``lines(log, seq, line)``; a long log is spread over tasks like many short ones.
     """
     head = F.col("line").rlike(r"^\d{4}-\d\d-\d\dT[^|]*\|")
     rows = _carried(lines, head).where(~F.col("is_head") & (F.trim("line") != "") & F.col("head").isNotNull())
@@ -38,5 +40,7 @@ def parse_story_log(lines: DataFrame) -> DataFrame:
     """
     rows = lines.where(F.trim("line") != "").select(F.col("symbol").alias("log"), "seq", "line")
     rows = _carried(rows, F.col("line").rlike("^[0-9a-f]{40}$")).where(F.col("head").isNotNull())
-    got = rows.groupBy("log", "head").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "line"))), lambda x: x["line"]).alias("l")).where("size(l) >= 4")
+    # a commit's first lines, however many follow
+    first = top_per_group(rows, ["log", "head_seq"], 4, F.col("seq"))
+    got = first.groupBy("log", "head_seq", "head").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "line"))), lambda x: x["line"]).alias("l")).where("size(l) >= 4")
     return got.select(F.col("log").alias("symbol"), F.col("head").alias("commit_id"), F.col("l")[1].alias("author"), F.to_timestamp(F.col("l")[2]).alias("ts"), F.col("l")[3].alias("subject"))
