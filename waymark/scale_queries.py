@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from waymark import bindings as B
 from waymark import code_samples
 from waymark.bindings import table
-from waymark.operators import extract, factorised, graph, history
+from waymark.operators import extract, factorised, graph, history, intervals
 from waymark.queries import ORACLES, query, rounded
 from waymark.sources import history as logs
 
@@ -147,3 +147,56 @@ def s12_orders_story_log(spark, d):
     four = F.array(F.lpad(F.col("o_orderkey").cast("string"), 40, "0"), F.col("o_orderpriority"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.concat(F.lit("order of "), F.col("o_custkey").cast("string")), F.lit(""))
     lines = o.select("o_orderkey", F.posexplode(four).alias("at", "line")).select(F.lit("Order").alias("symbol"), (F.col("o_orderkey") * 10 + F.col("at")).alias("seq"), "line")
     return logs.parse_story_log(lines).select("commit_id", "author", F.date_format("ts", "yyyy-MM-dd").alias("day"), "subject")
+
+
+# --- positions and intervals ---------------------------------------------------------------------------------------
+
+#: Positions are lines of documents; blocks of three lines, wider ones that hold, touch and cross them, and one that never closes.
+_BLOCKS = """ln AS (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, n, unnest(range(n)) AS i FROM ln),
+ iv AS (SELECT doc_id, i AS s, i + 2 AS e FROM l WHERE i % 12 = 8 UNION ALL SELECT doc_id, i, i + 19 FROM l WHERE i % 40 = 5 UNION ALL SELECT doc_id, i, i + 4 FROM l WHERE i % 12 = 10 UNION ALL SELECT doc_id, n - n // 4, NULL FROM ln WHERE doc_id % 3 = 0)"""
+
+
+def _blocks(spark, d) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents", "doc_id", "text").where("text is not null").select("doc_id", F.size(F.split("text", "\n")).alias("n"))
+    lines = docs.select(F.col("doc_id").alias("group"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at"))
+    spans = [lines.where(F.col("at") % m == r).select("group", F.col("at").alias("start"), (F.col("at") + size).alias("end")) for m, r, size in ((12, 8, 2), (40, 5, 19), (12, 10, 4))]
+    spans.append(docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("group"), (F.col("n") - F.floor(F.col("n") / 4)).cast("int").alias("start"), F.lit(None).cast("int").alias("end")))
+    return lines, reduce(DataFrame.unionByName, spans)
+
+
+@query(f"WITH {_BLOCKS} SELECT l.doc_id, l.i AS line, count(*) AS blocks, min(s) AS first FROM l JOIN iv ON iv.doc_id = l.doc_id AND s <= i AND (e IS NULL OR i <= e) GROUP BY 1, 2")
+def j14_lines_in_blocks(spark, d):
+    lines, spans = _blocks(spark, d)
+    return intervals.within(lines, spans).groupBy(F.col("group").alias("doc_id"), F.col("at").cast("bigint").alias("line")).agg(F.count(F.lit(1)).alias("blocks"), F.min("start").cast("bigint").alias("first"))
+
+
+@query(f"WITH {_BLOCKS} SELECT doc_id, i AS line FROM l WHERE i % 6 = 0 AND NOT EXISTS (SELECT 1 FROM iv WHERE iv.doc_id = l.doc_id AND s <= i AND (e IS NULL OR i <= e))")
+def j14_headers_outside_blocks(spark, d):
+    lines, spans = _blocks(spark, d)
+    return intervals.outside(lines.where("at % 6 = 0"), spans).select(F.col("group").alias("doc_id"), F.col("at").cast("bigint").alias("line"))
+
+
+#: Orders hold their lines, each line the next ones if its supplier is even; parts are nested in one another.
+_NESTED = """li AS (SELECT l_orderkey AS k, l_linenumber AS n, max(l_suppkey) % 2 AS odd FROM lineitem GROUP BY 1, 2),
+ nv AS (SELECT k % 7 AS g, k * 100 + n AS s, CASE WHEN odd = 1 THEN k * 100 + n ELSE k * 100 + 90 - n END AS e, k * 100 + n AS id FROM li
+ UNION ALL SELECT o_orderkey % 7, o_orderkey * 100, o_orderkey * 100 + 99, o_orderkey * 100 FROM orders UNION ALL SELECT 100, p_partkey, 100000000 - p_partkey, p_partkey FROM part)"""
+
+
+def _nested(spark, d) -> DataFrame:
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    items = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_suppkey").groupBy(k, n).agg((F.max("l_suppkey") % 2).alias("odd"))
+    rows = items.select((k % 7).alias("group"), (k * 100 + n).alias("start"), F.when(F.col("odd") == 1, k * 100 + n).otherwise(k * 100 + 90 - n).alias("end"), (k * 100 + n).alias("id"))
+    k = F.col("o_orderkey")
+    orders = table(spark, d, "orders", "o_orderkey").select((k % 7).alias("group"), (k * 100).alias("start"), (k * 100 + 99).alias("end"), (k * 100).alias("id"))
+    k = F.col("p_partkey")
+    parts = table(spark, d, "part", "p_partkey").select(F.lit(100).cast("bigint").alias("group"), k.alias("start"), (F.lit(100_000_000) - k).alias("end"), k.alias("id"))
+    return rows.unionByName(orders).unionByName(parts)
+
+
+@query(
+    f"""WITH {_NESTED}, k AS (SELECT x.g, x.id, y.id AS parent, row_number() OVER (PARTITION BY x.g, x.id ORDER BY y.s DESC, y.e, y.id DESC) AS r, count(y.id) OVER (PARTITION BY x.g, x.id) AS depth
+ FROM nv x LEFT JOIN nv y ON y.g = x.g AND y.s // 100 = x.s // 100 AND x.g < 100 AND y.s <= x.s AND y.e >= x.e AND y.id <> x.id)
+SELECT g AS "group", id, CASE WHEN g = 100 AND id > 0 THEN id - 1 ELSE parent END AS parent, CASE WHEN g = 100 THEN id ELSE depth END AS depth FROM k WHERE r = 1"""
+)
+def u03_nearest_scopes(spark, d):
+    return intervals.nearest(_nested(spark, d))
