@@ -100,10 +100,15 @@ def node_id(file: Column, symbol: Column) -> Column:
     return F.concat_ws(":", file, symbol)
 
 
-def render_signature(signature: Column, detail: Column) -> Column:
-    """``...``, names, or names with types and the result type; raw text stands in where there is no structure."""
+def render_signature(signature: Column, detail: Column, fresh: Column | None = None) -> Column:
+    """``...``, names, or names with types and the result type; raw text stands in where there is no structure.
+
+    ``fresh``, an array of booleans, tells of which parameters the type is shown
+    in full detail; null or none: of all.
+    """
     names = F.array_join(F.transform(signature["parameters"], lambda p: p["name"]), ", ")
-    typed = F.array_join(F.transform(signature["parameters"], lambda p: F.when(p["type"].isNull(), p["name"]).otherwise(F.concat(p["name"], F.lit(": "), p["type"]))), ", ")
+    shown = lambda p, i: p["type"].isNotNull() & (F.lit(True) if fresh is None else F.coalesce(F.get(fresh, i), F.lit(True)))
+    typed = F.array_join(F.transform(signature["parameters"], lambda p, i: F.when(shown(p, i), F.concat(p["name"], F.lit(": "), p["type"])).otherwise(p["name"])), ", ")
     result = F.when(signature["return_type"].isNull(), "").otherwise(F.concat(F.lit(" -> "), signature["return_type"]))
     shape = F.when(detail == LOW, F.lit("...")).when(detail == HIGH, F.concat(F.lit("("), typed, F.lit(")"), result)).otherwise(F.concat(F.lit("("), names, F.lit(")")))
     return F.when(signature["raw"].isNotNull(), F.concat(F.lit('— "'), signature["raw"], F.lit('"'))).otherwise(shape)

@@ -9,18 +9,67 @@ from pyspark.sql import functions as F
 
 from waymark.config import DEFAULT, Config
 from waymark.functions import scoring, text
+from waymark.session import durable
+
+
+#: Targets of a request beyond which they go by table instead of as constants.
+CONSTANTS = 32
+
+
+def focus_matches(names: DataFrame, targets: DataFrame) -> DataFrame:
+    """F08 for many: pairs of ``targets(target)`` and ``names(name)`` with ``text.matches_query``.
+
+    An inverted index of each name's parts, letter runs and grams of up to three
+    letters meets the targets' terms by equality.  A target that has to be
+    within a name, or whose parts have to be all among the name's, is looked up
+    by its rarest term only, and tested on what that gives.
+    """
+    names = durable(names.select("name").where("name is not null").distinct())
+    targets = targets.select("target").where(F.trim("target") != "").distinct()
+    low, wanted = F.lower("name"), F.lower("target")
+    grams = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.concat(F.lit("g"), F.substring(c, i, n)))
+    letter = lambda lead, values: F.transform(values, lambda v: F.concat(F.lit(lead), v))
+    terms = F.concat(letter("p", text.name_parts(F.col("name"))), letter("r", text.letter_runs(F.col("name"))), grams(low, 1), grams(low, 2), grams(low, 3))
+    index = durable(names.select("name", F.explode(F.array_distinct(terms)).alias("term")))
+    counts = index.groupBy("term").agg(F.count(F.lit(1)).alias("names"))
+    parts = text.name_parts(F.col("target"))
+    three = F.least(F.length(wanted), F.lit(3))
+    asked = targets.select("target", F.explode(F.array_distinct(F.concat(letter("p", parts), letter("r", parts), F.transform(F.sequence(F.lit(1), F.length(wanted) - three + 1), lambda i: F.concat(F.lit("g"), F.substring(wanted, i, three)))))).alias("term"))
+    asked = durable(asked.join(counts, "term", "left").withColumn("kind", F.substring("term", 1, 1)))
+    # a term that no name has rules its kind out
+    rarest = asked.where("kind <> 'r'").groupBy("target", "kind").agg(F.min(F.struct(F.coalesce("names", F.lit(0)).alias("n"), "term")).alias("t")).where("t.n > 0").select("target", F.col("t.term").alias("term"))
+    tested = rarest.join(index, "term").where(text.matches_query(F.col("name"), F.col("target"))).select("target", "name")
+    runs = asked.where("kind = 'r' and names > 0").select("target", "term").join(index, "term").select("target", "name")
+    return tested.unionByName(runs).distinct()
+
+
+def resolve_targets(tags: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """G14 for a table of ``targets(target)``: ``target, file`` and ``target, name``.
+
+    A target that is a file of ``tags`` stands for that file, any other is a
+    query on the names of definitions.
+    """
+    targets = durable(targets.select("target").where(F.trim("target") != "").distinct())
+    paths = tags.select("rel_fname", F.explode(F.array("rel_fname", "fname")).alias("target")).distinct()
+    as_files = durable(targets.join(paths, "target").select("target", F.col("rel_fname").alias("file")))
+    queries = targets.join(as_files.select("target").distinct(), "target", "left_anti")
+    defined = tags.where("kind = 'def'").select("name", "rel_fname").distinct()
+    named = durable(focus_matches(defined.select("name"), queries))
+    files = as_files.unionByName(named.join(defined, "name").select("target", F.col("rel_fname").alias("file"))).distinct()
+    return files, named
 
 
 def resolve_focus(tags: DataFrame, targets: list[str]) -> tuple[DataFrame, DataFrame]:
     """``file`` rows and ``name`` rows that the targets mean.
 
-    A target that is a file of ``tags`` stands for that file; any other is a
-    query on the names of definitions.  Targets are a short list of the request
-    and go into the plan as constants.
+    A short list goes into the plan as constants, a longer one as a table.
     """
     targets = [t for t in targets if t.strip()]
     if not targets:
         return tags.select(F.col("rel_fname").alias("file")).where("false"), tags.select("name").where("false")
+    if len(targets) > CONSTANTS:
+        found, named = resolve_targets(tags, tags.sparkSession.createDataFrame([(t,) for t in targets], "target string"))
+        return found.select("file").distinct(), named.select("name").distinct()
     is_file = F.col("rel_fname").isin(targets) | F.col("fname").isin(targets)
     paths_met = {x for r in tags.where(is_file).select("rel_fname", "fname").distinct().collect() for x in r}  # at most one row a target
     queries = [t for t in targets if t not in paths_met]
@@ -78,8 +127,12 @@ def search(tags: DataFrame, query: str, *, definitions: bool = True, references:
 
 
 def search_context(hits: DataFrame, files: DataFrame, context: int = 2) -> DataFrame:
-    """Hits with the numbered lines around them; hits without any drop out."""
-    lines = files.join(hits.select("rel_fname").distinct(), F.col("rel") == F.col("rel_fname"), "left_semi").select(F.col("rel").alias("__rel"), F.posexplode(F.split("text", "\n")).alias("__at", "__line"))
-    near = hits.join(lines, (F.col("rel_fname") == F.col("__rel")) & (F.col("__at") + 1).between(F.col("line") - context, F.col("line") + context))
-    shown = F.transform(F.sort_array(F.collect_list(F.struct("__at", "__line"))), lambda x: F.format_string("%4d: %s", x["__at"] + 1, x["__line"]))
-    return near.groupBy("rel_fname", "line", "name", "kind").agg(F.array_join(shown, "\n").alias("context"))
+    """Hits with the numbered lines around them; hits without any drop out.
+
+    The lines are cut out of the text where it meets its hit.
+    """
+    met = hits.select("rel_fname", "line", "name", "kind").distinct().join(files.where("text is not null").select(F.col("rel").alias("rel_fname"), "text"), "rel_fname")
+    lines, first = F.split("text", "\n"), F.greatest(F.col("line") - context, F.lit(1))
+    near = F.when(first <= F.size(lines), F.slice(lines, first, F.greatest(F.col("line") + context - first + 1, F.lit(0))))
+    shown = F.transform(near, lambda x, i: F.format_string("%4d: %s", first + i, x))
+    return met.where((F.size(near) > 0)).select("rel_fname", "line", "name", "kind", F.array_join(shown, "\n").alias("context"))

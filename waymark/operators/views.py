@@ -168,10 +168,29 @@ def annotate(tags: DataFrame, *, bridges: DataFrame | None = None, api: DataFram
     return out
 
 
+def with_fresh(tags: DataFrame, *order: Column, within: str | None = "rel_fname") -> DataFrame:
+    """Adds ``fresh``: of which parameters the pair of name and type has not been shown before, in that order.
+
+    ``within`` names the column that starts anew (a file by default, null: all
+    rows at once).  What comes first is a minimum over the pair, so no file's
+    rows have to be folded one by one.  The order has to be total.
+    """
+    rows = placed(tags, *order).drop("total").withColumnRenamed("place", "__row")
+    scope = F.lit(None).cast("string") if within is None else F.col(within)
+    parameters = rows.select("__row", scope.alias("__scope"), F.posexplode("signature.parameters").alias("__at", "__p"))
+    parameters = parameters.select("__row", "__scope", "__at", F.struct("__p.name", "__p.type").alias("__pair"), F.struct("__row", "__at").alias("__place"))
+    first = parameters.groupBy("__scope", "__pair").agg(F.min("__place").alias("__place"))
+    # the places that come first, by row; a signature bounds their number
+    new = first.groupBy(F.col("__place.__row").alias("__r")).agg(F.collect_set("__place.__at").alias("__new"))
+    marked = rows.join(new, F.col("__row") == F.col("__r"), "left")
+    fresh = F.transform(F.col("signature.parameters"), lambda _, i: F.coalesce(F.array_contains("__new", i), F.lit(False)))
+    return marked.withColumn("fresh", fresh).drop("__row", "__r", "__new")
+
+
 def rendered(tags: DataFrame, detail: Column) -> DataFrame:
-    """Tags with ``shown``: name and signature (X36) or class preview (X38) in a detail level."""
+    """Tags with ``shown``: name and signature (X36) or class preview (X38) in a detail level; with a column ``fresh`` repeated types are left out."""
     name, signature = F.col("name"), F.col("signature")
-    function = F.concat(name, F.coalesce(text.render_signature(signature, detail), F.lit("")))
+    function = F.concat(name, F.coalesce(text.render_signature(signature, detail, F.col("fresh") if "fresh" in tags.columns else None), F.lit("")))
     return tags.withColumn("shown", F.when(F.col("node_type") == "class", text.class_preview(name, F.col("fields"), detail)).when(signature.isNotNull(), function).otherwise(name))
 
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark import bindings as B
 from waymark import code_samples
 from waymark.bindings import table
-from waymark.operators import extract, factorised, graph, history, intervals
+from waymark.config import HIGH
+from waymark.functions import text
+from waymark.operators import context, extract, factorised, graph, history, intervals, views
 from waymark.queries import ORACLES, query, rounded
 from waymark.sources import history as logs
 
@@ -200,3 +202,42 @@ SELECT g AS "group", id, CASE WHEN g = 100 AND id > 0 THEN id - 1 ELSE parent EN
 )
 def u03_nearest_scopes(spark, d):
     return intervals.nearest(_nested(spark, d))
+
+
+# --- many focus targets, seen types --------------------------------------------------------------------------------
+
+
+@query(
+    """WITH t AS (SELECT DISTINCT target FROM (SELECT substr(p_name, 1 + p_partkey % 3, 3 + p_partkey % 5) AS target FROM part UNION ALL SELECT upper(p_name) FROM part UNION ALL SELECT p_brand FROM part UNION ALL SELECT substr(p_name, 2, 1 + p_partkey % 2) FROM part
+  UNION ALL SELECT split_part(p_name, ' ', 2) || '_' || split_part(p_name, ' ', 1) FROM part) WHERE trim(target) <> ''),
+ n AS (SELECT DISTINCT p_name AS name, p_brand AS file FROM part), q AS (SELECT target FROM t WHERE target NOT IN (SELECT file FROM n)),
+ x AS (SELECT target, name, file FROM q, n WHERE contains(lower(name), lower(target)) OR list_has_all(string_split_regex(lower(name), '[_\\s]+'), string_split_regex(lower(target), '[_\\s]+'))
+   OR list_has_any(string_split_regex(lower(target), '[_\\s]+'), regexp_extract_all(replace(lower(name), '_', ''), '[a-z]+')))
+SELECT target, count(DISTINCT file) AS files, coalesce(max(names), 0) AS names FROM (SELECT target, file, (SELECT count(DISTINCT name) FROM x y WHERE y.target = x.target) AS names FROM x UNION ALL SELECT target, target, NULL FROM t WHERE target IN (SELECT file FROM n)) GROUP BY target"""
+)
+def j10_many_targets(spark, d):
+    part = table(spark, d, "part", "p_partkey", "p_name", "p_brand")
+    words, key = F.split("p_name", " "), F.col("p_partkey")
+    some = [F.substring(F.col("p_name"), 1 + key % 3, 3 + key % 5), F.upper("p_name"), F.col("p_brand"), F.substring(F.col("p_name"), F.lit(2), 1 + key % 2), F.concat(F.coalesce(F.get(words, F.lit(1)), F.lit("")), F.lit("_"), words[0])]
+    targets = part.select(F.explode(F.array(*some)).alias("target"))
+    tags = part.select(F.col("p_name").alias("name"), F.lit("def").alias("kind"), F.col("p_brand").alias("rel_fname"), F.col("p_brand").alias("fname"))
+    found, named = context.resolve_targets(tags, targets)
+    counted = named.groupBy("target").agg(F.count(F.lit(1)).alias("names"))
+    return found.groupBy("target").agg(F.count(F.lit(1)).alias("files")).join(counted, "target", "left").na.fill(0)
+
+
+@query(
+    """WITH a AS (SELECT l_orderkey AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS r, 's' || l_suppkey % 5 AS n1, 'T' || l_partkey % 4 AS t1, 'q' || l_quantity::BIGINT % 3 AS n2, CASE WHEN l_suppkey % 3 > 0 THEN 'int' END AS t2 FROM lineitem),
+ p AS (SELECT o, r, 0 AS i, n1 AS n, t1 AS t FROM a UNION ALL SELECT o, r, 1, n2, t2 FROM a), f AS (SELECT *, t IS NOT NULL AND row_number() OVER (PARTITION BY o, n, t ORDER BY r, i) = 1 AS fresh FROM p)
+SELECT o AS file, r AS line, '(' || string_agg(CASE WHEN fresh THEN n || ': ' || t ELSE n END, ', ' ORDER BY i) || ')' AS shown FROM f GROUP BY o, r"""
+)
+def x36_seen_types(spark, d):
+    items = table(spark, d, "lineitem")
+    by = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    named = lambda letter, value: F.concat(F.lit(letter), value.cast("bigint").cast("string"))
+    parameter = lambda name, kind: F.struct(name.alias("name"), kind.alias("type"))
+    two = F.array(parameter(named("s", F.col("l_suppkey") % 5), named("T", F.col("l_partkey") % 4)), parameter(named("q", F.col("l_quantity") % 3), F.when(F.col("l_suppkey") % 3 > 0, "int")))
+    none = F.lit(None).cast("string")
+    tags = items.select(F.col("l_orderkey").alias("rel_fname"), F.row_number().over(by).cast("bigint").alias("line"), F.struct(two.alias("parameters"), none.alias("return_type"), none.alias("raw")).alias("signature"))
+    fresh = views.with_fresh(tags, F.col("rel_fname"), F.col("line"))
+    return fresh.select(F.col("rel_fname").alias("file"), "line", text.render_signature(F.col("signature"), F.lit(HIGH), F.col("fresh")).alias("shown"))
