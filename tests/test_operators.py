@@ -302,3 +302,22 @@ def test_deep_expressions():
     code = "x = " + " + ".join(f"f{i}()" for i in range(1500)) + "\ndef g():\n    h()\n"
     tags = extract.python_tags(code)
     assert sum(t["node_type"] == "call" for t in tags) in (0, 1501) and (not tags or tags[-1]["name"] == "h")
+
+
+def test_marks_and_statistics_of_the_engine(spark):
+    """Bridge, phase and badge marks and the change-mates line; R04: both listings; X17: orphans make a graph sparse."""
+    code = "class C:\n    def m(self, x: int): pass\n    def k(self, x: int): pass\ndef f(x: int): pass\ndef g():\n    def h():\n        f()\n"
+    files = spark.createDataFrame([("a.py", None, code), ("b.py", None, "def use():\n    def inner():\n        f()\n"), ("c/d.py", None, "x = 1\n")], "path string, rel string, text string")
+    history = spark.createDataFrame([(f"c{i}", datetime(2024, 1, i + 1), "ann", file) for i in range(12) for file in ("a.py", "b.py")], "commit_id string, ts timestamp, author string, file string")
+    engine = Engine(files=files, history=history, now=F.lit(datetime(2024, 1, 12)), marks=True, iterations=3)
+    shown = engine.map(["a.py"])
+    assert "a.py:" in shown and "[emergent] [recent] [high-churn]" in shown
+    assert "  ⇄ changes with: b.py(100%)" in shown
+    # a type is shown once a file, in the order of the directory: methods come before functions
+    assert "m(self, x: int)" in shown and "k(self, x)" in shown and "f(x)" in shown
+    assert any(line.endswith("a.py") for line in engine.stats()) and any("d.py" in line for line in engine.stats(tree=True))
+    symbols, orphans = engine.orphans()
+    assert 0 < orphans < symbols
+    # nothing refers to half of the symbols
+    flat = spark.createDataFrame([(1.0,)] * 4, "rank double")
+    assert "sparse" in engine.confidence(flat)["patterns"] and "sparse" not in Engine(files=files, symbol_rank=False).confidence(flat)["patterns"]

@@ -129,10 +129,11 @@ def search(tags: DataFrame, query: str, *, definitions: bool = True, references:
 def search_context(hits: DataFrame, files: DataFrame, context: int = 2) -> DataFrame:
     """Hits with the numbered lines around them; hits without any drop out.
 
-    The lines are cut out of the text where it meets its hit.
+    The lines are cut out of the text where it meets its hit; the hits' order stays.
     """
-    met = hits.select("rel_fname", "line", "name", "kind").distinct().join(files.where("text is not null").select(F.col("rel").alias("rel_fname"), "text"), "rel_fname")
+    wanted = hits.withColumn("__i", F.monotonically_increasing_id()).groupBy("rel_fname", "line", "name", "kind").agg(F.min("__i").alias("__i"))
+    met = wanted.join(files.where("text is not null").select(F.col("rel").alias("rel_fname"), "text"), "rel_fname")
     lines, first = F.split("text", "\n"), F.greatest(F.col("line") - context, F.lit(1))
     near = F.when(first <= F.size(lines), F.slice(lines, first, F.greatest(F.col("line") + context - first + 1, F.lit(0))))
     shown = F.transform(near, lambda x, i: F.format_string("%4d: %s", first + i, x))
-    return met.where((F.size(near) > 0)).select("rel_fname", "line", "name", "kind", F.array_join(shown, "\n").alias("context"))
+    return met.where(F.size(near) > 0).orderBy("__i").select("rel_fname", "line", "name", "kind", F.array_join(shown, "\n").alias("context"))

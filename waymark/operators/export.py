@@ -60,3 +60,29 @@ def diagnostics(node_ids: DataFrame, edges: DataFrame, ranks: DataFrame, config:
         F.lit(f" | HP:α{config.alpha}/dec{config.recency_days:.0f}/chat{config.boost_focus:.0f}/vend{config.weight_vendor}/churn{config.churn_threshold}/rec{config.recency_max}"),
     )
     return parts.select(line.alias("line"))
+
+
+def git_part(weights: DataFrame, n: int = 5) -> DataFrame:
+    """``GIT:name:weight,...`` of the files that history lifts most; empty without any."""
+    top = weights.where("weight > 1").orderBy(F.desc("weight"), "file").limit(n)
+    listed = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("weight")).alias("k"), "file", "weight"))), lambda x: F.concat(text.basename(x["file"]), F.lit(":"), F.format_string("%.2f", x["weight"])))
+    return top.agg(F.array_join(listed, ",").alias("l")).select(F.when(F.col("l") == "", "").otherwise(F.concat(F.lit("GIT:"), F.col("l"))).alias("line"))
+
+
+def top_part(ranked: DataFrame, edges: DataFrame, n: int = 10) -> DataFrame:
+    """``TOP:name:rank:references↓,...``: the best rows of ``rel_fname, name, rank``, a name once, with what refers to its symbol."""
+    best = ranked.groupBy("name").agg(F.max(F.struct("rank", "rel_fname")).alias("b")).select("name", "b.rank", "b.rel_fname").orderBy(F.desc("rank"), "name").limit(n)
+    referred = edges.groupBy(F.col("dst_file").alias("rel_fname"), F.col("dst_sym").alias("name")).agg(F.sum("n").alias("refs"))
+    rows = best.join(referred, ["rel_fname", "name"], "left").select("name", "rank", F.coalesce("refs", F.lit(0)).alias("refs"))
+    shown = lambda x: F.concat(F.substring(x["name"], 1, 12), F.lit(":"), F.format_string("%.3f", x["rank"]), F.lit(":"), x["refs"].cast("string"), F.lit("↓"))
+    return rows.agg(F.concat(F.lit("TOP:"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("rank")).alias("k"), "name", "rank", "refs"))), shown), ",")).alias("line"))
+
+
+def token_part(budget: int, used: int, detail: str, shown: int, total: int) -> str:
+    """``TOK:``, how far the budget is used."""
+    return f"TOK:{budget}/{used}/{100 * used / budget if budget > 0 else 0:.0f}% {detail} tags:{shown}/{total}"
+
+
+def boost_part(symbols: float, weights: float, config: Config = DEFAULT) -> str:
+    """``B:``, the largest factors of a rank."""
+    return f"B:pr→sym*{symbols:.1f}→git*{weights:.1f}→foc*{config.boost_focus:.0f} chain:{symbols * weights * config.boost_focus:.0f}x"

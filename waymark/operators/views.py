@@ -154,15 +154,15 @@ def methods_of(tags: DataFrame) -> DataFrame:
     return classes.join(found, ["rel_fname", "class"]).groupBy("rel_fname", "class").agg(F.sort_array(F.collect_list("method")).alias("methods"))
 
 
-def annotate(tags: DataFrame, *, bridges: DataFrame | None = None, api: DataFrame | None = None, phases: DataFrame | None = None, badges: DataFrame | None = None) -> DataFrame:
-    """Marks of files (``bridge``, ``phase``, ``badges``) and symbols (``api``) on tags."""
+def annotate(tags: DataFrame, *, bridges: DataFrame | None = None, api: DataFrame | None = None, phases: DataFrame | None = None, badges: DataFrame | None = None, mates: DataFrame | None = None) -> DataFrame:
+    """Marks of files (``bridge``, ``phase``, ``badges``, ``mates``) and symbols (``api``) on tags."""
     out = tags
     if bridges is not None:
         out = out.join(bridges.select(F.col("id").alias("__b")).distinct(), F.col("rel_fname") == F.col("__b"), "left").withColumn("bridge", F.col("__b").isNotNull()).drop("__b")
     if api is not None:
         mark = api.where("label = 'api'").select(F.col("file").alias("__f"), F.col("symbol").alias("__s")).distinct()
         out = out.join(mark, (F.col("rel_fname") == F.col("__f")) & (F.col("name") == F.col("__s")), "left").withColumn("api", F.col("__f").isNotNull()).drop("__f", "__s")
-    for frame, column in ((phases, "phase"), (badges, "badges")):
+    for frame, column in ((phases, "phase"), (badges, "badges"), (mates, "mates")):
         if frame is not None:
             out = out.join(frame.select(F.col("file").alias("__f"), column), F.col("rel_fname") == F.col("__f"), "left").drop("__f")
     return out
@@ -194,8 +194,33 @@ def rendered(tags: DataFrame, detail: Column) -> DataFrame:
     return tags.withColumn("shown", F.when(F.col("node_type") == "class", text.class_preview(name, F.col("fields"), detail)).when(signature.isNotNull(), function).otherwise(name))
 
 
+def file_head(row: Row) -> list[str]:
+    """A file's line with its marks, and what it changes with, from the columns of ``annotate`` that a row has."""
+    has = lambda name: row[name] if name in row else None
+    marks = ["bridge"] if has("bridge") else []
+    marks += [has("phase")] if has("phase") else []
+    out = [f"{row['rel_fname']}:" + "".join(f" [{m}]" for m in [*marks, *(has("badges") or [])])]
+    if has("mates"):
+        out.append("  ⇄ changes with: " + ", ".join(f"{m['mate']}({m['score']:.0%})" for m in has("mates")))
+    return out
+
+
+def overflow_lines(rows: DataFrame, files: int) -> DataFrame:
+    """``rel_fname, line``: the names of classes and counts of the rest in files beyond the detailed view, fullest first."""
+    kind = category(F.col("node_type"), F.col("parent_name"))
+    of = lambda k: F.count_if(kind == k)
+    found = rows.where("kind = 'def'").groupBy("rel_fname").agg(F.sort_array(F.collect_list(F.when(kind == CLASS, F.col("name")))).alias("classes"), of(FUNCTION).alias("f"), of(METHOD).alias("m"), of(CONSTANT).alias("c"))
+    n = F.size("classes")
+    more = F.when(n > 3, F.concat(F.lit(" +"), (n - 3).cast("string"))).otherwise("")
+    counts = F.array_join(F.array_compact(F.array(*(F.when(F.col(k) > 0, F.concat(F.col(k).cast("string"), F.lit(k))) for k in ("f", "m", "c")))), " ")
+    parts = F.array_compact(F.array(F.when(n > 0, F.concat(F.array_join(F.slice("classes", 1, 3), ", "), more)), F.when(counts != "", counts)))
+    # classes weigh most, then functions
+    best = found.where((n > 0) | (counts != "")).orderBy(F.desc(n * 3 + F.col("f") * 2 + F.col("m") + F.col("c")), "rel_fname").limit(files)
+    return best.select("rel_fname", F.concat(F.lit("  "), F.col("rel_fname"), F.lit(": "), F.array_join(parts, "; ")).alias("line"))
+
+
 def render_directory(rows: list[Row], detail: int, width: int = 100) -> str:
-    """Files by their best row; classes with methods, functions and constants, wrapped.
+    """Files by their best row, with their marks; classes with methods, functions and constants, wrapped.
 
     ``rows`` are collected ranked tags with ``shown_1`` to ``shown_3``; a budget
     bounds their number.
@@ -217,7 +242,8 @@ def render_directory(rows: list[Row], detail: int, width: int = 100) -> str:
 
     kinds = {"class": CLASS, "method": METHOD, "constant": CONSTANT, "variable": CONSTANT}
     for file, group in groupby(sorted((r for r in rows if r["kind"] == "def"), key=lambda r: (-best[r["rel_fname"]], r["rel_fname"])), key=lambda r: r["rel_fname"]):
-        out.append(f"{file}:")
+        group = list(group)
+        out += file_head(group[0])
         parts: dict[str, list[Row]] = {CLASS: [], FUNCTION: [], METHOD: [], CONSTANT: []}
         for r in group:
             kind = kinds.get(r["node_type"]) or (FUNCTION if r["node_type"] == "function" else None)

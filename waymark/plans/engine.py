@@ -32,6 +32,8 @@ class Engine:
     symbol_rank: bool = True
     git_weight: bool = False
     exclude_unranked: bool = False
+    #: Whether maps show bridges, phases, badges and change mates.
+    marks: bool = False
     count_tokens: Callable[[str], int] = lambda s: -(-len(s) // 4)
     max_context_window: int | None = None
     iterations: int | None = None
@@ -87,8 +89,38 @@ class Engine:
         none = one([], "file")
         return context.boosted(tags.where("kind = 'def'"), file_ranks, symbol_ranks, idents=idents, files=files, focus=focus_files, mates=none if mates is None else mates, weights=weights, caller_files=callers, bias=recipe[2], exclude_unranked=self.exclude_unranked, config=self.config)
 
+    def orphans(self) -> tuple[int, int]:
+        """Symbols of the graph, and how many of them nothing refers to."""
+        if "orphans" not in self._known:
+            factors = factorised.symbol_factors(self.all_tags())
+            got = factorised.degrees(factorised.vertices(factors), factors).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("in_degree") == 0).alias("o")).first()
+            self._known["orphans"] = got["n"], got["o"]
+        return self._known["orphans"]
+
     def confidence(self, ranked: DataFrame) -> Row:
-        return statistics.confidence(ranked, config=self.config).first()
+        symbols, orphans = self.orphans() if self.symbol_rank else (0, 0)
+        return statistics.confidence(ranked, orphans=orphans, symbols=symbols, config=self.config).first()
+
+    def marked(self, rows: DataFrame, focus: list[str] | None = None) -> DataFrame:
+        """Ranked tags with the marks of their files; change mates of focus files only."""
+        found = graph.bridges(graph.collapse(self.symbol_edges()), config=self.config)
+        if self.history is None:
+            return views.annotate(rows, bridges=found)
+        stats = durable(history.file_stats(history.horizon(self.history, self.config.max_commits)))
+        mates = None
+        if focus:
+            files, _ = context.resolve_focus(self.all_tags(), focus)
+            lists = history.coupling_lists(files, history.coupling(self.history.select("commit_id", "file"), config=self.config))
+            mates = lists.select("file", F.slice("mates", 1, self.config.coupling_mates).alias("mates")).where("size(mates) > 0")
+        return views.annotate(rows, bridges=found, phases=history.file_phases(stats, self.now, self.config), badges=history.file_badges(stats, self.now, self.config), mates=mates)
+
+    def stats(self, tree: bool = False) -> list[str]:
+        """The statistics listing, flat by rank or as a tree."""
+        sizes = durable(views.file_sizes(self.files.withColumn("rel", F.coalesce("rel", "path")), self.all_tags()))
+        if tree:
+            return [r["line"] for r in views.stats_tree(sizes).collect()]
+        ranks = self.ranks()[0].select(F.col("file").alias("rel_fname"), F.col("file_rank").alias("max_rank"))
+        return [r["line"] for r in views.stats_lines(sizes, ranks, self.config).collect()]
 
     def map(self, focus: list[str] | None = None, *, budget: int | None = None, refresh: bool = False, adaptive: bool = False, **mentioned: list[str]) -> str | None:
         """Entry A: the rendered map, None where there is nothing to show."""
@@ -107,6 +139,10 @@ class Engine:
             if found:
                 self._known[key] = views.render_clusters(found)
                 return self._known[key]
+        if self.marks:
+            rows = self.marked(rows, focus)
+        # types are shown where a file's classes come first, as the directory has them
+        rows = views.with_fresh(rows, F.col("rel_fname"), F.col("parent_name").isNull(), *context.by_rank())
         for detail in (LOW, MEDIUM, HIGH):
             rows = views.rendered(rows, F.lit(detail)).withColumnRenamed("shown", f"shown_{detail}")
         # a tag costs a token at least, so the budget bounds what can be shown

@@ -12,8 +12,9 @@ from waymark import code_samples
 from waymark.bindings import table
 from waymark.config import HIGH
 from waymark.functions import text
-from waymark.operators import context, extract, factorised, graph, history, intervals, views
+from waymark.operators import context, export, extract, factorised, graph, history, intervals, views
 from waymark.queries import ORACLES, query, rounded
+from waymark.sources import files
 from waymark.sources import history as logs
 
 # --- code ----------------------------------------------------------------------------------------------------------
@@ -241,3 +242,47 @@ def x36_seen_types(spark, d):
     tags = items.select(F.col("l_orderkey").alias("rel_fname"), F.row_number().over(by).cast("bigint").alias("line"), F.struct(two.alias("parameters"), none.alias("return_type"), none.alias("raw")).alias("signature"))
     fresh = views.with_fresh(tags, F.col("rel_fname"), F.col("line"))
     return fresh.select(F.col("rel_fname").alias("file"), "line", text.render_signature(F.col("signature"), F.lit(HIGH), F.col("fresh")).alias("shown"))
+
+
+# --- diagnostics, directory view -----------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {B.ORDER_HISTORY}, nw AS (SELECT max(ts) AS now FROM h), s AS (SELECT file, count(*) AS commits, max(ts) AS last FROM h GROUP BY file), a AS (SELECT file, commits, CAST(floor((epoch_us(now) - epoch_us(last)) / 86400000000) AS BIGINT) AS quiet FROM s, nw),
+ w AS (SELECT file, CASE WHEN quiet <= 0 THEN 2.0 ELSE 1 + exp(-quiet / 30.0) END * CASE WHEN commits <= 5 THEN 1.0 ELSE least(1 + ln(1 + commits - 5) * 0.1, 1.5) END AS weight FROM a), t AS (SELECT * FROM w WHERE weight > 1 ORDER BY weight DESC, file LIMIT 5)
+SELECT 'GIT:' || string_agg(file || ':' || printf('%.2f', weight), ',' ORDER BY weight DESC, file) AS line FROM t"""
+)
+def g16_git_part(spark, d):
+    rows = B.order_history(spark, d)
+    return export.git_part(history.file_weights(history.file_stats(rows), F.lit(rows.agg(F.max("ts")).first()[0])))
+
+
+@query(
+    f"""WITH {B.PART_RANKS}, {B.SYMBOL_EDGES}, b AS (SELECT 'Brand#' || (p_partkey % 25 + 1) AS name, 'NATION_' || (p_partkey % 20) AS f, rank FROM pr), m AS (SELECT name, max(rank * 1000 + CAST(substr(f, 8) AS INT)) AS k, max(rank) AS rank FROM b GROUP BY name),
+ t AS (SELECT name, rank, (SELECT max(f) FROM b WHERE b.name = m.name AND b.rank = m.rank) AS f FROM m ORDER BY rank DESC, name LIMIT 10), x AS (SELECT t.name, t.rank, coalesce((SELECT sum(n) FROM sedges WHERE dst_file = t.f AND dst_sym = t.name), 0) AS refs FROM t)
+SELECT 'TOP:' || string_agg(substr(name, 1, 12) || ':' || printf('%.3f', rank) || ':' || CAST(refs AS BIGINT) || '↓', ',' ORDER BY rank DESC, name) AS line FROM x"""
+)
+def g16_top_part(spark, d):
+    key = F.col("p_partkey")
+    ranked = B.part_ranks(spark, d).select(F.concat(F.lit("Brand#"), (key % 25 + 1).cast("string")).alias("name"), F.concat(F.lit("NATION_"), (key % 20).cast("string")).alias("rel_fname"), "rank")
+    return export.top_part(ranked, graph.symbol_edges(B.symbol_tags(spark, d)))
+
+
+@query(
+    """WITH k AS (SELECT p_brand AS f, p_type AS name, CASE p_partkey % 4 WHEN 0 THEN 'class' WHEN 1 THEN 'function' WHEN 2 THEN 'method' ELSE 'constant' END AS kind FROM part),
+ g AS (SELECT f, list_sort(list(name) FILTER (kind = 'class')) AS cl, count(*) FILTER (kind = 'function') AS fn, count(*) FILTER (kind = 'method') AS mt, count(*) FILTER (kind = 'constant') AS co FROM k GROUP BY f),
+ t AS (SELECT *, coalesce(len(cl), 0) AS n FROM g ORDER BY coalesce(len(cl), 0) * 3 + fn * 2 + mt + co DESC, f LIMIT 30)
+SELECT f AS rel_fname, '  ' || f || ': ' || concat_ws('; ', CASE WHEN n > 0 THEN array_to_string(cl[1:3], ', ') || CASE WHEN n > 3 THEN ' +' || (n - 3) ELSE '' END END,
+  nullif(concat_ws(' ', CASE WHEN fn > 0 THEN fn || 'f' END, CASE WHEN mt > 0 THEN mt || 'm' END, CASE WHEN co > 0 THEN co || 'c' END), '')) AS line FROM t"""
+)
+def o09_overflow(spark, d):
+    kinds = F.array(*map(F.lit, ("class", "function", "method", "constant")))
+    key = (F.col("p_partkey") % 4).cast("int")
+    tags = table(spark, d, "part").select(F.col("p_brand").alias("rel_fname"), F.col("p_type").alias("name"), F.lit("def").alias("kind"), F.element_at(kinds, key + 1).alias("node_type"), F.when(key == 2, "Owner").alias("parent_name"))
+    return views.overflow_lines(tags, 30)
+
+
+@query("SELECT c_name AS path FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+def j17_without_large_orders(spark, d):
+    chat = table(spark, d, "orders").where("o_totalprice > 300000").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_name").alias("path"))
+    return files.without_chat(table(spark, d, "customer").select(F.col("c_name").alias("path")), chat)
