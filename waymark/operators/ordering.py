@@ -12,22 +12,23 @@ from pyspark.sql import functions as F
 from waymark.session import durable
 
 
-def placed(df: DataFrame, *order: Column, value: Column | None = None) -> DataFrame:
-    """``df`` with ``place`` (from 0 in that order), ``total`` and, for a value, ``running`` (inclusive sum).
+def placed(df: DataFrame, *order: Column, value: Column | None = None, sums: dict[str, Column] | None = None) -> DataFrame:
+    """``df`` with ``place`` (from 0 in that order), ``total`` and, for a value, ``running`` (inclusive sum); ``sums`` names further ones.
 
     The order has to be total for places to be deterministic.
     """
+    sums = (sums or {}) | ({} if value is None else {"running": value})
     cells = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    cells = durable(cells.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__at"), (F.lit(0.0) if value is None else value).alias("__value")))
-    parts = cells.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.sum("__value").alias("__s"))
+    cells = durable(cells.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__at"), *(c.alias(f"__v_{n}") for n, c in sums.items())))
+    parts = cells.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), *(F.sum(f"__v_{n}").alias(f"__s_{n}") for n in sums))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     # one row per partition: a bound that does not grow with the rows
-    offsets = parts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"), F.coalesce(F.sum("__s").over(before), F.lit(0.0)).alias("__base"), F.sum("__n").over(Window.partitionBy()).alias("total"))
+    offsets = parts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"), *(F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0.0)).alias(f"__b_{n}") for n in sums), F.sum("__n").over(Window.partitionBy()).alias("total"))
     out = cells.join(F.broadcast(offsets), "__part").withColumn("place", F.col("__off") + F.col("__at"))
-    if value is not None:
-        within = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
-        out = out.withColumn("running", F.col("__base") + F.sum("__value").over(within))
-    return out.drop("__part", "__at", "__off", "__base", "__value")
+    within = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    for n in sums:
+        out = out.withColumn(n, F.col(f"__b_{n}") + F.sum(f"__v_{n}").over(within))
+    return out.drop("__part", "__at", "__off", *(f"__{k}_{n}" for n in sums for k in "vb"))
 
 
 def top_per_group(df: DataFrame, keys: list[str], n: int, *order: Column) -> DataFrame:

@@ -145,15 +145,22 @@ class Engine:
         rows = views.with_fresh(rows, F.col("rel_fname"), F.col("parent_name").isNull(), *context.by_rank())
         for detail in (LOW, MEDIUM, HIGH):
             rows = views.rendered(rows, F.lit(detail)).withColumnRenamed("shown", f"shown_{detail}")
-        # a tag costs a token at least, so the budget bounds what can be shown
-        head = rows.orderBy(*context.by_rank()).limit(limit).collect()
-        if not head:
-            return None
-        try:
-            tags, _, text, tokens = packing.pack(head, limit, views.render_directory, self.count_tokens, self.config)
-        except ValueError:
-            text = views.render_directory(head[:10], LOW)
-            tags, tokens = min(10, len(head)), self.count_tokens(text)
+        sized = durable(packing.sizes(rows, *context.by_rank()))
+        guess = packing.guesses(sized, limit)
+        # a tag costs a token at least, so the budget bounds what can be shown; mostly a little more than guessed is enough
+        wanted = min(limit, 2 * max(guess.values()) + 64)
+        while True:
+            head = sized.where(F.col("place") < wanted).orderBy("place").collect()
+            if not head:
+                return None
+            try:
+                tags, _, text, tokens = packing.pack(head, limit, views.render_directory, self.count_tokens, self.config, guess)
+            except ValueError:
+                text = views.render_directory(head[:10], LOW)
+                tags, tokens = min(10, len(head)), self.count_tokens(text)
+            if wanted == limit or len(head) < wanted or all(self.count_tokens(views.render_directory(head, d)) > limit for d in (LOW, MEDIUM, HIGH)):
+                break
+            wanted = limit
         lead = views.header_line(sure["level"], sure["patterns"], tokens, limit, tags)
         self._known[key] = f"{lead}\n\n{text}" if lead else text
         return self._known[key]
