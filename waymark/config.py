@@ -44,6 +44,7 @@ class Config:
     stats_files: int = 500
     clusters: int = 10
     cluster_symbols: int = 5
+    flat_tags: int = 20
     # History.
     recency_days: float = 30.0
     recency_max: float = 2.0

@@ -77,6 +77,11 @@ def render_clusters(rows: list[Row]) -> str:
     return "\n".join(out)
 
 
+def render_flat(rows: list[Row]) -> str:
+    """The best rows by themselves, a bounded number."""
+    return "\n".join(["# Top Symbols (no clear clusters detected)", "", *(f"- {r['rel_fname']}:{r['name']}" for r in rows)])
+
+
 def file_sizes(files: DataFrame, tags: DataFrame) -> DataFrame:
     """``path, loc, defs``."""
     defs = tags.where("kind = 'def'").groupBy("rel_fname").agg(F.count(F.lit(1)).alias("defs"))

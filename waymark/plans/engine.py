@@ -136,9 +136,9 @@ class Engine:
         sure = self.confidence(rows)
         if adaptive and (sure["level"] == "low" or {"fragmented", "sparse", "diffuse"} & set(sure["patterns"])):
             found = views.clusters(rows, config=self.config).collect()
-            if found:
-                self._known[key] = views.render_clusters(found)
-                return self._known[key]
+            # without clusters of some size the best rows stand in
+            self._known[key] = views.render_clusters(found) if found else views.render_flat(rows.orderBy(*context.by_rank()).limit(self.config.flat_tags).collect())
+            return self._known[key]
         if self.marks:
             rows = self.marked(rows, focus)
         # types are shown where a file's classes come first, as the directory has them

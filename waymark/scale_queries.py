@@ -286,3 +286,20 @@ def o09_overflow(spark, d):
 def j17_without_large_orders(spark, d):
     chat = table(spark, d, "orders").where("o_totalprice > 300000").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_name").alias("path"))
     return files.without_chat(table(spark, d, "customer").select(F.col("c_name").alias("path")), chat)
+
+
+@query("SELECT count(*) AS files, CAST(sum(strlen(text) + strlen(doc_id || '.txt') + 164) AS BIGINT) AS bytes, sum(strlen(text) + strlen(doc_id || '.txt') + 164) > 204800 AS large FROM documents WHERE text IS NOT NULL")
+def s17_concatenation_size(spark, d):
+    return files.concatenation_size(table(spark, d, "documents", "doc_id", "text").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text"))
+
+
+@query(
+    """WITH l AS (SELECT CASE o_orderkey % 4 WHEN 0 THEN ' M cust/' || o_custkey WHEN 1 THEN 'R  old/' || o_orderkey || ' -> cust/' || o_custkey WHEN 2 THEN '?? new/' || o_orderkey ELSE '' END AS line FROM orders),
+ r AS (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' ORDER BY o_orderdate DESC, o_orderkey::VARCHAR LIMIT 3)
+SELECT DISTINCT path FROM (SELECT CASE WHEN contains(line, ' -> ') THEN split_part(line, ' -> ', 2) ELSE substr(line, 4) END AS path FROM l WHERE length(line) > 3 UNION ALL SELECT o_custkey::VARCHAR FROM orders WHERE o_orderkey IN (SELECT o_orderkey FROM r))"""
+)
+def s13_signals(spark, d):
+    key, customer = F.col("o_orderkey"), F.concat(F.lit("cust/"), F.col("o_custkey").cast("string"))
+    line = F.when(key % 4 == 0, F.concat(F.lit(" M "), customer)).when(key % 4 == 1, F.concat(F.lit("R  old/"), key.cast("string"), F.lit(" -> "), customer)).when(key % 4 == 2, F.concat(F.lit("?? new/"), key.cast("string"))).otherwise("")
+    status = files.status_paths(table(spark, d, "orders").select(line.alias("line")))
+    return files.working_set(status, files.recent_paths(B.order_history(spark, d), 3, "1-URGENT"))

@@ -12,7 +12,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 def session(master: str = "local[*]", partitions: int = 8, **settings: str) -> SparkSession:
     """A session for tests and benches; a cluster brings its own settings."""
-    builder = SparkSession.builder.master(master).config("spark.sql.shuffle.partitions", str(partitions)).config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+    builder = SparkSession.builder.master(master).config("spark.sql.shuffle.partitions", str(partitions)).config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     for key, value in settings.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
@@ -26,9 +26,11 @@ def workers_find_package(spark: SparkSession) -> None:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage through a checkpoint in the shared folder of ``spark.checkpoint.dir``."""
+    """Cut lineage through a checkpoint in the shared folder of ``spark.checkpoint.dir``; only a local session may go without that setting."""
     spark = df.sparkSession
     named = spark.conf.get("spark.checkpoint.dir", None)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="waymark-"))
     return df.checkpoint(eager=True)

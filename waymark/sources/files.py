@@ -75,6 +75,20 @@ def working_set(*signals: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), (s.select("path") for s in signals)).distinct()
 
 
+def status_paths(lines: DataFrame) -> DataFrame:
+    """``path`` of each ``line`` of a short status listing; of a rename the new one."""
+    moved = F.substring_index(F.substring("line", 4, 1 << 20), " -> ", -1)
+    return lines.where(F.length("line") > 3).select(F.trim(moved).alias("path")).where("path <> ''").distinct()
+
+
+def recent_paths(history: DataFrame, commits: int = 3, author: str | None = None) -> DataFrame:
+    """``path`` of the files of the latest commits, those of an author if one is given and has any."""
+    own = history if author is None else history.where(F.col("author") == author)
+    own = history if author is not None and own.isEmpty() else own
+    last = own.groupBy("commit_id").agg(F.max("ts").alias("ts")).orderBy(F.desc("ts"), "commit_id").limit(commits)
+    return own.join(F.broadcast(last.select("commit_id")), "commit_id", "left_semi").select(F.col("file").alias("path")).distinct()  # a few commits
+
+
 def concatenated(files: DataFrame) -> DataFrame:
     """``seq, block``: each text under its path, by path; rows without text drop out."""
     rule = "=" * 80
@@ -82,6 +96,16 @@ def concatenated(files: DataFrame) -> DataFrame:
     return rows.orderBy("path")
 
 
+#: Bytes of joined text beyond which a reader is warned.
+LARGE = 200 * 1024
+
+
+def concatenation_size(files: DataFrame) -> DataFrame:
+    """One row ``files, bytes, large`` of what ``concatenated`` gives."""
+    blocks = concatenated(files)
+    return blocks.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum(F.octet_length("block")), F.lit(0)).alias("bytes")).withColumn("large", F.col("bytes") > LARGE)
+
+
 # Languages with extraction rules, by file suffix.
 LANGUAGES = {".py": "python", ".pyi": "python", ".md": "markdown", ".markdown": "markdown", ".mdown": "markdown", ".mkd": "markdown"} | {suffix: found.name for suffix, found in BY_SUFFIX.items()}
 
