@@ -28,7 +28,7 @@ def test_upsert(spark, tmp_path):
     place, seen = str(tmp_path), []
 
     def extracted(files):
-        seen.append(sorted(r.path for r in files.collect()))
+        seen.extend([sorted(r.path for r in files.collect())] if not files.isEmpty() else [])
         return extract.tags(files)
 
     first = listed(spark, {f"f{i}.py": f"def a{i}(): pass" for i in range(6)} | {"none.py": "", "odd.txt": "x"})

@@ -45,8 +45,9 @@ def cached_tags(spark: SparkSession, files: DataFrame, extract: Callable[[DataFr
     known = stored(spark, location)
     todo = files if known is None or refresh else split(files, known)[1]
     todo = durable(todo)
+    tags = extract(todo)
     if not todo.isEmpty():
-        fresh = durable(extract(todo).join(todo.select(F.col("path").alias("fname"), "modified"), "fname"))
+        fresh = durable(tags.join(todo.select(F.col("path").alias("fname"), "modified"), "fname"))
         # a file without tags is a row without a name
         empty = todo.join(fresh.select(F.col("fname").alias("path")).distinct(), "path", "left_anti").select(F.col("path").alias("fname"), "modified")
         rows = fresh.unionByName(empty, allowMissingColumns=True).withColumn("path", F.col("fname")).withColumn("bucket", bucket())
@@ -57,5 +58,5 @@ def cached_tags(spark: SparkSession, files: DataFrame, extract: Callable[[DataFr
         rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{location}/v{VERSION}")
     found = stored(spark, location)
     if found is None:
-        return extract(files)
+        return tags
     return found.join(files.select("path", "modified"), ["path", "modified"], "left_semi").where("name is not null").drop("path", "modified", "bucket")
