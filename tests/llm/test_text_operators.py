@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from functools import partial
 
 import numpy as np
 import pytest
@@ -193,6 +194,24 @@ def test_packing_query(spark):
     assert sum(r.n_tokens for r in rows) / (2048 * len(rows)) > 0.9
 
 
+def test_packing_encodes_in_the_same_worker(spark, docs, tmp_path):
+    """Texts packed with an encoder give the rows that their table of ids gives."""
+    texts = docs((1, "one two three"), (2, None), (3, ""), (None, "fo  ur\tfive"), (4, "word " * 100))
+    path, pattern = queries.vocabulary()
+    options = dict(row_length=16, end_id=queries.END_ID, pad_id=0)
+    want = packing.pack(bpe.encode(texts, path, pattern), **options)
+    packing.write(texts, str(tmp_path / "rows"), ids_col="text", encode=partial(bpe.coded, path=path, pattern=pattern, names=["id", "ids"]), **options)
+    assert sorted(map(repr, packing.read(spark, str(tmp_path / "rows")).collect())) == sorted(map(repr, want.collect()))
+
+
+def test_bpe_cache_is_bounded_as_a_whole():
+    """Pieces of evenly and of oddly spaced texts together keep the bound, but for those of the last call."""
+    coder = bpe.PieceEncoder(*queries.vocabulary(), limit=200)
+    for n in range(60):
+        coder.encode([f"a{n} b{n} c{n} d{n} e{n}", f"f{n}  g{n}\th{n} i{n} j{n}"])
+        assert len(coder.spaced) + len(coder.plain) <= 200 + 20
+
+
 def test_packing_refuses_ids_that_do_not_fit():
     for ids in ([70000], [-1], [1.0, float("nan")]):
         with pytest.raises(ValueError):

@@ -24,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces whose ids a worker keeps; the cache is emptied when it is full.
+#: Pieces whose ids a worker keeps, at some 200 bytes each; the cache is emptied when it is full.
 CACHE_PIECES = 500_000
 # Fixed value: the splitting pattern of which no match crosses a cut; texts are encoded whole for any other.
 CUT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _CUT = re.compile(r"(?<=\S)(?= )")
-_SPACES = re.compile(r"\s[ \n]|\n\s")
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+_PAIRS = ("  ", "\n\n", " \n", "\n ")
 
 
 def byte_alphabet() -> list[str]:
@@ -106,45 +107,44 @@ class PieceEncoder:
             part = alone[start : start + 20_000]
             for piece, got in zip(part, self.library.encode_batch_fast([lead + p for p in part], add_special_tokens=False)):
                 cache[piece] = np.array(got.ids, dtype="<i4").tobytes()
-        runs = [joined[at : at + 100] for at in range(0, len(joined), 100)]
+        runs = [joined[at : at + 500] for at in range(0, len(joined), 500)]
         for run, got in zip(runs, self.library.encode_batch_fast([lead + lead.join(r) for r in runs], add_special_tokens=False)):
             ids = np.array(got.ids, dtype="<i4")
-            cuts = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(p.encode()) + 1 for p in run])) + 1
-            before = 0
-            for piece, cut in zip(run, cuts.tolist()):
-                cache[piece] = ids[before:cut].tobytes()
-                before = cut
+            whole = np.frombuffer((lead + lead.join(run)).encode(), "u1")
+            ends = np.append(np.flatnonzero(whole == 0x20)[1:], len(whole))
+            cuts = (4 * np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 4).tolist()
+            raw = ids.tobytes()
+            cache.update(zip(run, [raw[a:b] for a, b in zip([0, *cuts], cuts)]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
             return [np.array(got.ids, dtype="<i4").tobytes() for got in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        for cache in (self.spaced, self.plain):
-            if len(cache) > self.limit:
-                cache.clear()
+        if len(self.spaced) + len(self.plain) > self.limit:
+            self.spaced.clear()
+            self.plain.clear()
         out, firsts, waiting, spaced, plain = [], [], [], set(), {"\n"}
         for text in texts:
-            if "  " in text or _SPACES.search(text):
-                first, words, cache = None, _CUT.split(text), self.plain
+            if any(pair in text for pair in _PAIRS) or _OTHER_SPACE.search(text):
+                first, words, cache, new = None, _CUT.split(text), self.plain, plain
             else:
                 first, *words = text.replace("\n", " \n").split(" ")
                 plain.add(first)
-                cache = self.spaced
+                cache, new = self.spaced, spaced
             got = list(map(cache.get, words))
             out.append(got)
-            at = -1
-            for _ in range(got.count(None)):
-                at = got.index(None, at + 1)
-                (plain if first is None else spaced).add(words[at])
-                waiting.append((got, at, words[at], cache))
             firsts.append(first)
+            missed = [at for at, ids in enumerate(got) if ids is None]
+            new.update([words[at] for at in missed])
+            waiting.append((got, missed, words, cache))
         broken = {w for w in spaced if w[:1] == "\n"}
         self._learn(self.spaced, spaced - broken, " ")
         plain.update(w[1:] for w in broken)
         self._learn(self.plain, plain, "")
         for w in broken:
             self.spaced[w] = self.plain["\n"] + self.plain[w[1:]]
-        for got, at, word, cache in waiting:
-            got[at] = cache[word]
+        for got, missed, words, cache in waiting:
+            for at in missed:
+                got[at] = cache[words[at]]
         return [b"".join(got) if first is None else self.plain[first] + b"".join(got) for first, got in zip(firsts, out)]
 
 
@@ -162,6 +162,26 @@ def char_spans(text: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return (char[ends - lengths] - 1).astype("i4"), char[ends - 1].astype("i4")
 
 
+def coded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, names: list[str], offsets: bool = False) -> Iterator[pa.RecordBatch]:
+    """Batches with the texts (no nulls) as last column, encoded: ``ids`` and, with ``offsets``, ``starts`` and ``ends`` instead of them."""
+    coder = encoder(path, pattern)
+    sizes = np.array([len(t) for t in byte_table(path)], "i8") if offsets else None
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            *kept, last = part.columns
+            texts = last.to_pylist()
+            found = coder.encode(texts)
+            ends = np.zeros(len(found) + 1, "i4")
+            np.cumsum([len(c) // 4 for c in found], out=ends[1:])
+            lists = lambda values: pa.ListArray.from_arrays(pa.array(ends), pa.array(values))  # noqa: E731, B023
+            arrays = [lists(np.frombuffer(b"".join(found), "<i4"))]
+            if offsets:
+                spans = [char_spans(t.encode(), sizes[np.frombuffer(c, "<i4")]) for t, c in zip(texts, found)]
+                arrays += [lists(np.concatenate([s[i] for s in spans]) if spans else np.empty(0, "i4")) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*kept, *arrays], names)
+
+
 def encode(df: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """``id_col, *keep, ids array<int>`` and, with ``offsets``, ``starts`` and ``ends`` (code points).
 
@@ -172,24 +192,7 @@ def encode(df: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", te
     source = df.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), *(f"{n} array<int>" for n in names[len(kept) :])])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path, pattern)
-        sizes = np.array([len(t) for t in byte_table(path)], "i8") if offsets else None
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = part.column(len(kept)).to_pylist()
-                coded = coder.encode(texts)
-                ends = np.zeros(len(coded) + 1, "i4")
-                np.cumsum([len(c) // 4 for c in coded], out=ends[1:])
-                lists = lambda values: pa.ListArray.from_arrays(pa.array(ends), pa.array(values))  # noqa: E731, B023
-                arrays = [lists(np.frombuffer(b"".join(coded), "<i4"))]
-                if offsets:
-                    spans = [char_spans(t.encode(), sizes[np.frombuffer(c, "<i4")]) for t, c in zip(texts, coded)]
-                    arrays += [lists(np.concatenate([s[i] for s in spans]) if spans else np.empty(0, "i4")) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), *arrays], names)
-
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lambda batches: coded(batches, path, pattern, names, offsets), schema)
 
 
 def decode(df: DataFrame, path: str, *, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

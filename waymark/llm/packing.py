@@ -25,7 +25,7 @@ least int64 in files).  Repeated documents are packed as often as they occur.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -168,8 +168,12 @@ def pack(df: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids", row_len
     return _source(df, id_col, ids_col).mapInArrow(run, SCHEMA)
 
 
-def write(df: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: str = "ids", row_length: int = 2048, end_id: int | None = None, pad_id: int = 0, width: int = 2, shard_tokens: int = 2_000_000) -> None:
-    """Pack as ``pack`` does and write files of binary records, in any store that Spark can write."""
+def write(df: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: str = "ids", row_length: int = 2048, end_id: int | None = None, pad_id: int = 0, width: int = 2, shard_tokens: int = 2_000_000, encode: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None) -> None:
+    """Pack as ``pack`` does and write files of binary records, in any store that Spark can write.
+
+    With ``encode``, ``ids_col`` holds texts (null: empty) and ``encode`` makes their
+    ids from batches of both columns, in the worker that packs them.
+    """
 
     def record(shard, number, matrix, ends, docs, offsets) -> bytes:
         head = np.array([shard, number, ends[-1], len(docs), len(matrix)], "<i8")
@@ -177,11 +181,12 @@ def write(df: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: str = "i
         return b"".join(part.tobytes() for part in (head, matrix, ends, ends[:-1], known, np.array(offsets, "<i4")))
 
     def run(batches):
-        rows = _rows(batches, row_length, end_id, pad_id, width, shard_tokens)
+        rows = _rows(encode(batches) if encode else batches, row_length, end_id, pad_id, width, shard_tokens)
         while part := list(islice(rows, 256)):
             yield pa.RecordBatch.from_arrays([pa.array([record(*r) for r in part], pa.binary())], ["record"])
 
-    records = _source(df, id_col, ids_col).mapInArrow(run, "record binary")
+    source = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(ids_col, F.lit("")).alias("text")) if encode else _source(df, id_col, ids_col)
+    records = source.mapInArrow(run, "record binary")
     # a file holds 16,384 records at most, which bounds its size by the row length
     records.select(F.col("record").cast("string").alias("value")).write.option("maxRecordsPerFile", 16_384).text(path)
 

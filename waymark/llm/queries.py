@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,9 +57,9 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = vocabulary()
-    coded = bpe.encode(table(spark, sf_dir, "documents", "doc_id", "text"), path, pattern)
     files = shared_path(spark, "packed")
-    packing.write(coded, files, row_length=2048, end_id=END_ID, pad_id=END_ID, width=2)
+    encode = partial(bpe.coded, path=path, pattern=pattern, names=["id", "ids"])
+    packing.write(table(spark, sf_dir, "documents", "doc_id", "text"), files, ids_col="text", row_length=2048, end_id=END_ID, pad_id=END_ID, width=2, encode=encode)
     return packing.read(spark, files, width=2)
 
 
