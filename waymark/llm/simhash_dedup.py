@@ -35,6 +35,16 @@ from waymark.llm.common import as_bytes, durable, join_spread
 BITS, LIMIT = 64, 2048
 
 
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes (unsigned, 64 bits) have each bit set."""
+    return np.unpackbits(hashes.view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype="i8")
+
+
+def majority(counts: np.ndarray, n: int) -> int:
+    """The fingerprint of ``n`` hashes: the bits that over half of them have."""
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+
+
 def fingerprint_of(text: bytes, width: int = 3) -> int:
     """The SimHash of one text (UTF-8), unsigned."""
     from xxhash import xxh64_intdigest
@@ -50,8 +60,8 @@ def fingerprint_of(text: bytes, width: int = 3) -> int:
     stops = ends[width - 1 :].tolist()
     for at in range(0, n, 65536):
         h = np.array([xxh64_intdigest(line[a:b], 42) for a, b in zip(starts[at : at + 65536], stops[at : at + 65536])], "<u8")
-        counts += np.unpackbits(h.view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype="i8")
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+        counts += bit_counts(h)
+    return majority(counts, n)
 
 
 def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
