@@ -149,8 +149,8 @@ class PieceEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, pattern: str) -> PieceEncoder:
-    return PieceEncoder(path, pattern)
+def encoder(path: str, pattern: str, limit: int = CACHE_PIECES) -> PieceEncoder:
+    return PieceEncoder(path, pattern, limit)
 
 
 def char_spans(text: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,9 +162,9 @@ def char_spans(text: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return (char[ends - lengths] - 1).astype("i4"), char[ends - 1].astype("i4")
 
 
-def coded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, names: list[str], offsets: bool = False) -> Iterator[pa.RecordBatch]:
+def coded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, names: list[str], offsets: bool = False, cached: int = CACHE_PIECES) -> Iterator[pa.RecordBatch]:
     """Batches with the texts (no nulls) as last column, encoded: ``ids`` and, with ``offsets``, ``starts`` and ``ends`` instead of them."""
-    coder = encoder(path, pattern)
+    coder = encoder(path, pattern, cached)
     sizes = np.array([len(t) for t in byte_table(path)], "i8") if offsets else None
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
@@ -182,17 +182,18 @@ def coded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, names: lis
             yield pa.RecordBatch.from_arrays([*kept, *arrays], names)
 
 
-def encode(df: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+def encode(df: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False, keep: tuple[str, ...] = (), cached: int = CACHE_PIECES) -> DataFrame:
     """``id_col, *keep, ids array<int>`` and, with ``offsets``, ``starts`` and ``ends`` (code points).
 
-    One row out for each row in, repeated rows included.
+    One row out for each row in, repeated rows included.  ``cached``: pieces
+    whose ids a worker keeps.
     """
     kept = [id_col, *keep]
     names = [*kept, "ids", *(["starts", "ends"] if offsets else [])]
     source = df.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), *(f"{n} array<int>" for n in names[len(kept) :])])
 
-    return source.mapInArrow(lambda batches: coded(batches, path, pattern, names, offsets), schema)
+    return source.mapInArrow(lambda batches: coded(batches, path, pattern, names, offsets, cached), schema)
 
 
 def decode(df: DataFrame, path: str, *, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -82,6 +82,17 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+#: Rows of whole texts that go to Python at once; Spark's own 10,000 hold a few tens of MB in each task's JVM buffers and worker.
+TEXT_ROWS = 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by ``TEXT_ROWS``; a smaller bound stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXT_ROWS:
+        spark.conf.set(key, str(TEXT_ROWS))
+
+
 def as_bytes(column: str) -> F.Column:
     """UTF-8 bytes of a string column, null as empty."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))

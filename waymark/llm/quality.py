@@ -53,16 +53,18 @@ def measure(text: bytes) -> tuple[int, ...]:
 
 
 def features(df: DataFrame, *, text_col: str = "text", prefix: str = "", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``*keep`` and the counts of FEATURES, each named ``prefix`` + its name."""
-    source = df.select(*keep, as_bytes(text_col).alias("__bytes"))
+    """``*keep`` and the counts of FEATURES, each named ``prefix`` + its name.  A text that is kept goes to Python once."""
+    held = keep.index(text_col) if text_col in keep else len(keep)
+    source = df.select(*keep, *([as_bytes(text_col).alias("__bytes")] if held == len(keep) else []))
     names = [prefix + f for f in FEATURES]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), *(f"{n} bigint" for n in names)])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[: len(keep)]), *(f"{n} bigint" for n in names)])
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                rows = np.array([measure(t) for t in part.column(len(keep)).to_pylist()], "i8").reshape(-1, len(FEATURES))
+                texts = part.column(held).cast(pa.binary()).to_pylist()
+                rows = np.array([measure(t or b"") for t in texts], "i8").reshape(-1, len(FEATURES))
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *(pa.array(np.ascontiguousarray(rows[:, i])) for i in range(len(FEATURES)))], [*keep, *names])
 
     return source.mapInArrow(run, schema)
