@@ -72,3 +72,19 @@ def test_unlike_labels_and_misspellings(spark, docs):
     assert all(fuzzy == (not stem and len(t) >= 4) for t, stem, fuzzy in model.terms)
     got = {r.doc_id: r.score for r in toxicity.score(docs((1, "you blackgaurd number3"), (2, "a fine day"), (3, "x" * 100_000)), model).collect()}
     assert got[1] > 0.5 > got[2] == got[3]
+
+
+def test_toxicity_moves_few_texts_at_once(spark):
+    """The query bounds the rows of its Arrow batches and of Parquet's decoding; a smaller bound stays, and scores don't hang on it."""
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before, found = {k: spark.conf.get(k) for k in keys}, []
+    try:
+        for given, want in ((("10000", "4096"), ("1024", "1024")), (("7", "5"), ("7", "5"))):
+            for k, v in zip(keys, given):
+                spark.conf.set(k, v)
+            found.append(sorted(map(tuple, queries.op8_toxicity(spark, "/root/testdata/sf0.001").collect())))
+            assert tuple(spark.conf.get(k) for k in keys) == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found[0] == found[1] and len(found[0]) == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()

@@ -93,6 +93,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(TEXT_ROWS))
 
 
+def small_reads(spark: SparkSession) -> None:
+    """Bound the rows that Parquet decodes at once by ``TEXT_ROWS``; Spark's own 4,096 whole texts need byte arrays of tens of MB in each task."""
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    if int(spark.conf.get(key)) > TEXT_ROWS:
+        spark.conf.set(key, str(TEXT_ROWS))
+
+
 def as_bytes(column: str) -> F.Column:
     """UTF-8 bytes of a string column, null as empty."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))

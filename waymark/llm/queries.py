@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import bpe, conversation_trie, decontamination, fill_middle, licenses, packing, pii, quality, repeated_phrases, simhash_dedup, toxicity, url_filter, warc
-from waymark.llm.common import durable, shared_path, table
+from waymark.llm.common import durable, shared_path, small_batches, small_reads, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 END_ID = 50256
@@ -68,6 +68,8 @@ def held_out() -> F.Column:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    small_reads(spark)
     documents = table(spark, sf_dir, "documents", "doc_id", "text")
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic").where(~held_out())
     scored = toxicity.score(documents, toxicity.fit(documents, labels))
