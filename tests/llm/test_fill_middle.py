@@ -101,3 +101,19 @@ def test_sentinels_and_names(spark, docs):
     assert {r.form for r in cut.collect()} == {"psm", "spm"}
     assert {r.doc_id: r.restored.decode() for r in fill_middle.restore(cut, sentinels=other).collect()} == {i: f"some <P> text {i} ⟨" for i in range(50)}
     assert fill_middle.transform(docs((1, "x")).where("false")).count() == 0
+
+
+def test_query_moves_few_texts_at_once(spark):
+    """The query bounds the rows of its Arrow batches and of Parquet's decoding; a smaller bound stays, and rows don't hang on it."""
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before, found = {k: spark.conf.get(k) for k in keys}, []
+    try:
+        for given, want in ((("10000", "4096"), ("1024", "1024")), (("0", "4096"), ("1024", "1024")), (("7", "5"), ("7", "5"))):
+            for k, v in zip(keys, given):
+                spark.conf.set(k, v)
+            found.append(sorted(queries.op11_fill_middle(spark, SF2).collect(), key=lambda r: r.doc_id))
+            assert tuple(spark.conf.get(k) for k in keys) == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found[0] == found[1] == found[2] and len(found[0]) == spark.read.parquet(f"{SF2}/documents.parquet").count()

@@ -90,6 +90,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    small_reads(spark)
     cut = fill_middle.transform(table(spark, sf_dir, "documents", "doc_id", "text"))
     cut = cut.select("doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"), F.sha2("output", 256).alias("output_sha256"), "output")
     back = fill_middle.restore(cut, keep=("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256"))
