@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import time
 from functools import partial
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +63,24 @@ def test_op3_digests(spark):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(texts[r.doc_id].encode()).hexdigest())
 
 
+def test_bpe_decodes_all_ids_at_once(spark):
+    """Odd ids add no bytes, lists keep their own bytes over slices, and no Python step runs for each id."""
+    path, _ = queries.vocabulary()
+    table, rnd = bpe.byte_table(path), random.Random(3)
+    rows = [(0, None), (1, []), (2, [None, 5, -1, 10**6, len(table), 7]), *((i, [rnd.randrange(len(table)) for _ in range(rnd.randrange(6))]) for i in range(3, 1400)), (1400, [])]
+    want = {i: b"".join(table[t] for t in ids or [] if t is not None and 0 <= t < len(table)) for i, ids in rows}
+    got = bpe.decode(spark.createDataFrame(rows, "doc_id int, ids array<int>").coalesce(1), path)
+    assert {r.doc_id: bytes(r.decoded) for r in got.collect()} == want
+    entries, full = pa.array([*table, b""], pa.binary()), dict(enumerate(table))
+    assert bpe.joined(pa.array([[], []], pa.list_(pa.int32())), entries).to_pylist() == [b"", b""]
+    lists = pa.array([[rnd.randrange(len(table)) for _ in range(1000)] for _ in range(1000)], pa.list_(pa.int32()))
+    start = time.process_time()
+    one_by_one = [b"".join(map(full.__getitem__, ids.values.to_pylist())) for ids in lists]
+    middle = time.process_time()
+    assert bpe.joined(lists, entries).to_pylist() == one_by_one
+    assert 3 * (time.process_time() - middle) < middle - start
+
+
 def brute_quality(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]

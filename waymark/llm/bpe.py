@@ -196,6 +196,20 @@ def encode(df: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", te
     return source.mapInArrow(lambda batches: coded(batches, path, pattern, names, offsets, cached), schema)
 
 
+def joined(lists: pa.ListArray, table: pa.BinaryArray) -> pa.BinaryArray:
+    """The bytes of each list's ids as one value; an id without bytes takes the last, empty entry of the table.
+
+    Arrow takes all entries at once.  Their bytes then lie one after another, so
+    a list's value only needs the place of its first and last entry.
+    """
+    places = lists.offsets.to_numpy()
+    ids = lists.values.slice(places[0], places[-1] - places[0]).fill_null(-1).to_numpy()
+    none = len(table) - 1
+    taken = table.take(pa.array(np.where((ids < 0) | (ids > none), none, ids)))
+    starts = np.frombuffer(taken.buffers()[1], "<i4", len(taken) + 1) if len(taken) else np.zeros(1, "i4")
+    return pa.BinaryArray.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(starts[places - places[0]]), taken.buffers()[2]])
+
+
 def decode(df: DataFrame, path: str, *, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``*keep, decoded binary``: the bytes of each id, joined.
 
@@ -207,18 +221,10 @@ def decode(df: DataFrame, path: str, *, ids_col: str = "ids", keep: tuple[str, .
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), "decoded binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = byte_table(path)
-        full = dict(enumerate(table))
+        table = pa.array([*byte_table(path), b""], pa.binary())
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                out = []
-                for ids in part.column(len(keep)):
-                    values = ids.values.to_pylist()
-                    try:
-                        out.append(b"".join(map(full.__getitem__, values)))
-                    except KeyError:
-                        out.append(b"".join(full.get(i, b"") for i in values))
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(out, pa.binary())], [*keep, "decoded"])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), joined(part.column(len(keep)), table)], [*keep, "decoded"])
 
     return source.mapInArrow(run, schema)
