@@ -257,6 +257,25 @@ def test_bpe_cache_is_bounded_as_a_whole():
         assert len(coder.spaced) + len(coder.plain) <= 200 + 20
 
 
+def test_bpe_texts_in_parts_and_with_long_gaps(monkeypatch):
+    """Well-spaced texts need no cache of pieces; parts and long gaps change no ids, where ``tiktoken`` alone would overflow its stack too."""
+    path, pattern = queries.vocabulary()
+    reference, rnd = reference_encoding(), random.Random(11)
+    want = lambda texts: [reference.encode_ordinary(t) for t in texts]
+    got = lambda texts: [np.frombuffer(c, "<i4").tolist() for c in bpe.text_ids(texts, path, pattern, 77)]
+    plain = ["".join(rnd.choice(["a", "Bc", " ", "  ", "\n", "\t", "'s", "é", "9", "!", "\x1c", "　", "don't "]) for _ in range(rnd.randrange(300))) for _ in range(200)]
+    gaps = [f"ab{gap * n}{end}" for gap in (" ", "\n", " \t", "　\x85") for n in (510, 511, 512, 513, 2000) for end in ("", "x", " y")]
+    assert got(plain + gaps) == want(plain + gaps)
+    monkeypatch.setattr(bpe, "PART", 10)
+    assert any(len(list(bpe.parts(t))) > 3 for t in plain) and all("".join(bpe.parts(t)) == t for t in plain + gaps)
+    assert got(plain) == want(plain)
+    vast = got([" " * 1_500_000 + "x", "a" + "\n" * 1_500_000])
+    table = bpe.byte_table(path)
+    assert [b"".join(table[i] for i in ids) for ids in vast] == [b" " * 1_500_000 + b"x", b"a" + b"\n" * 1_500_000]
+    monkeypatch.setattr(bpe, "encoder", None)
+    assert got(["one two\nthree", "a\n\nb  c\td"]) == want(["one two\nthree", "a\n\nb  c\td"])
+
+
 def test_packing_refuses_ids_that_do_not_fit():
     for ids in ([70000], [-1], [1.0, float("nan")]):
         with pytest.raises(ValueError):

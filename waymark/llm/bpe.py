@@ -1,12 +1,14 @@
 """Byte-level BPE encoding and decoding.
 
-Encoding runs the ``tokenizers`` library over Arrow batches.  Its byte-level
-model works on characters that stand for bytes; merges are rebuilt from a rank
-file.  A text is cut before every space that follows a non-space, and around
-every line feed between non-spaces: no match of the splitting pattern crosses
-such a place and none looks behind it, so the pieces can be encoded apart (other
-patterns get whole texts).  Each worker keeps the ids of pieces it has seen
-in a bounded cache, so the library encodes a repeated piece once.
+Encoding runs over Arrow batches.  ``tiktoken`` encodes texts as they are, long
+ones in parts: a text may be cut before every space that follows a non-space,
+for no match of the splitting pattern crosses such a place and none looks behind
+it.  On a million white-space characters in a row ``tiktoken`` overflows its
+stack, so texts with long gaps, and all texts under other patterns, go to the
+``tokenizers`` library.  Its byte-level model works on characters that stand for
+bytes; merges are rebuilt from a rank file.  It gets texts cut at the places
+above and around every line feed between non-spaces (whole under other
+patterns), and keeps the ids of pieces it has seen in a bounded cache.
 
 Null text: no ids.  Empty text: no ids.  Texts of any length are encoded whole.
 Columns other than the id, the text and those named in ``keep`` are ignored.
@@ -31,6 +33,10 @@ CUT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\
 _CUT = re.compile(r"(?<=\S)(?= )")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _PAIRS = ("  ", "\n\n", " \n", "\n ")
+# Of 512 white-space characters in a row at least 8 are among every 64th character of the text.
+_STEP, _LONG_GAP = 64, re.compile(r"\s{8}")
+#: Characters that are encoded at once; the ids of a part are Python integers for a while.
+PART = 1 << 20
 
 
 def byte_alphabet() -> list[str]:
@@ -153,6 +159,33 @@ def encoder(path: str, pattern: str, limit: int = CACHE_PIECES) -> PieceEncoder:
     return PieceEncoder(path, pattern, limit)
 
 
+@lru_cache(maxsize=4)
+def coding(path: str, pattern: str):
+    """``tiktoken``'s encoding for a rank file."""
+    from tiktoken import Encoding
+
+    return Encoding(path, pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
+
+
+def parts(text: str) -> Iterator[str]:
+    """The text, cut where its ids fall apart once ``PART`` characters are passed."""
+    at = 0
+    while len(text) - at > PART and (cut := _CUT.search(text, at + PART)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
+
+
+def text_ids(texts: list[str], path: str, pattern: str, cached: int = CACHE_PIECES) -> list[bytes]:
+    """Little-endian int32 ids of each text."""
+    if pattern != CUT_PATTERN:
+        return encoder(path, pattern, cached).encode(texts)
+    ids = coding(path, pattern).encode_ordinary
+    gaps = [at for at, text in enumerate(texts) if _LONG_GAP.search(text[::_STEP])]
+    found = dict(zip(gaps, encoder(path, pattern, cached).encode([texts[at] for at in gaps]))) if gaps else {}
+    return [found[at] if at in found else b"".join(np.array(ids(part), "<i4").tobytes() for part in parts(text)) for at, text in enumerate(texts)]
+
+
 def char_spans(text: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Code-point spans of tokens of so many bytes each; a token that holds part of a character spans it whole."""
     if not len(lengths):
@@ -164,14 +197,13 @@ def char_spans(text: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def coded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, names: list[str], offsets: bool = False, cached: int = CACHE_PIECES) -> Iterator[pa.RecordBatch]:
     """Batches with the texts (no nulls) as last column, encoded: ``ids`` and, with ``offsets``, ``starts`` and ``ends`` instead of them."""
-    coder = encoder(path, pattern, cached)
     sizes = np.array([len(t) for t in byte_table(path)], "i8") if offsets else None
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             *kept, last = part.columns
             texts = last.to_pylist()
-            found = coder.encode(texts)
+            found = text_ids(texts, path, pattern, cached)
             ends = np.zeros(len(found) + 1, "i4")
             np.cumsum([len(c) // 4 for c in found], out=ends[1:])
             lists = lambda values: pa.ListArray.from_arrays(pa.array(ends), pa.array(values))  # noqa: E731, B023
@@ -186,7 +218,7 @@ def encode(df: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", te
     """``id_col, *keep, ids array<int>`` and, with ``offsets``, ``starts`` and ``ends`` (code points).
 
     One row out for each row in, repeated rows included.  ``cached``: pieces
-    whose ids a worker keeps.
+    whose ids a worker keeps of texts with long gaps.
     """
     kept = [id_col, *keep]
     names = [*kept, "ids", *(["starts", "ends"] if offsets else [])]
